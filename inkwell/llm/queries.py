@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, markup, relevance
+from inkwell.llm import canonical, markup, relevance, spans
 from inkwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,19 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Titles, paths and texts that look the same but differ."""
     return canonical.look_alikes(canonical.vault_values(table(spark, d, "sources", "source_id", "title_raw", "path_raw"), table(spark, d, "chunks", "row_id", "text_raw")))
+
+
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that share a verbatim span of at least 200 characters."""
+    return spans.document_pairs(*_spans(spark, d))
+
+
+@query()
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands in other documents too."""
+    return spans.shared_shares(*_spans(spark, d)).withColumnRenamed("id", "doc_id")
