@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, markup, relevance, spans
+from inkwell.llm import canonical, markup, neighbours, relevance, spans
 from inkwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,22 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.render_markup(table(spark, d, "chunks", "row_id", "text_raw").dropDuplicates(["row_id"]), "row_id").select("row_id", "clean_text")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.decode(table(spark, d, "chunks", "row_id", "source_id", "artifact_id", "embedding_base64"), table(spark, d, "artifacts", "artifact_id", "is_active", "dimension"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that are among each other's 10 most similar, with a cosine similarity of at least 0.95."""
+    return neighbours.mutual_pairs(neighbours.nearest_vectors(_vectors(spark, d), 10, min_similarity=0.95), 0.95)
+
+
+@query()
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar chunks of other sources for every chunk."""
+    return neighbours.nearest_vectors(_vectors(spark, d), 10)
+
+
 _P4_SQL = """
 WITH once AS (SELECT DISTINCT row_id, source_id, lexical_terms, lexical_ngrams, title_terms, tag_terms FROM chunks WHERE row_id IS NOT NULL),
 e AS (
