@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, markup, neighbours, relevance, spans
+from inkwell.llm import canonical, language, markup, neighbours, relevance, spans
 from inkwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alikes(canonical.vault_values(table(spark, d, "sources", "source_id", "title_raw", "path_raw"), table(spark, d, "chunks", "row_id", "text_raw")))
 
 
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with missing or wrong language labels and the languages they have."""
+    model = language.fit(table(spark, d, "lang_samples"))
+    chunks = table(spark, d, "chunks", "row_id", "source_id", "language_codes", "text_raw")
+    sources = table(spark, d, "sources", "source_id", "primary_language", "languages")
+    return language.wrong_labels(chunks, sources, table(spark, d, "documents", "doc_id", "lang", "text"), model)
+
+
+@query()
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of one language in each document, with confidence."""
+    model = language.fit(table(spark, d, "lang_samples"))
+    done = language.label_languages(table(spark, d, "documents", "doc_id", "text"), model, "doc_id", "text", segments=True)
+    return done.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.start", "s.end", "s.lang", "s.confidence")
+
+
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
 
