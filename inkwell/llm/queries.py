@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import canonical, language, markup, neighbours, relevance, spans
+from inkwell.llm import canonical, language, markup, mixing, neighbours, packing, relevance, spans, tokens
+from inkwell.session import cut
 from inkwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +117,42 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.start", "s.end", "s.lang", "s.confidence")
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their token counts, tokenized once."""
+    return cut(tokens.count_tokens(table(spark, d, "documents", "doc_id", "text", "source"), keep=("source",)), "tokens")
+
+
+@query()
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document (of each piece, if it is longer than the limit) for each limit."""
+    return packing.pack(_counted(spark, d), table(spark, d, "pack_limits"))
+
+
+@query()
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by limit."""
+    limits = table(spark, d, "pack_limits")
+    return packing.fill_report(packing.pack(_counted(spark, d), limits), limits)
+
+
+@query()
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents, so that each source reaches its target share, and how often each is used."""
+    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+@query()
+def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached if the total is to be as large as all documents: small sources are clamped."""
+    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"), total=0)[1]
+
+
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
 
