@@ -81,3 +81,368 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references counted per table and month."""
     return orphans.orphan_report(_orphans(spark, d)).groupBy("ref_table", "period").agg(F.sum("orphans").alias("orphans"))
+
+
+# ---- the retrieval engine's own operators
+
+from inkwell.functions import text as tx  # noqa: E402
+from inkwell.functions import vectors  # noqa: E402
+from inkwell.operators import connections, evaluation, exact, fusion, indexing, lexical, mutations, semantic  # noqa: E402
+from inkwell.operators.filters import RowFilter, apply_filter  # noqa: E402
+from inkwell.plans.search import SearchService, metadata_scan  # noqa: E402
+from inkwell.streaming import coalescer  # noqa: E402
+
+_FILTER = RowFilter(folders=("Projects", "notes"), tags=("#Code",), mtime_after=1_680_000_000_000, mtime_before=1_730_000_000_000, extensions=("md",))
+_FILTER_SQL = """(folder_norm = 'projects' OR starts_with(folder_norm, 'projects/') OR folder_norm = 'notes' OR starts_with(folder_norm, 'notes/'))
+AND len(list_filter(tags, lambda t: lower(t) = 'code' OR starts_with(lower(t), 'code/'))) > 0 AND mtime_ms > 1680000000000 AND mtime_ms < 1730000000000 AND extension = 'md'"""
+
+
+@query(f"SELECT DISTINCT row_id, source_id FROM chunks WHERE {_FILTER_SQL}")
+def f_chunk_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by folder, tag, time window and extension."""
+    return apply_filter(table(spark, d, "chunks"), _FILTER).select("row_id", "source_id").distinct()
+
+
+@query(f"SELECT DISTINCT source_id FROM sources WHERE {_FILTER_SQL}")
+def f_source_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by the same filter."""
+    return apply_filter(table(spark, d, "sources"), _FILTER).select("source_id").distinct()
+
+
+@query("SELECT DISTINCT source_id, path_raw AS path FROM sources WHERE contains(path_norm, 'daily') ORDER BY path, source_id LIMIT 50")
+def f_metadata_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The first sources by path that match a metadata-only query."""
+    return metadata_scan(table(spark, d, "sources"), RowFilter(path_contains=("Daily",)), 50).select("source_id", "path")
+
+
+@query(r"""SELECT row_id, CAST(dense + ceil((chars - dense) / 4.0) AS INT) AS tokens FROM (
+  SELECT row_id, length(regexp_replace(text_raw, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]', '', 'g')) AS dense, length(regexp_replace(text_raw, '[\s\x{0B}\x{85}\p{Z}]', '', 'g')) AS chars FROM (SELECT DISTINCT row_id, text_raw FROM chunks))""")
+def x_token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated tokens of each chunk."""
+    return table(spark, d, "chunks", "row_id", "text_raw").distinct().select("row_id", tx.estimate_tokens("text_raw").alias("tokens"))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT row_id, text_raw FROM chunks), s AS (SELECT row_id, unnest([" + ", ".join(rf"{{'script': '{s}', 'n': length(regexp_replace(text_raw, '[^\p{{{s}}}]', '', 'g'))}}" for s in tx.SCRIPTS) + "]) AS x FROM c) SELECT x.script AS script, count(*) AS chunks, sum(x.n) AS letters FROM s WHERE x.n > 0 GROUP BY 1"
+)
+def x_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Letters by script over all chunks."""
+    counts = table(spark, d, "chunks", "row_id", "text_raw").distinct().select(F.explode(tx.script_counts("text_raw")).alias("s"))
+    return counts.where("s.script <> 'Other'").groupBy("s.script").agg(F.count("*").alias("chunks"), F.sum("s.count").alias("letters"))
+
+
+@query()
+def x_language(spark: SparkSession, d: str) -> DataFrame:
+    """What the scripts of each chunk tell about its language."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("s", tx.script_counts("text_raw")).withColumn("l", tx.language_of("s"))
+    return own.select("row_id", "l.primary_language", "l.languages", "l.scripts", F.round("l.confidence", 6).alias("confidence"), "l.mixed")
+
+
+@query(r"""SELECT DISTINCT source_id, regexp_extract(path_raw, '[^/]*$') AS filename, CASE WHEN contains(path_raw, '/') THEN regexp_replace(path_raw, '/[^/]*$', '') ELSE '' END AS folder,
+  regexp_replace(regexp_extract(path_raw, '[^/]*$'), '(.)\.[^.]+$', '\1') AS stem, lower(regexp_extract(path_raw, '[^.]*$')) AS extension FROM sources""")
+def x_path_parts(spark: SparkSession, d: str) -> DataFrame:
+    """File name, stem, folder and extension of each source."""
+    return table(spark, d, "sources", "source_id", "path_raw").distinct().select("source_id", tx.path_parts("path_raw").alias("p")).select("source_id", "p.filename", "p.folder", "p.stem", "p.extension")
+
+
+@query(r"SELECT DISTINCT source_id, lower(trim(regexp_replace(title_raw, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g'))) AS title FROM sources")
+def x_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in lower case with blanks collapsed."""
+    return table(spark, d, "sources", "source_id", "title_raw").distinct().select("source_id", F.lower(tx.collapse_whitespace("title_raw")).alias("title"))
+
+
+@query("SELECT DISTINCT row_id, sha256(text_raw) AS hash, sha256(text_raw) = raw_chunk_hash AS same FROM chunks")
+def x_chunk_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Content hashes of chunks against the stored ones."""
+    return table(spark, d, "chunks", "row_id", "text_raw", "raw_chunk_hash").distinct().select("row_id", F.sha2("text_raw", 256).alias("hash"), (F.sha2("text_raw", 256) == F.col("raw_chunk_hash")).alias("same"))
+
+
+@query()
+def x_analyze(spark: SparkSession, d: str) -> DataFrame:
+    """Terms, n-grams and identifier terms of each chunk, analyzed anew."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("a", tx.analyze("text_raw"))
+    return own.select("row_id", F.concat("a.terms", "a.secondary_terms").alias("lexical_terms"), F.col("a.ngrams").alias("lexical_ngrams"), F.col("a.identifier_terms").alias("identifier_terms"))
+
+
+_POSTINGS_SQL = """
+WITH once AS (SELECT DISTINCT ON (row_id) * FROM chunks WHERE row_id IS NOT NULL),
+ft AS (
+  SELECT row_id, 'title' AS field, title_terms AS terms FROM once UNION ALL SELECT row_id, 'aliases', alias_terms FROM once UNION ALL SELECT row_id, 'headings', heading_terms FROM once
+  UNION ALL SELECT row_id, 'tags', tag_terms FROM once UNION ALL SELECT row_id, 'path', path_terms FROM once UNION ALL SELECT row_id, 'filename', list_filter(path_terms, lambda t: NOT contains(t, '/')) FROM once
+  UNION ALL SELECT row_id, 'body', lexical_terms FROM once UNION ALL SELECT row_id, 'identifier', identifier_terms FROM once UNION ALL SELECT row_id, 'ngram', lexical_ngrams FROM once
+), f AS (SELECT row_id, field, terms, len(terms) AS len FROM ft WHERE len(terms) > 0),
+stats AS (SELECT field, count(*) AS n_docs, avg(len) AS avg_len FROM f GROUP BY 1),
+p AS (SELECT field, term, row_id, len, count(*) AS tf FROM (SELECT field, row_id, len, unnest(terms) AS term FROM f) GROUP BY ALL),
+dfs AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL)
+"""
+
+
+@query(_POSTINGS_SQL + "SELECT field, count(*) AS postings, count(DISTINCT term) AS terms, sum(tf) AS occurrences, max(df) AS top_df FROM p JOIN dfs USING (field, term) GROUP BY 1")
+def l_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index by field: postings, terms, occurrences and the largest document frequency."""
+    by_term = lexical.build_postings(table(spark, d, "chunks")).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return by_term.groupBy("field").agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.sum("tf").alias("occurrences"), F.max("df").alias("top_df"))
+
+
+@query(_POSTINGS_SQL + "SELECT field, n_docs, round(avg_len, 6) AS avg_len FROM stats")
+def l_field_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Records and average length by field."""
+    return lexical.field_statistics(table(spark, d, "chunks")).select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+_WORDS = ["vector", "index", "lantern", "garden", "kiln"]
+_WEIGHTS_SQL = "w(field, weight) AS (VALUES ('title', 6.0), ('aliases', 5.0), ('headings', 3.5), ('tags', 3.0), ('filename', 2.5), ('path', 1.5), ('body', 1.0), ('identifier', 4.0))"
+_HITS_SQL = (
+    _POSTINGS_SQL
+    + f", {_WEIGHTS_SQL}"
+    + """, hits AS (
+  SELECT row_id, sum(CAST(weight AS DOUBLE) * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM p JOIN dfs USING (field, term) JOIN stats USING (field) JOIN w USING (field) WHERE term IN ('vector', 'index', 'lantern', 'garden', 'kiln')
+  AND row_id NOT IN (SELECT row_id FROM p WHERE field IN ('body', 'ngram') AND term = 'harbor') GROUP BY 1
+), lex AS (SELECT row_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, row_id) AS rank FROM hits QUALIFY rank <= 80)
+"""
+)
+
+
+def _lexical_hits(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    hits = lexical.exclude_terms(lexical.bm25(lexical.build_postings(chunks), lexical.field_statistics(chunks), lexical.query_terms(spark, _WORDS)), lexical.build_postings(chunks), ["harbor"])
+    own = hits.join(chunks.select("row_id", "source_id").dropDuplicates(["row_id"]), "row_id")
+    return lexical.ranked(own.withColumn("_s", F.round("score", 9)), 80, F.desc("_s"), F.asc("row_id")).drop("_s")
+
+
+@query(_HITS_SQL + "SELECT row_id, round(score, 6) AS score, rank FROM lex")
+def q_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over nine weighted fields, with an excluded term."""
+    return _lexical_hits(spark, d).select("row_id", F.round("score", 6).alias("score"), "rank")
+
+
+_EXACT_SQL = """
+exact_all AS (
+  SELECT source_id, row_id, 'text' AS field, phrase, instr(lower(text_raw), phrase) - 1 AS off FROM (SELECT DISTINCT row_id, source_id, text_raw FROM chunks), (VALUES ('the quiet index'), ('lantern')) n(phrase) WHERE instr(lower(text_raw), phrase) > 0
+  UNION ALL SELECT source_id, NULL, 'title', phrase, 0 FROM (SELECT DISTINCT source_id, title_raw FROM sources), (VALUES ('the quiet index'), ('lantern')) n(phrase) WHERE contains(lower(title_raw), phrase)
+), ex AS (
+  SELECT *, row_number() OVER (ORDER BY CASE field WHEN 'title' THEN 0 ELSE 4 END, off, source_id, row_id NULLS FIRST, phrase) AS rank FROM exact_all QUALIFY rank <= 200
+)
+"""
+
+
+def _exact_hits(spark: SparkSession, d: str) -> DataFrame:
+    wanted = [exact.Needle("the quiet index", ("text", "title")), exact.Needle("Lantern", ("text", "title"))]
+    return exact.search(table(spark, d, "sources"), table(spark, d, "chunks"), wanted, 200)
+
+
+@query("WITH " + _EXACT_SQL + "SELECT source_id, row_id, field, lower(phrase) AS phrase, off AS \"offset\", rank FROM ex")
+def q_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases in titles and texts, verified against the raw values."""
+    return _exact_hits(spark, d).select("source_id", "row_id", "field", F.lower("phrase").alias("phrase"), "offset", "rank")
+
+
+_FUSED_SQL = (
+    _HITS_SQL
+    + ", "
+    + _EXACT_SQL
+    + """, owner AS (SELECT DISTINCT row_id, source_id FROM chunks),
+e1 AS (SELECT coalesce(row_id, 'source:' || source_id) AS key, any_value(source_id) AS source_id, min(rank) AS rank FROM ex GROUP BY 1),
+fused AS (
+  SELECT coalesce(e1.key, lex.row_id) AS key, coalesce(e1.source_id, o.source_id) AS source_id, coalesce(1.4 / (60.0 + e1.rank), 0) + coalesce(1.0 / (60.0 + lex.rank), 0) AS score
+  FROM e1 FULL JOIN lex ON e1.key = lex.row_id LEFT JOIN owner o ON o.row_id = lex.row_id
+)
+"""
+)
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fuse(_exact_hits(spark, d), _lexical_hits(spark, d), None)
+
+
+@query(_FUSED_SQL + "SELECT key, source_id, round(score, 9) AS score FROM fused")
+def q_fuse(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal rank fusion of exact and lexical hits."""
+    return _fused(spark, d).select("key", "source_id", F.round("score", 9).alias("score"))
+
+
+@query(_FUSED_SQL + "SELECT key, source_id FROM fused QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, key) <= 2")
+def q_diversify(spark: SparkSession, d: str) -> DataFrame:
+    """At most two blocks of a source."""
+    return fusion.diversify(_fused(spark, d), 2).select("key", "source_id")
+
+
+@query(_FUSED_SQL + "SELECT source_id, round(max(score), 9) AS score, count(*) AS block_count FROM fused GROUP BY 1")
+def q_sources_max(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by their best block."""
+    return fusion.by_source(_fused(spark, d), "max").select("source_id", F.round("score", 9).alias("score"), "block_count")
+
+
+@query(_FUSED_SQL + "SELECT source_id, round(avg(score), 9) AS score FROM (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, key) <= 3) GROUP BY 1")
+def q_sources_top_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by the mean of their best three blocks."""
+    return fusion.by_source(_fused(spark, d), "top_mean").select("source_id", F.round("score", 9).alias("score"))
+
+
+def _vector_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("row_id"), F.col("label").cast("string").alias("source_id"), "embedding")
+
+
+def _vector_query(metric: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _vector_rows(spark, d)
+        first = rows.orderBy(F.col("row_id").cast("long")).limit(1).select("embedding").first()["embedding"]
+        return semantic.search(rows, list(first), 50, metric).select("row_id", F.round("rank_score", 5).alias("score"))
+
+    run.__doc__ = f"The 50 nearest vectors of the first one by {metric}."
+    return run
+
+
+for _metric, _expr in (("cosine", "list_cosine_similarity(a, b)"), ("dot", "list_inner_product(a, b)"), ("l2", "-list_distance(a, b)")):
+    query(
+        f"WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS a FROM embeddings ORDER BY vec_id LIMIT 1) SELECT CAST(vec_id AS VARCHAR) AS row_id, round({_expr}, 5) AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings), q ORDER BY {_expr} DESC, CAST(vec_id AS VARCHAR) LIMIT 50",
+        name=f"q_vector_{_metric}",
+    )(_vector_query(_metric))
+
+
+@query()
+def q_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A whole search for blocks: parsing, exact and lexical retrieval, fusion, exclusion, diversity, snippets, reasons."""
+    service = SearchService(table(spark, d, "sources"), table(spark, d, "chunks"))
+    return service.search('lantern "the quiet index" -harbor ext:md').results
+
+
+@query()
+def q_search_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The same for sources."""
+    service = SearchService(table(spark, d, "sources"), table(spark, d, "chunks"))
+    return service.search("lexical: garden lantern 索引", result_type="sources").results
+
+
+_LINKS_SQL = r"""
+WITH s AS (SELECT DISTINCT ON (source_id) * FROM sources),
+names AS (SELECT DISTINCT source_id, unnest([lower(trim(regexp_replace(regexp_extract(path_raw, '[^/]*$'), '(.)\.[^.]+$', '\1'))), lower(trim(title_raw))]) AS name FROM s),
+targets AS (SELECT DISTINCT source_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(link, '#.*$', '', 's'), '^.*/', '', 's'), '\.md$', '', 'i'))) AS name FROM (SELECT source_id, unnest(links) AS link FROM s) WHERE link IS NOT NULL),
+g AS (SELECT DISTINCT t.source_id AS src, n.source_id AS dst FROM targets t JOIN names n USING (name) WHERE name <> '' AND t.source_id <> n.source_id)
+"""
+
+
+@query(_LINKS_SQL + "SELECT src, dst FROM g")
+def c_link_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Links between notes, by file name or title."""
+    return connections.link_graph(table(spark, d, "sources", "source_id", "path_raw", "title_raw", "links").dropDuplicates(["source_id"]))
+
+
+@query(
+    _LINKS_SQL
+    + """, me AS (SELECT * FROM s ORDER BY source_id LIMIT 1)
+SELECT dst AS source_id, 'wikilink' AS kind, CAST(0.2 AS DOUBLE) AS score FROM g JOIN me ON src = me.source_id
+UNION ALL SELECT src, 'backlink', 0.15 FROM g JOIN me ON dst = me.source_id
+UNION ALL SELECT source_id, 'shared_tag', CAST(0.05 AS DOUBLE) * least(count(*), 2) FROM (SELECT source_id, unnest(tags) AS t FROM s WHERE source_id <> (SELECT source_id FROM me)) WHERE lower(t) IN (SELECT lower(unnest(tags)) FROM me) GROUP BY 1"""
+)
+def c_link_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Link and tag signals of the first note."""
+    sources = table(spark, d, "sources")
+    me = sources.agg(F.min("source_id").alias("m")).first()["m"]
+    return connections.link_signals(sources, me).select("source_id", "kind", "score")
+
+
+def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    active = table(spark, d, "artifacts").where("is_active").select("artifact_id", "dimension")
+    chunks = table(spark, d, "chunks").join(F.broadcast(active), "artifact_id").withColumn("embedding", vectors.decode_base64("embedding_base64"))
+    return chunks.withColumn("embedding", F.when(F.size("embedding") == F.col("dimension"), F.col("embedding")))
+
+
+@query()
+def c_connections(spark: SparkSession, d: str) -> DataFrame:
+    """Notes related to the first one that has vectors: blocks, links and tags together."""
+    sources, chunks = table(spark, d, "sources"), _with_vectors(spark, d)
+    me = sources.agg(F.min("source_id").alias("m")).first()["m"]
+    return connections.for_source(sources, chunks, me, 20)
+
+
+@query("""SELECT artifact_id, source_id, m.status AS status, m.seen_revision AS seen_revision, m.indexed_revision AS indexed_revision FROM (
+  SELECT artifact_id, source_id, arg_max({'status': status, 'seen_revision': seen_revision, 'indexed_revision': indexed_revision},
+  {'a': coalesce(indexed_revision, 0), 'b': coalesce(seen_revision, 0), 'c': coalesce(updated_ms, 0), 'd': coalesce(retry_count, 0), 'e': coalesce(status, '')}) AS m FROM index_manifest GROUP BY 1, 2)""")
+def m_manifest_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each source of each artifact."""
+    return mutations.manifest_state(table(spark, d, "index_manifest")).select("artifact_id", "source_id", "status", "seen_revision", "indexed_revision")
+
+
+@query("""WITH m AS (SELECT arg_max(status, {'a': coalesce(indexed_revision, 0), 'b': coalesce(seen_revision, 0), 'c': coalesce(updated_ms, 0), 'd': coalesce(retry_count, 0), 'e': coalesce(status, '')}) AS status FROM index_manifest GROUP BY artifact_id, source_id)
+SELECT (SELECT count(DISTINCT source_id) FROM sources) AS sources, (SELECT count(DISTINCT row_id) FROM chunks) AS chunks, (SELECT count(DISTINCT row_id) FROM chunks WHERE embedding_base64 IS NOT NULL) AS with_embedding,
+count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'stale') AS stale FROM m""")
+def m_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Size and health of the index."""
+    return mutations.store_statistics(table(spark, d, "sources"), table(spark, d, "chunks"), table(spark, d, "index_manifest"), "embedding_base64")
+
+
+_FEED_SQL = """WITH f AS (SELECT path_raw AS path, arg_max({'h': lower(raw_content_hash), 'm': mtime_ms, 's': size_bytes}, {'r': source_revision, 'q': seq}) AS x FROM vault_changes WHERE change_kind <> 'delete' GROUP BY 1),
+c AS (SELECT path_raw AS path, min(lower(raw_content_hash)) AS h, min(mtime_ms) AS m, min(size_bytes) AS s FROM sources GROUP BY 1)
+"""
+
+
+@query(_FEED_SQL + """SELECT outcome, count(*) AS paths FROM (SELECT CASE WHEN c.path IS NULL THEN 'added' WHEN f.path IS NULL THEN 'removed' WHEN f.x.h IS DISTINCT FROM c.h THEN 'changed'
+  WHEN f.x.m IS DISTINCT FROM c.m OR f.x.s IS DISTINCT FROM c.s THEN 'touched' ELSE 'unchanged' END AS outcome FROM f FULL JOIN c ON f.path = c.path) GROUP BY 1""")
+def m_scan_diff(spark: SparkSession, d: str) -> DataFrame:
+    """A full scan: the files the feed tells of against the catalog, by outcome."""
+    feed = table(spark, d, "vault_changes").where("change_kind <> 'delete'")
+    files = feed.groupBy(F.col("path_raw").alias("path")).agg(F.max_by(F.struct("raw_content_hash", "mtime_ms", "size_bytes"), F.struct("source_revision", "seq")).alias("x")).select("path", "x.*")
+    catalog = table(spark, d, "sources").groupBy("path_raw").agg(F.min(F.lower("raw_content_hash")).alias("raw_content_hash"), F.min("mtime_ms").alias("mtime_ms"), F.min("size_bytes").alias("size_bytes"))
+    return indexing.scan_diff(files, catalog).groupBy("outcome").agg(F.count("*").alias("paths"))
+
+
+@query("SELECT path_raw AS path, max(source_revision) AS generation, arg_max(change_kind, {'a': source_revision, 'b': change_kind}) AS kind FROM vault_changes WHERE path_raw IS NOT NULL GROUP BY 1")
+def r_latest_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The task with the highest generation of each path."""
+    tasks = table(spark, d, "vault_changes").where("path_raw is not null").select(F.col("path_raw").alias("path"), F.col("change_kind").alias("kind"), F.col("source_revision").alias("generation"))
+    return coalescer.latest_tasks(tasks)
+
+
+@query()
+def r_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    """The change feed as one batch of events, coalesced to tasks."""
+    events = table(spark, d, "vault_changes").select("seq", F.col("change_kind").alias("kind"), F.col("path_raw").alias("path"), F.col("old_path_raw").alias("old_path"))
+    return coalescer.coalesce_batch(events, spark.createDataFrame([], "path string, generation long"))[0]
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "path_raw").alias("path"), F.col("text").alias("content"), F.col("mtime_ms").alias("ctime_ms"), "mtime_ms", F.octet_length("text").cast("long").alias("size_bytes"))
+    return indexing.extract_notes(files.where(indexing.in_scope("path")))
+
+
+@query()
+def i_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes: structure, chunks, terms and hashes, without long arrays."""
+    return indexing.chunk_rows(_notes(spark, d)).select("row_id", "source_id", "structural_anchor", "chunk_ordinal", "block_type", "line_start", "line_end", "char_start", "char_end", F.size("lexical_terms").alias("terms"), "raw_chunk_hash", "lexical_input_hash", "embedding_input_hash")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) || '/' || path_raw AS path_raw, sha256(text) AS raw_content_hash, strlen(text) AS size_bytes FROM documents WHERE regexp_matches(path_raw, '\\.(md|txt)$', 'i')")
+def i_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes: the catalog rows."""
+    return indexing.source_rows(_notes(spark, d)).select("path_raw", "raw_content_hash", "size_bytes")
+
+
+@query()
+def i_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks embedded by the stand-in embedder, in batches within limits, and attached by their input hash."""
+    rows = indexing.chunk_rows(_notes(spark, d))
+    done = semantic.embed_column(rows, lambda: semantic.hash_embedder(32))
+    return semantic.attach(rows.select("row_id", "embedding_input_hash", "embedding"), done).select("row_id", F.size("embedding").alias("dimension"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
+
+
+@query("""WITH c AS (SELECT DISTINCT row_id, source_id, chunk_ordinal, block_type FROM chunks), r AS (SELECT source_id AS query_id, row_id AS target_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_ordinal DESC, row_id) AS rank FROM c),
+e AS (SELECT DISTINCT source_id AS query_id, row_id AS target_id, block_type AS grp FROM c WHERE chunk_ordinal = 1),
+q AS (SELECT e.query_id, grp, min(r.rank) AS first FROM e LEFT JOIN r ON r.query_id = e.query_id AND r.target_id = e.target_id GROUP BY 1, 2)
+SELECT grp AS "group", count(*) AS queries, round(avg(CASE WHEN first <= 2 THEN 1 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 6) AS mrr, 0.0 AS zero_rate FROM q GROUP BY 1""")
+def e_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Recall, reciprocal rank and zero results by group; ranked lists are the chunks of a source, last first."""
+    from pyspark.sql import Window
+
+    c = table(spark, d, "chunks", "row_id", "source_id", "chunk_ordinal", "block_type").distinct()
+    order = Window.partitionBy("source_id").orderBy(F.desc("chunk_ordinal"), "row_id")
+    results = c.select(F.col("source_id").alias("query_id"), F.col("row_id").alias("target_id"), F.row_number().over(order).alias("rank"))
+    expected = c.where("chunk_ordinal = 1").select(F.col("source_id").alias("query_id"), F.col("row_id").alias("target_id"), F.col("block_type").alias("group"))
+    return evaluation.quality(results, expected, 2, 10).select("group", "queries", *[F.round(x, 6).alias(x) for x in ("recall", "mrr", "zero_rate")])
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.95)) AS INT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def e_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """The 95th percentile of event values by type, as latency gates take it."""
+    return table(spark, d, "events", "event_type", "value").where("value is not null").groupBy("event_type").agg(evaluation.percentile(F.col("value"), 0.95).alias("p95"))
