@@ -137,6 +137,8 @@ def canonical_keys(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             own = [name(x) for x in pdf["value"]]
             forms = [canonical(x) for x in pdf["value"]]
             yield pd.DataFrame({"field_name": pdf["field_name"], "key": pdf["key"], "form": [o if f == v else name(f) for f, v, o in zip(forms, pdf["value"], own)], "own": own})

@@ -494,6 +494,8 @@ def render_markup(df: DataFrame, key: str, text: str = "text_raw") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             done = [clean(t) for t in pdf["_t"]]
             yield pd.DataFrame({"k": pdf["_k"], "clean_text": [a for a, _ in done], "families": [b for _, b in done]})
 

@@ -31,6 +31,8 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", keep: t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(path).encode_ordinary
         for pdf in batches:
+            if not len(pdf):
+                continue
             yield pdf.drop(columns="_text").assign(tokens=[0 if t is None else len(encode(t)) for t in pdf["_text"]])
 
     return df.selectExpr(*[f"`{c}`" for c in (key, *keep)], f"`{text}` as _text").mapInPandas(run, fields + ", tokens long")
