@@ -1,6 +1,6 @@
 """The k most similar vectors for every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample (SAMPLE_ROWS, by hash order) with a size penalty that keeps lists even.
+Centroids are fitted on a bounded sample (SAMPLE_ROWS expected, twice that at most, chosen by hash) with a size penalty that keeps lists even.
 Every vector is posted to its nearest list and, near a boundary, to up to POSTINGS lists whose distance is within
 POST_RATIO of the nearest; as a query it visits up to PROBES lists within PROBE_RATIO. The nearest centroids come
 from a graph over the centroids that is held in memory and walked best-first from a few hubs, many queries at once.
@@ -51,6 +51,8 @@ def decode(chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
                     norm = np.sqrt((v * v).sum(1))
                     fine = np.isfinite(norm) & (norm > 0)
                     unit = (v[fine] / norm[fine, None]).astype("<f4")
+                if not fine.any():
+                    continue
                 yield pd.DataFrame({"row_id": pdf["row_id"][fine], "source_id": pdf["source_id"][fine], "vec": [x.tobytes() for x in unit]})
 
     return raw.mapInPandas(run, "row_id string, source_id string, vec binary")
@@ -163,7 +165,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
     out = "row_id string, neighbour_id string, similarity double, rank int"
     if n == 0:
         return spark.createDataFrame([], out)
-    picked = vectors.withColumn("_h", F.xxhash64("row_id")).orderBy("_h", "row_id").limit(sample_rows).select("vec").toPandas()
+    part = int((1 << 31) * min(1.0, sample_rows / n))  # sample_rows are expected; each task sends only its share
+    picked = vectors.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 31)) <= part).select("vec").limit(2 * sample_rows).toPandas()
     centroids = fit_centroids(_vectors(picked["vec"]), min(MAX_LISTS, -(-n // list_size)))
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -220,7 +223,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
         asks, posts = pdf["asks"].fillna(False).to_numpy(bool), pdf["posts"].fillna(False).to_numpy(bool)
         found = list(_top(v[asks], src[asks], ids[asks], v[posts], src[posts], ids[posts], k, least)) if asks.any() and posts.any() else []
         if not found:
-            return pd.DataFrame({"row_id": [], "neighbour_id": [], "similarity": []})
+            return pd.DataFrame([], columns=["row_id", "neighbour_id", "similarity"])
         a, b, s = (np.concatenate(x) for x in zip(*found))
         names = pdf["row_id"].to_numpy()
         return pd.DataFrame({"row_id": names[a], "neighbour_id": names[b], "similarity": s.astype(np.float64)})
