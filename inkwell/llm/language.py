@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.canonical import canonical
 from inkwell.llm.markup import prose
+from inkwell.session import cut
 
 MAX_SAMPLES = 20_000
 SWITCH, FLOOR = 8.0, -6.0
@@ -258,6 +259,8 @@ def label_languages(df: DataFrame, model: LanguageModel, key: str, text: str, se
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for pdf in batches:
+            if not len(pdf):
+                continue
             out = {"k": pdf["_k"], "langs": [[{"lang": a, "chars": b, "confidence": c} for a, b, c in languages_in(own, t)] for t in pdf["_t"]]}
             if segments:
                 out["segments"] = [[{"start": a, "end": b, "lang": c, "confidence": p} for a, b, c, p in segments_in(own, t)] for t in pdf["_t"]]
@@ -284,7 +287,7 @@ def wrong_labels(chunks: DataFrame, sources: DataFrame, documents: DataFrame, mo
     """(ref_table, ref_key, lang_code): records with missing or wrong labels and the languages they really have."""
     once = chunks.where("row_id is not null").select("row_id", F.struct("source_id", "language_codes").alias("own"), "text_raw")
     packed = once.select(F.struct("row_id", "own").alias("id"), "text_raw")
-    labelled = label_languages(packed, model, "id", "text_raw").select("id.row_id", "id.own.source_id", "id.own.language_codes", "langs").dropDuplicates(["row_id"])
+    labelled = cut(label_languages(packed, model, "id", "text_raw").select("id.row_id", "id.own.source_id", "id.own.language_codes", "langs").dropDuplicates(["row_id"]), "languages")  # read twice below
     true = F.array_sort(F.transform("langs", lambda x: x["lang"]))
     from_chunks = labelled.where(true != label_codes(F.col("language_codes"))).select(F.lit("chunks").alias("ref_table"), F.col("row_id").alias("ref_key"), F.explode(true).alias("lang_code"))
 
