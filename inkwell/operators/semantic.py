@@ -59,6 +59,8 @@ def search_many(chunks: DataFrame, queries: DataFrame, limit: int, embedding: st
             sims[own_skip[:, None] == pdf["source_id"].to_numpy()[None, :]] = -np.inf
             kth = -np.partition(-sims, limit - 1, axis=1)[:, limit - 1 : limit] if sims.shape[1] > limit else np.full((len(sims), 1), -np.inf)
             r, c = np.nonzero((sims >= kth) & np.isfinite(sims))
+            if not len(r):
+                continue
             yield pd.DataFrame({"query_id": [own_ids[i] for i in r], "row_id": pdf["row_id"].to_numpy()[c], "source_id": pdf["source_id"].to_numpy()[c], "similarity": sims[r, c]})
 
     found = chunks.where(F.size(embedding) == q.shape[1]).select("row_id", "source_id", F.col(embedding).alias("_v")).mapInPandas(run, schema)
@@ -169,6 +171,8 @@ def embed_column(df: DataFrame, make: Callable[[], Embedder], text: str = "embed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = make()
         for pdf in batches:
+            if not len(pdf):
+                continue
             texts = [t or "" for t in pdf["_t"]]
             done: list = [None] * len(texts)
             for batch in plan_batches(texts, [estimate_tokens(t) for t in texts], limits):

@@ -38,10 +38,10 @@ class ArtifactStore:
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict | None:
-        at = self._path(f"{self.base}/_artifact.json")
+        at = self._path(f"{self.base}/artifact.json")
         if not self._fs.exists(at):
             return None
-        text = "".join(r["value"] for r in self.spark.read.text(f"{self.base}/_artifact.json", wholetext=True).collect())
+        text = "".join(r["value"] for r in self.spark.read.text(f"{self.base}/artifact.json", wholetext=True).collect())
         return json.loads(text)
 
     def load(self) -> tuple[str, dict[str, DataFrame]]:
@@ -66,7 +66,7 @@ class ArtifactStore:
             writer = df.write.mode("overwrite")
             (writer.partitionBy("field") if name == "postings" else writer).parquet(f"{self.base}/v{version}/{name}")
         text = json.dumps({"artifact_id": self.artifact_id, "fingerprint": self.fingerprint, "version": version, "tables": sorted(tables)})
-        tmp, final = self._path(f"{self.base}/_artifact.new"), self._path(f"{self.base}/_artifact.json")
+        tmp, final = self._path(f"{self.base}/artifact.new"), self._path(f"{self.base}/artifact.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
