@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,26 +118,36 @@ def ngrams(text: Column | str, low: int = 2, high: int = 3) -> Column:
     return F.coalesce(F.flatten(F.transform(runs, lambda r: _run_ngrams(r, low, high))), F.array().cast("array<string>"))
 
 
-def analyze(text: Column | str, low: int = 2, high: int = 3, nfkc: bool = True, fold_secondary: bool = True, identifiers: bool = True) -> Column:
-    """struct(terms, secondary_terms, ngrams, identifier_terms); put it in a column of its own before taking fields."""
-    t = _column(text)
-    normal = normalize_lexical(t, nfkc)
-    terms = words(normal)
-    # accents are folded once for the whole text; letters, digits and underscores stay what they are
-    folded = F.when(normal.rlike(r"[^\x00-\x7F]"), words(fold_accents(normal))).otherwise(terms) if fold_secondary else terms
-    secondary = F.when(F.size(terms) == F.size(folded), F.filter(F.zip_with(terms, folded, lambda a, b: F.when((a != b) & (b != ""), b)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+def with_analysis(df: DataFrame, text: str, to: str, low: int = 2, high: int = 3, nfkc: bool = True, fold_secondary: bool = True, identifiers: bool = True) -> DataFrame:
+    """df with a column struct(terms, secondary_terms, ngrams, identifier_terms) of a text column.
+
+    Staged in columns, as each intermediate is read several times: the normal form, then words, then the folded form.
+    Accents are folded once for the whole text; letters, digits and underscores stay what they are, so words pair up.
+    """
     none = F.array().cast("array<string>")
-    return F.struct(terms.alias("terms"), F.coalesce(secondary, none).alias("secondary_terms"), ngrams(normal, low, high).alias("ngrams"), (identifier_terms(t) if identifiers else none).alias("identifier_terms"))
+    n, w, f = f"_{to}_normal", f"_{to}_words", f"_{to}_folded"
+    out = df.withColumn(n, normalize_lexical(text, nfkc)).withColumn(w, words(n))
+    secondary = none
+    if fold_secondary:
+        out = out.withColumn(f, F.when(F.col(n).rlike(r"[^\x00-\x7F]"), words(_fold(F.col(n)))))
+        secondary = F.when(F.size(w) == F.size(f), F.filter(F.zip_with(w, f, lambda a, b: F.when((a != b) & (b != ""), b)), lambda x: x.isNotNull())).otherwise(none)
+    dense = F.when(F.col(n).rlike(r"[^\x00-\x{24F}]"), ngrams(n, low, high)).otherwise(none)
+    value = F.struct(F.col(w).alias("terms"), F.coalesce(secondary, none).alias("secondary_terms"), dense.alias("ngrams"), (identifier_terms(text) if identifiers else none).alias("identifier_terms"))
+    return out.withColumn(to, value).drop(n, w, f)
 
 
 def script_counts(text: Column | str) -> Column:
     """array<struct(script, count)> of the letters of a text, most frequent first, in the order of SCRIPTS among equals."""
     t = _column(text)
-    known = [F.struct(F.lit(s).alias("script"), F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).alias("count"), F.lit(i).alias("at")) for i, s in enumerate(SCRIPTS)]
-    letters = F.regexp_count(t, F.lit(r"[\p{L}&&[^" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]]"))
+    plain = F.regexp_count(t, F.lit("[A-Za-z]"))
+    rest = F.regexp_replace(t, r"[\x00-\x7F]+", "")  # what the property tables have to be asked about
+    known = [F.struct(F.lit(s).alias("script"), (F.regexp_count(rest, F.lit(rf"\p{{Is{s}}}")) + (plain if s == "Latin" else F.lit(0))).alias("count"), F.lit(i).alias("at")) for i, s in enumerate(SCRIPTS)]
+    letters = F.regexp_count(rest, F.lit(r"[\p{L}&&[^" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]]"))
     every = F.array(*known, F.struct(F.lit("Other").alias("script"), letters.alias("count"), F.lit(len(SCRIPTS)).alias("at")))
+    only_latin = F.when(plain > 0, F.array(F.struct(F.lit("Latin").alias("script"), plain.alias("count")))).otherwise(F.array().cast("array<struct<script: string, count: int>>"))
     present = F.filter(every, lambda x: x["count"] > 0)
-    return F.transform(F.array_sort(present, lambda a, b: F.when(a["count"] != b["count"], b["count"] - a["count"]).otherwise(a["at"] - b["at"])), lambda x: F.struct(x["script"].alias("script"), x["count"].alias("count")))
+    ranked = F.array_sort(present, lambda a, b: F.when(a["count"] != b["count"], b["count"] - a["count"]).otherwise(a["at"] - b["at"]))
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.transform(ranked, lambda x: F.struct(x["script"].alias("script"), x["count"].alias("count")))).otherwise(only_latin)
 
 
 def language_of(counts: Column | str) -> Column:

@@ -88,7 +88,7 @@ def extract_notes(files: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
 def source_rows(notes: DataFrame, recipe: Recipe = Recipe(), now_ms: int = 0, revision: int = 1) -> DataFrame:
     """The catalog rows of extracted notes; source_id comes with them or is derived from the path once, at creation."""
     parts = text.path_parts("path")
-    own = notes.withColumn("_p", parts).withColumn("_l", text.language_of(text.script_counts("content")))
+    own = notes.withColumn("_p", parts).withColumn("_s", text.script_counts("content")).withColumn("_l", text.language_of("_s"))
     sid = F.col("source_id") if "source_id" in notes.columns else F.substring(F.sha2(F.col("path"), 256), 1, 32)
     return own.select(
         sid.alias("source_id"), F.col("path").alias("path_raw"), text.normalize_lexical("path", recipe.nfkc).alias("path_norm"), F.col("_p.filename").alias("filename_raw"), F.lower("_p.filename").alias("filename_norm"),
@@ -102,11 +102,15 @@ def chunk_rows(notes: DataFrame, recipe: Recipe = Recipe(), now_ms: int = 0, rev
     """The chunk rows of extracted notes with all term arrays and hashes."""
     sid = F.col("source_id") if "source_id" in notes.columns else F.substring(F.sha2(F.col("path"), 256), 1, 32)
     lo, hi, nfkc = recipe.ngram_min, recipe.ngram_max, recipe.nfkc
-    by_note = notes.select(
-        sid.alias("source_id"), "path", "title_raw", "aliases", "tags", "mtime_ms", text.path_parts("path").alias("_p"), text.analyze("title_raw", lo, hi, nfkc, False, False).alias("_t"), text.analyze(F.array_join("aliases", " "), lo, hi, nfkc, False, False).alias("_a"),
-        text.path_terms("path").alias("path_terms"), text.normalize_lexical("path", nfkc).alias("path_norm"), hashing.extraction_hash(recipe.extraction_version, recipe.strategy, F.col("chunks")).alias("extraction_hash"), "chunks",
-    )
-    rows = by_note.select(*[c for c in by_note.columns if c != "chunks"], F.explode("chunks").alias("c")).select("*", "c.*").withColumn("_x", text.analyze("text_raw", lo, hi, nfkc)).withColumn("_h", text.analyze(F.array_join("heading_path", " "), lo, hi, nfkc, False, False)).withColumn("_l", text.language_of(text.script_counts("text_raw")))
+    by_note = notes.select(sid.alias("source_id"), "path", "title_raw", F.array_join("aliases", " ").alias("_alias"), "tags", "mtime_ms", "chunks").withColumns({
+        "_p": text.path_parts("path"), "path_terms": text.path_terms("path"), "path_norm": text.normalize_lexical("path", nfkc), "extraction_hash": hashing.extraction_hash(recipe.extraction_version, recipe.strategy, F.col("chunks")),
+    })
+    by_note = text.with_analysis(by_note, "title_raw", "_t", lo, hi, nfkc, False, False)
+    by_note = text.with_analysis(by_note, "_alias", "_a", lo, hi, nfkc, False, False)
+    rows = by_note.select(*[c for c in by_note.columns if c != "chunks"], F.explode("chunks").alias("c")).select("*", "c.*").withColumn("_heads", F.array_join("heading_path", " "))
+    rows = text.with_analysis(rows, "text_raw", "_x", lo, hi, nfkc)
+    rows = text.with_analysis(rows, "_heads", "_h", lo, hi, nfkc, False, False)
+    rows = rows.withColumn("_s", text.script_counts("text_raw")).withColumn("_l", text.language_of("_s"))
     rendered, _, _ = text.render_template(recipe.template, {"title": F.col("title_raw"), "heading_path": F.array_join("heading_path", " > "), "content": F.col("text_raw"), "path": F.col("path"), "tags": F.array_join("tags", ", ")})
     return rows.select(
         hashing.row_id(F.lit(recipe.artifact_id), F.col("source_id"), F.col("structural_anchor"), F.col("chunk_ordinal")).alias("row_id"), F.lit(recipe.artifact_id).alias("artifact_id"), "source_id", F.lit(revision).alias("source_revision"), "structural_anchor", "chunk_ordinal", "heading_path", "block_type", "text_raw",

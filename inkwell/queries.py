@@ -160,7 +160,7 @@ def x_chunk_hash(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def x_analyze(spark: SparkSession, d: str) -> DataFrame:
     """Terms, n-grams and identifier terms of each chunk, analyzed anew."""
-    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("a", tx.analyze("text_raw"))
+    own = tx.with_analysis(table(spark, d, "chunks", "row_id", "text_raw").distinct(), "text_raw", "a")
     return own.select("row_id", F.concat("a.terms", "a.secondary_terms").alias("lexical_terms"), F.col("a.ngrams").alias("lexical_ngrams"), F.col("a.identifier_terms").alias("identifier_terms"))
 
 

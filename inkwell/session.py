@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +26,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -46,13 +48,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers when it isn't installed there."""
+    """Make the package importable in Python workers, wherever they run; once for each application."""
+    sc = spark.sparkContext
+    if spark.conf.get("spark.inkwell.shipped", "") == sc.applicationId:
+        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    paths = spark.conf.get("spark.inkwell.shipped", None)
-    if paths is None and not spark.sparkContext.master.startswith("local"):
-        import shutil
-
-        base = os.path.join(tempfile.mkdtemp(prefix="inkwell-zip-"), "inkwell_pkg")
-        archive = shutil.make_archive(base, "zip", root, "inkwell")
-        spark.sparkContext.addPyFile(archive)
-        spark.conf.set("spark.inkwell.shipped", archive)
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="inkwell-zip-"), "inkwell_pkg"), "zip", root, "inkwell")
+    sc.addPyFile(archive)
+    spark.conf.set("spark.inkwell.shipped", sc.applicationId)

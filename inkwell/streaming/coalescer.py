@@ -7,7 +7,8 @@ table that each batch replaces by its next version.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,22 +57,24 @@ def fold(events: Iterable[tuple[str, str, str | None]], generations: dict[str, i
 
 
 def chains(events: DataFrame, rounds: int = 50) -> DataFrame:
-    """(path, chain): the smallest path each path of the batch is connected with by renames. Pointers are halved, so few rounds do."""
-    links = events.where("kind = 'rename' and old_path is not null").select(F.col("path").alias("a"), F.col("old_path").alias("b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = events.select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct().withColumn("chain", F.col("path"))
-    if not links.limit(1).count():
-        return label
-    both = cut(both, "links")
+    """(path, chain): the smallest path each path of the batch is connected with by renames.
+
+    Only paths that take part in a rename are walked, in both directions at once; pointers are halved each round, so
+    rounds grow with the logarithm of the longest chain.
+    """
+    links = events.where("kind = 'rename' and old_path is not null and old_path <> path").select(F.col("path").alias("a"), F.col("old_path").alias("b"))
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = both.groupBy(F.col("a").alias("path")).agg(F.least(F.col("path"), F.min("b")).alias("chain"))
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("path", "b"), "b").groupBy(F.col("a").alias("path")).agg(F.min("chain").alias("n"))
-        step = label.join(near, "path", "left").select("path", F.least("chain", F.coalesce("n", "chain")).alias("c"), F.col("chain").alias("old"))
-        jump = step.alias("s").join(step.select(F.col("path").alias("c"), F.col("c").alias("cc")), "c", "left").select("path", F.least("c", F.coalesce("cc", "c")).alias("chain"), "old")
+        near = both.join(label.withColumnRenamed("path", "b"), "b").groupBy(F.col("a").alias("path")).agg(F.min("chain").alias("near"))
+        step = label.join(near, "path").select("path", F.col("chain").alias("old"), F.least("chain", "near").alias("to"))
+        jump = step.join(label.select(F.col("path").alias("to"), F.col("chain").alias("further")), "to").select("path", F.least("to", "further").alias("chain"), "old")
         done = cut(jump, "chains")
         label = done.select("path", "chain")
         if not done.where("chain <> old").limit(1).count():
             break
-    return label
+    paths = events.select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct()
+    return paths.join(label, "path", "left").select("path", F.coalesce("chain", "path").alias("chain"))
 
 
 def coalesce_batch(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,15 +88,25 @@ def coalesce_batch(events: DataFrame, state: DataFrame) -> tuple[DataFrame, Data
     grouped = fine.join(label, "path").select("chain", "seq", "kind", "path", "old_path", F.lit(None).cast("long").alias("generation"))
     known = state.join(label, "path").select("chain", F.lit(None).cast("long").alias("seq"), F.lit("state").alias("kind"), "path", F.lit(None).cast("string").alias("old_path"), "generation")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf[pdf["kind"] == "state"]
-        generations = dict(zip(held["path"], held["generation"].astype(int)))
-        own = pdf[pdf["kind"] != "state"].sort_values(["seq", "kind", "path"])
-        tasks = fold(((k, p, o) for k, p, o in zip(own["kind"], own["path"], own["old_path"].where(own["old_path"].notna(), None))), generations)
-        rows = [(*t, False) for t in tasks] + [("state", p, None, g, False, True) for p, g in generations.items()]
-        return pd.DataFrame(rows, columns=["kind", "path", "old_path", "generation", "dirty", "is_state"])
-
-    folded = cut(grouped.unionByName(known).groupBy("chain").applyInPandas(run, TASKS + ", is_state boolean"), "folded")
+    columns = ["kind", "path", "old_path", "generation", "dirty", "is_state"]
+
+    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by chain, its state first; a chain may go on in the next batch."""
+        rows = ((c, k, p, o if isinstance(o, str) else None, g) for pdf in batches for c, k, p, o, g in zip(pdf["chain"], pdf["kind"], pdf["path"], pdf["old_path"], pdf["generation"]))
+        out: list[tuple] = []
+        for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+            own = list(own)
+            generations = {p: int(g) for _, k, p, _, g in own if k == "state"}
+            out += [(*t, False) for t in fold(((k, p, o) for _, k, p, o, _ in own if k != "state"), generations)]
+            out += [("state", p, None, g, False, True) for p, g in generations.items()]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    ordered = grouped.unionByName(known).repartition("chain").sortWithinPartitions("chain", F.asc_nulls_first("seq"), "kind", "path")
+    folded = cut(ordered.select("chain", "kind", "path", "old_path", "generation").mapInPandas(folds, TASKS + ", is_state boolean"), "folded")
     tasks = folded.where("not is_state").drop("is_state")
     seen = folded.where("is_state").select("path", "generation")
     return tasks, state.join(seen, "path", "left_anti").unionByName(seen)

@@ -39,8 +39,10 @@ def test_split_matches_plain_code(spark):
 
 
 def test_ngrams_and_terms(spark):
-    r = _one(spark, "検索 one, Two_3 検", text.analyze("x").alias("a"))["a"]
-    assert list(r["terms"]) == ["検索", "one", "two_3", "検"] and list(r["ngrams"]) == ["検索", "検"]
+    df = text.with_analysis(spark.createDataFrame([("検索 one, Two_3 検 été",), (None,)], "x string"), "x", "a")
+    r, nothing = (x["a"] for x in df.collect())
+    assert list(nothing["terms"]) == [] and list(r["secondary_terms"]) == ["ete"]
+    assert list(r["terms"]) == ["検索", "one", "two_3", "検", "été"] and list(r["ngrams"]) == ["検索", "検"]
     r = _one(spark, "全文検索", text.ngrams("x").alias("n"))["n"]
     assert list(r) == ["全文", "文検", "検索", "全文検", "文検索"]
 
