@@ -446,3 +446,147 @@ def e_quality(spark: SparkSession, d: str) -> DataFrame:
 def e_percentile(spark: SparkSession, d: str) -> DataFrame:
     """The 95th percentile of event values by type, as latency gates take it."""
     return table(spark, d, "events", "event_type", "value").where("value is not null").groupBy("event_type").agg(evaluation.percentile(F.col("value"), 0.95).alias("p95"))
+
+
+@query("SELECT DISTINCT source_id, strip_accents(lower(title_raw)) AS title FROM sources")
+def x_fold_accents(spark: SparkSession, d: str) -> DataFrame:
+    """Titles without accents."""
+    return table(spark, d, "sources", "source_id", "title_raw").distinct().select("source_id", tx.fold_accents(F.lower("title_raw")).alias("title"))
+
+
+@query(r"""SELECT DISTINCT source_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(filename_raw, '::|[./\-_]', '|', 'g'),
+  '([\p{Ll}\p{N}])(\p{Lu})', '\1|\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1|\2', 'g'), '\|+', '|', 'g'), '|'), lambda p: p <> ''), '|') AS parts FROM sources""")
+def x_identifier_parts(spark: SparkSession, d: str) -> DataFrame:
+    """File names cut at separators and camel-case boundaries."""
+    return table(spark, d, "sources", "source_id", "filename_raw").distinct().select("source_id", F.array_join(tx.split_identifier("filename_raw"), "|").alias("parts"))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT source_id, lower(path_raw) AS p FROM sources), n AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM s)
+SELECT source_id, array_to_string(list_sort(list_distinct(seg || [p] || CASE WHEN regexp_matches(seg[-1], '^.+\.[^.]*$') THEN [regexp_extract(seg[-1], '^(.+)\.([^.]*)$', 1), regexp_extract(seg[-1], '^(.+)\.([^.]*)$', 2)] ELSE [] END)), '|') AS terms FROM n""")
+def x_path_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the paths of sources."""
+    return table(spark, d, "sources", "source_id", "path_raw").distinct().select("source_id", F.array_join(F.array_sort(tx.path_terms("path_raw")), "|").alias("terms"))
+
+
+@query(r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text_raw), '[\p{L}\p{N}_]+')) AS w FROM (SELECT DISTINCT row_id, text_raw FROM chunks)) GROUP BY 1")
+def x_words(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts over all chunks."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct()
+    return own.select(F.explode(tx.words(F.lower("text_raw"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH c AS (SELECT DISTINCT row_id, lower(text_raw) AS t FROM chunks), r AS (SELECT unnest(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}]+') || regexp_extract_all(t, '\p{Hangul}+')) AS run FROM c),
+g AS (SELECT run AS ngram FROM r WHERE length(run) < 2 UNION ALL SELECT substr(run, i, 2) FROM (SELECT run, unnest(range(1, length(run))) AS i FROM r WHERE length(run) >= 2) UNION ALL SELECT substr(run, i, 3) FROM (SELECT run, unnest(range(1, length(run) - 1)) AS i FROM r WHERE length(run) >= 3))
+SELECT ngram, count(*) AS n FROM g GROUP BY 1""")
+def x_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Character n-grams over all chunks."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct()
+    return own.select(F.explode(tx.ngrams(F.lower("text_raw"))).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH c AS (SELECT row_id, length(regexp_replace(text_raw, '[^\p{Hiragana}\p{Katakana}]', '', 'g')) AS kana, length(regexp_replace(text_raw, '[^\p{Han}]', '', 'g')) AS han, length(regexp_replace(text_raw, '[^\p{Hangul}]', '', 'g')) AS hangul FROM (SELECT DISTINCT row_id, text_raw FROM chunks)),
+o AS (SELECT row_id, CASE WHEN kana > 0 THEN kana + han ELSE 0 END AS ja, hangul AS ko, CASE WHEN kana = 0 THEN han ELSE 0 END AS zh FROM c)
+SELECT row_id, CASE WHEN ja > 0 AND ja >= ko THEN 'ja' WHEN ko > 0 AND ko >= zh THEN 'ko' WHEN zh > 0 THEN 'zh' ELSE 'und' END AS primary_language FROM o""")
+def x_primary_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language that scripts alone tell, of each chunk."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("s", tx.script_counts("text_raw")).withColumn("l", tx.language_of("s"))
+    return own.select("row_id", "l.primary_language")
+
+
+@query("""WITH h AS (SELECT row_id, text_raw AS t, instr(lower(text_raw), 'lantern') - 1 AS o FROM (SELECT DISTINCT row_id, text_raw FROM chunks) WHERE contains(lower(text_raw), 'lantern')),
+s AS (SELECT *, greatest(0, o - 60) AS a FROM h), e AS (SELECT *, least(length(t), a + 240) AS b FROM s)
+SELECT row_id, CASE WHEN a > 0 THEN '…' ELSE '' END || substr(t, a + 1, b - a) || CASE WHEN b < length(t) THEN '…' ELSE '' END AS snippet, CAST(o - a + CASE WHEN a > 0 THEN 1 ELSE 0 END AS INT) AS highlight_start, CAST(length(t[1:o]) - length(replace(t[1:o], chr(10), '')) AS INT) AS line FROM e""")
+def x_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets around a word, with the place of the highlight and the line."""
+    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("o", tx.find_verified("text_raw", F.lit("Lantern"))).where("o is not null")
+    made = own.withColumn("s", tx.snippet("text_raw", F.col("o"), F.lit(7)))
+    return made.select("row_id", "s.snippet", "s.highlight_start", tx.count_lines("text_raw", F.col("o")).alias("line"))
+
+
+@query("SELECT vec_id, abs(sqrt(list_inner_product(v, v)) - 1) < 0.01 AS is_unit FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def x_is_unit(spark: SparkSession, d: str) -> DataFrame:
+    """Which vectors are normalised."""
+    return table(spark, d, "embeddings").select("vec_id", vectors.is_unit(F.col("embedding")).alias("is_unit"))
+
+
+@query(r"SELECT DISTINCT path_raw AS path FROM sources WHERE regexp_matches(lower(path_raw), '\.md$') AND (starts_with(path_raw, 'notes/') OR path_raw = 'notes' OR regexp_matches(path_raw, '^projects/.*/.*$')) AND NOT (starts_with(path_raw, 'notes/daily/') OR path_raw = 'notes/daily')")
+def s_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Paths in a corpus scope with folders, a pattern and an exclusion."""
+    paths = table(spark, d, "sources").select(F.col("path_raw").alias("path")).distinct()
+    return paths.where(indexing.in_scope("path", ("md",), ("notes", "projects/*/*"), ("notes/daily",)))
+
+
+@query("""SELECT source_id, row_id FROM (SELECT DISTINCT source_id, row_id, chunk_ordinal, length(text_raw) AS n FROM chunks WHERE embedding_base64 IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, chunk_ordinal, row_id) <= 4""")
+def c_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The four longest chunks with vectors of each source."""
+    own = table(spark, d, "chunks").withColumn("embedding", F.when(F.col("embedding_base64").isNotNull(), F.array(F.lit(1.0))))
+    return connections.representative_blocks(own).select("source_id", "row_id")
+
+
+@query("""WITH t AS (SELECT source_id, path_raw AS path, max(source_revision) OVER (PARTITION BY source_id) AS latest, source_revision AS revision, lower(raw_content_hash) AS h FROM (SELECT DISTINCT source_id, path_raw, source_revision, raw_content_hash FROM vault_changes)),
+m AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = 'idx-2025-main' GROUP BY 1), s AS (SELECT source_id, min(lower(raw_content_hash)) AS old FROM sources GROUP BY 1)
+SELECT CASE WHEN h IS NULL THEN 'removed' WHEN revision < latest OR revision <= coalesce(held, 0) THEN 'superseded' WHEN h = old THEN 'skipped' ELSE 'index' END AS outcome, count(*) AS tasks FROM t LEFT JOIN m USING (source_id) LEFT JOIN s USING (source_id) GROUP BY 1""")
+def m_decide(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each delivered revision: removed, superseded, skipped or indexed."""
+    from pyspark.sql import Window
+
+    feed = table(spark, d, "vault_changes", "source_id", "path_raw", "source_revision", "raw_content_hash").distinct()
+    tasks = feed.select("source_id", F.col("path_raw").alias("path"), F.col("source_revision").alias("revision"), F.max("source_revision").over(Window.partitionBy("source_id")).alias("latest_revision"), "raw_content_hash")
+    catalog = table(spark, d, "sources").groupBy("source_id").agg(F.min(F.lower("raw_content_hash")).alias("raw_content_hash"))
+    return mutations.decide_upsert(tasks, table(spark, d, "index_manifest"), catalog, "idx-2025-main").groupBy("outcome").agg(F.count("*").alias("tasks"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source_id, path_raw, filename_raw, source_revision, folder_norm, extension FROM sources)
+SELECT source_id, CASE WHEN extension = 'txt' THEN 'Moved/' || filename_raw ELSE path_raw END AS path_raw, CASE WHEN extension = 'txt' THEN 'moved' ELSE folder_norm END AS folder_norm, CAST(source_revision + CASE WHEN extension = 'txt' THEN 1 ELSE 0 END AS INT) AS source_revision FROM s""")
+def m_rename(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog after moving all text files to another folder."""
+    sources = table(spark, d, "sources").dropDuplicates(["source_id"])
+    moves = sources.where("extension = 'txt'").select("source_id", F.concat(F.lit("Moved/"), "filename_raw").alias("new_path"))
+    return mutations.rename_sources(sources, table(spark, d, "chunks"), moves)[0].select("source_id", "path_raw", "folder_norm", "source_revision")
+
+
+@query("""WITH s AS (SELECT DISTINCT source_id, source_revision FROM sources), held AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = 'idx-2025-main' GROUP BY 1),
+fresh AS (SELECT source_id FROM s LEFT JOIN held USING (source_id) WHERE held IS NULL OR source_revision > held)
+SELECT 'fresh' AS kind, count(*) AS n FROM fresh UNION ALL SELECT 'chunks', count(*) FROM (SELECT DISTINCT row_id FROM chunks WHERE source_id NOT IN (SELECT source_id FROM fresh))""")
+def m_commit(spark: SparkSession, d: str) -> DataFrame:
+    """A commit of all catalog rows that are newer than what is indexed: how many, and how many chunks of others stay."""
+    sources = table(spark, d, "sources").dropDuplicates(["source_id"])
+    chunks = table(spark, d, "chunks").dropDuplicates(["row_id"])
+    manifest = table(spark, d, "index_manifest")
+    after = mutations.commit_sources(sources.limit(0), chunks, manifest, sources, chunks.limit(0), "idx-2025-main")
+    return after[0].agg(F.lit("fresh").alias("kind"), F.count("*").alias("n")).unionByName(after[1].agg(F.lit("chunks").alias("kind"), F.count("*").alias("n")))
+
+
+@query("""SELECT source_id, count(*) AS bursts, max(n) AS largest FROM (SELECT source_id, b, count(*) AS n FROM (
+  SELECT source_id, sum(new) OVER (PARTITION BY source_id ORDER BY arrived_at, seq ROWS UNBOUNDED PRECEDING) AS b FROM (
+    SELECT source_id, arrived_at, seq, CASE WHEN lag(arrived_at) OVER (PARTITION BY source_id ORDER BY arrived_at, seq) > arrived_at - INTERVAL 7 DAY THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT seq, source_id, arrived_at FROM vault_changes WHERE arrived_at IS NOT NULL))) GROUP BY 1, 2) GROUP BY 1""")
+def r_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of events of each source: a burst ends when a week passes without any (event-time sessions)."""
+    events = table(spark, d, "vault_changes", "seq", "source_id", "arrived_at").distinct().where("arrived_at is not null")
+    bursts = events.groupBy("source_id", F.session_window("arrived_at", "7 days")).agg(F.count("*").alias("n"))
+    return bursts.groupBy("source_id").agg(F.count("*").alias("bursts"), F.max("n").alias("largest"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), t AS (SELECT list_cosine_similarity(a.v, b.v) > list_cosine_similarity(a.v, c.v) AS ok FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2)
+SELECT count(*) AS pairs, count(*) FILTER (ok) AS passed, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS score, bool_and(ok) AS verified FROM t""")
+def e_cross_language(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that are nearer to each other than to a distractor."""
+    e = table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("translation"))
+    c = e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("distractor"))
+    triples = e.select("vec_id", F.col("embedding").alias("anchor")).join(b, "vec_id").join(c, "vec_id")
+    return evaluation.cross_language(triples).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv, label AS ql FROM e WHERE vec_id % 100 = 0),
+truth AS (SELECT query_id, vec_id, ql, label FROM q, e WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, v) DESC, CAST(vec_id AS VARCHAR)) <= 10)
+SELECT CAST(query_id AS VARCHAR) AS query_id, round(count(*) FILTER (ql = label) / 10.0, 6) AS recall FROM truth GROUP BY 1""")
+def e_overlap_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the ten nearest vectors that a search within the same label finds."""
+    rows = _vector_rows(spark, d).select("row_id", F.col("row_id").alias("source_id"), "embedding", F.col("source_id").alias("label"))
+    asked = rows.where(F.col("row_id").cast("long") % 100 == 0).select(F.col("row_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("row_id").alias("exclude_source_id"))
+    truth = semantic.search_many(rows, asked, 10).select("query_id", F.col("row_id").alias("id"))
+    labels = rows.select("row_id", "label")
+    same = truth.join(labels.toDF("query_id", "ql"), "query_id").join(labels.toDF("id", "label"), "id").where("ql = label").select("query_id", "id")
+    return evaluation.overlap_recall(same, truth, 10).select("query_id", F.round("recall", 6).alias("recall"))
