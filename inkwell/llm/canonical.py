@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.session import cut
+
 # Letters of other scripts that look like a Latin letter (shape: Cyrillic, Greek), in alphabetical order.
 LOOKALIKES = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уγ",
@@ -152,7 +154,7 @@ def look_alikes(df: DataFrame) -> DataFrame:
     Spellings of one form are paired first, then expanded to their records, so equal strings never meet each
     other, however many records share one; the join costs what its result holds.
     """
-    named = canonical_keys(df).distinct()
+    named = cut(canonical_keys(df).distinct(), "forms")  # read four times below
     spellings = named.select("field_name", "form", "own").distinct()
     several = spellings.groupBy("field_name", "form").count().where("count > 1").drop("count")
     spellings = spellings.join(several, ["field_name", "form"], "left_semi")
