@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import cut
+
 K1, B = 1.2, 0.75
 HOT_DF, HOT_TERMS = 50_000, 20_000
 FIELDS = ("lexical_terms", "lexical_ngrams", "title_terms", "tag_terms")
@@ -38,9 +40,11 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return by_source.groupBy("field_name", "term").agg(F.sum("n").alias("df"), F.count("source_id").alias("n_sources"))
 
 
-def field_statistics(posted: DataFrame) -> DataFrame:
-    """(field_name, n_docs, avg_length): one row per field."""
-    return posted.groupBy("field_name", "row_id").agg(F.first("length").alias("length")).groupBy("field_name").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+def field_statistics(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field_name, n_docs, avg_length): one row per field. Only lengths are shuffled."""
+    sizes = F.array(*[F.struct(F.lit(f).alias("field_name"), F.size(F.filter(f, lambda t: t.isNotNull())).alias("length")) for f in fields])
+    once = chunks.where("row_id is not null").select("row_id", sizes.alias("sizes")).dropDuplicates(["row_id"])
+    return once.select(F.explode("sizes").alias("s")).where("s.length > 0").groupBy("s.field_name").agg(F.count("*").alias("n_docs"), F.avg("s.length").alias("avg_length"))
 
 
 def term_weights(chunks: DataFrame, fields: tuple[str, ...] = FIELDS, keep=None, keep_terms=None, k1: float = K1, b: float = B) -> DataFrame:
@@ -49,7 +53,7 @@ def term_weights(chunks: DataFrame, fields: tuple[str, ...] = FIELDS, keep=None,
     keep (a condition on postings) and keep_terms (a condition on df and n_sources) select what is scored;
     the statistics always cover all records.
     """
-    posted = postings(chunks, fields)
+    posted = cut(postings(chunks, fields), "postings")  # read by the statistics and by the scores
     terms = term_statistics(posted)
     wanted = posted if keep is None else posted.where(keep)
     if keep_terms is not None:
@@ -60,7 +64,7 @@ def term_weights(chunks: DataFrame, fields: tuple[str, ...] = FIELDS, keep=None,
         easy = marked.where("_df is not null").withColumnsRenamed({"_df": "df", "_n": "n_sources"})
         rest = marked.where("_df is null").drop("_df", "_n").join(terms, ["field_name", "term"])
         scored = easy.unionByName(rest)
-    scored = scored.join(F.broadcast(field_statistics(posted).limit(len(fields))), "field_name")
+    scored = scored.join(F.broadcast(field_statistics(chunks, fields).limit(len(fields))), "field_name")
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     return scored.select("row_id", "field_name", "term", "tf", "df", "n_sources", (idf * tf).alias("weight"))
