@@ -67,6 +67,11 @@ def exclude_terms(hits: DataFrame, postings: DataFrame, excluded: list[str]) ->
     return hits.join(bad, "row_id", "left_anti")
 
 
+def only_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of a query's few terms: a predicate that reaches the scan, where sorted files skip the rest."""
+    return postings.where(F.col("term").isin(*terms)) if terms else postings.limit(0)
+
+
 def search(chunks: DataFrame, postings: DataFrame, statistics: DataFrame, query: DataFrame, limit: int = 80, excluded: list[str] = (), row_filter: RowFilter | None = None) -> DataFrame:
     """(row_id, source_id, score, matched_fields, matched_terms, rank): the best records, ties by row_id."""
     hits = exclude_terms(bm25(postings, statistics, query), postings, list(excluded))

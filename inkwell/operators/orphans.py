@@ -96,7 +96,7 @@ def resolve(refs: DataFrame, parent_keys: DataFrame) -> DataFrame:
 def orphans(sources: DataFrame, chunks: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """(ref_table, ref_key, ref_pos, period, status) of every reference whose parent is missing or deleted."""
     found = resolve(references(sources, chunks), parents(sources, changes)).where("status in ('missing', 'deleted')")
-    return found.select("ref_table", "ref_key", "ref_pos", F.date_format(F.timestamp_millis("ref_ms"), "yyyy-MM").alias("period"), "status")
+    return found.select("ref_table", "ref_key", "ref_pos", F.date_format(F.date_from_unix_date(F.floor(F.col("ref_ms") / 86_400_000).cast("int")), "yyyy-MM").alias("period"), "status")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ class SearchService:
             (terms, ngrams, identifiers), *rest = self.analyze(query.content_text, *query.excluded)
             excluded = [x for t, n, _ in rest for x in t + n]
             wanted = lexical.query_terms(self.spark, terms, ngrams, identifiers)
-            found_lexical = lexical.search(self.chunks, self.postings, self.statistics, wanted, p.lexical_limit, excluded, rows)
+            own = lexical.only_terms(self.postings, list(dict.fromkeys([*terms, *ngrams, *identifiers, *excluded])))
+            found_lexical = lexical.search(self.chunks, own, self.statistics, wanted, p.lexical_limit, excluded, rows)
         if plan.semantic:
             vector = self.embed(query.content_text)
             if vector is None:
@@ -86,6 +87,20 @@ class SearchService:
         return Response(fusion.hydrate(page, self.chunks, self.sources), plan, query, tuple(dict.fromkeys(degraded)))
 
 
+def save_index(store, sources: DataFrame, chunks: DataFrame) -> int:
+    """Write sources, chunks (without term arrays), postings and statistics as the next version of an artifact."""
+    slim = chunks.dropDuplicates(["row_id"]).drop(*[c for c in chunks.columns if c.endswith(("_terms", "_ngrams"))])
+    return store.save(sources=sources.dropDuplicates(["source_id"]), chunks=slim, postings=lexical.build_postings(chunks), statistics=lexical.field_statistics(chunks))
+
+
+def open_index(store, embed: Callable[[str], list[float] | None] | None = None, profile: Profile = Profile()) -> SearchService:
+    """A service over a saved artifact."""
+    state, tables = store.load()
+    if state != "ready":
+        raise LookupError(f"the artifact is {state}")
+    return SearchService(tables["sources"], tables["chunks"], tables["postings"], tables["statistics"], embed, profile)
+
+
 def metadata_scan(sources: DataFrame, rows: RowFilter, limit: int) -> DataFrame:
     """Sources that match a filter, by path."""
     own = apply_filter(sources, rows).select("source_id", F.col("path_raw").alias("path"), F.col("filename_raw").alias("filename"), F.col("title_raw").alias("title"), F.col("folder_raw").alias("folder"), "languages").dropDuplicates(["source_id"])

@@ -63,8 +63,10 @@ class ArtifactStore:
             last = 0
         version = last + 1
         for name, df in tables.items():
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("field") if name == "postings" else writer).parquet(f"{self.base}/v{version}/{name}")
+            if name == "postings":  # by field, sorted by term: a query reads the row groups of its terms
+                df.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{self.base}/v{version}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{self.base}/v{version}/{name}")
         text = json.dumps({"artifact_id": self.artifact_id, "fingerprint": self.fingerprint, "version": version, "tables": sorted(tables)})
         tmp, final = self._path(f"{self.base}/artifact.new"), self._path(f"{self.base}/artifact.json")
         out = self._fs.create(tmp, True)

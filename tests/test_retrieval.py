@@ -103,6 +103,18 @@ def test_search_service(spark, vault):
     assert empty.search("vector").results.count() == 0
 
 
+def test_saved_index(spark, vault, tmp_path):
+    from inkwell.plans.search import open_index, save_index
+    from inkwell.sources.vault import ArtifactStore
+
+    store = ArtifactStore(spark, f"file://{tmp_path}", "main", "f")
+    with pytest.raises(LookupError):
+        open_index(store)
+    save_index(store, *vault)
+    keys = lambda s: [(r["id"], round(r["score"], 9)) for r in s.search("vector data -design").results.orderBy("rank").collect()]
+    assert keys(open_index(store)) == keys(SearchService(*vault)) != []
+
+
 def semantic_stub(_):
     return [1.0, 0.0, 0.0]
 
