@@ -5,6 +5,7 @@ Nulls: every function of a null is null, unless it returns an array, which is th
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -17,6 +18,7 @@ SCRIPTS = ("Latin", "Han", "Hiragana", "Katakana", "Hangul", "Cyrillic", "Arabic
 # Scripts whose runs are cut into character n-grams.
 NGRAM_RUNS = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+", r"\p{IsHangul}+", r"\p{IsThai}+", r"\p{IsLao}+", r"\p{IsMyanmar}+", r"\p{IsKhmer}+")
 NO_SPACE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]"
+# What an identifier is and where its words part.
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*(?:(?:::|[./-])[\p{L}\p{N}_]+)*"
 SEPARATORS = r"::|[./\-_]"
 CAMEL = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
@@ -136,6 +138,31 @@ def with_analysis(df: DataFrame, text: str, to: str, low: int = 2, high: int = 3
     return out.withColumn(to, value).drop(n, w, f)
 
 
+_RUNS = tuple(re.compile(c) for c in ("[\u3005\u3007\u3021-\u3029\u3040-\u3096\u309d-\u309f\u30a1-\u30fa\u30fd-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff6f\uff71-\uff9d\U00020000-\U000323af]+", "[\u1100-\u11ff\u3131-\u318e\uac00-\ud7a3]+", "[\u0e01-\u0e3a\u0e40-\u0e5b]+", "[\u0e81-\u0edf]+", "[\u1000-\u109f]+", "[\u1780-\u17ff]+"))
+_NAME = re.compile(r"[^\W\d]\w*(?:(?:::|[./-])\w+)*")
+
+
+def analyze_words(text: str, low: int = 2, high: int = 3, nfkc: bool = True) -> tuple[list[str], list[str], list[str]]:
+    """Terms (folded forms at the end), n-grams and identifier terms of a query's few words, as with_analysis has them for columns."""
+    from inkwell.plans.query import split_identifier
+
+    normal = " ".join((unicodedata.normalize("NFKC", text) if nfkc else text).lower().split())
+    terms, folded = re.findall(r"\w+", normal), re.findall(r"\w+", fold(normal))
+    if len(terms) == len(folded):
+        terms = terms + [b for a, b in zip(terms, folded) if a != b]
+    grams: list[str] = []
+    for runs in _RUNS:
+        for run in runs.findall(normal):
+            grams += [run] if len(run) < low else [run[i : i + n] for n in range(low, high + 1) for i in range(len(run) - n + 1)]
+    names: list[str] = []
+    for token in _NAME.findall(text):
+        parts = [p.lower() for p in split_identifier(token)]
+        if len(parts) >= 2:
+            joined = ["".join(own).lower() for own in map(split_identifier, re.split(SEPARATORS, token)) if len(own) >= 2]
+            names += dict.fromkeys([token.lower(), *parts, *(glue.join(parts) for glue in ("", "_", "-")), *joined])
+    return terms, grams, names
+
+
 def script_counts(text: Column | str) -> Column:
     """array<struct(script, count)> of the letters of a text, most frequent first, in the order of SCRIPTS among equals."""
     t = _column(text)
@@ -244,8 +271,6 @@ def utf8_length(text: Column | str) -> Column:
 
 def render_template(template: str, variables: dict[str, Column]) -> tuple[Column, list[str], list[str]]:
     """The filled template, the variables used and those that are unknown (they become empty). One pass: values are never expanded."""
-    import re
-
     parts, used, missing, at = [], [], [], 0
     for m in re.finditer(r"\{\{\s*([A-Za-z_][\w.]*)\s*\}\}", template):
         parts.append(F.lit(template[at : m.start()]))

@@ -44,12 +44,6 @@ class SearchService:
         self.statistics = statistics if statistics is not None else lexical.field_statistics(chunks)
         self.spark = sources.sparkSession
 
-    def analyze(self, *texts: str) -> list[tuple[list[str], list[str], list[str]]]:
-        """Terms, n-grams and identifier terms of the texts of a query, in one job, by the same columns that index texts."""
-        df = self.spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-        rows = text.with_analysis(df, "t", "a").collect()
-        return [(list(r["a"]["terms"]) + list(r["a"]["secondary_terms"]), list(r["a"]["ngrams"]), list(r["a"]["identifier_terms"])) for r in sorted(rows, key=lambda r: r["i"])]
-
     def search(self, raw: str, mode: str = "auto", limit: int = 20, result_type: str = "blocks", base: RowFilter | None = None, case_sensitive: bool = False) -> Response:
         query = q.parse(raw)
         plan = q.plan(query, mode, embedding=self.embed is not None and "embedding" in self.chunks.columns)
@@ -63,7 +57,7 @@ class SearchService:
             explicit = plan.mode == "exact" or "semantic_unavailable" in degraded and plan.mode == "semantic"
             found_exact = exact.search(self.sources, self.chunks, q.needles(query, explicit), p.exact_limit, case_sensitive, rows)
         if plan.lexical:
-            (terms, ngrams, identifiers), *rest = self.analyze(query.content_text, *query.excluded)
+            (terms, ngrams, identifiers), *rest = map(text.analyze_words, (query.content_text, *query.excluded))
             excluded = [x for t, n, _ in rest for x in t + n]
             wanted = lexical.query_terms(self.spark, terms, ngrams, identifiers)
             own = lexical.only_terms(self.postings, list(dict.fromkeys([*terms, *ngrams, *identifiers, *excluded])))

@@ -64,6 +64,14 @@ def test_find_and_snippet(spark):
     assert _one(spark, "short", text.snippet("x", F.lit(None).cast("int"), F.lit(None).cast("int")).alias("s"))["s"]["snippet"] == "short"
 
 
+def test_plain_analysis_equals_columns(spark):
+    values = ["HTTPServerIndex2Go std::vec café ＦＵＬＬ　幅", "全文検索エンジン ー 々 한국어 검색 ไทย ພາສາ မြန်မာ ខ្មែរ", "snake_case-kebab a.b/c.D x² ½ Ⅷ", "İstanbul ßtraße Ärger", "", "  ", "検", "don't __a__ v1.2", "ｶﾅ かな カナ"]
+    rows = text.with_analysis(spark.createDataFrame([(v,) for v in values], "x string"), "x", "a").collect()
+    for r in rows:
+        a = r["a"]
+        assert text.analyze_words(r["x"]) == (list(a["terms"]) + list(a["secondary_terms"]), list(a["ngrams"]), list(a["identifier_terms"])), r["x"]
+
+
 def test_paths_and_links(spark):
     r = _one(spark, "Notes\\Sub/A.b.MD", text.path_terms("x").alias("p"))["p"]
     assert list(r) == ["notes", "sub", "a.b.md", "a.b", "md", "notes/sub/a.b.md"]
