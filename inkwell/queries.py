@@ -123,7 +123,7 @@ def x_token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT DISTINCT row_id, text_raw FROM chunks), s AS (SELECT row_id, unnest([" + ", ".join(rf"{{'script': '{s}', 'n': length(regexp_replace(text_raw, '[^\p{{{s}}}]', '', 'g'))}}" for s in tx.SCRIPTS) + "]) AS x FROM c) SELECT x.script AS script, count(*) AS chunks, sum(x.n) AS letters FROM s WHERE x.n > 0 GROUP BY 1"
+    "WITH c AS (SELECT DISTINCT row_id, text_raw FROM chunks), s AS (SELECT row_id, unnest([" + ", ".join(rf"{{'script': '{s}', 'n': length(regexp_replace(text_raw, '[^\p{{{s}}}]', '', 'g'))}}" for s in tx.SCRIPTS) + "]) AS x FROM c) SELECT x.script AS script, count(*) AS chunks, CAST(sum(x.n) AS BIGINT) AS letters FROM s WHERE x.n > 0 GROUP BY 1"
 )
 def x_scripts(spark: SparkSession, d: str) -> DataFrame:
     """Letters by script over all chunks."""
@@ -177,7 +177,7 @@ dfs AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL)
 """
 
 
-@query(_POSTINGS_SQL + "SELECT field, count(*) AS postings, count(DISTINCT term) AS terms, sum(tf) AS occurrences, max(df) AS top_df FROM p JOIN dfs USING (field, term) GROUP BY 1")
+@query(_POSTINGS_SQL + "SELECT field, count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences, max(df) AS top_df FROM p JOIN dfs USING (field, term) GROUP BY 1")
 def l_postings(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index by field: postings, terms, occurrences and the largest document frequency."""
     by_term = lexical.build_postings(table(spark, d, "chunks")).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -211,7 +211,7 @@ def _lexical_hits(spark: SparkSession, d: str) -> DataFrame:
     return lexical.ranked(own.withColumn("_s", F.round("score", 9)), 80, F.desc("_s"), F.asc("row_id")).drop("_s")
 
 
-@query(_HITS_SQL + "SELECT row_id, round(score, 6) AS score, rank FROM lex")
+@query(_HITS_SQL + "SELECT row_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM lex")
 def q_lexical(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over nine weighted fields, with an excluded term."""
     return _lexical_hits(spark, d).select("row_id", F.round("score", 6).alias("score"), "rank")
@@ -232,7 +232,7 @@ def _exact_hits(spark: SparkSession, d: str) -> DataFrame:
     return exact.search(table(spark, d, "sources"), table(spark, d, "chunks"), wanted, 200)
 
 
-@query("WITH " + _EXACT_SQL + "SELECT source_id, row_id, field, lower(phrase) AS phrase, off AS \"offset\", rank FROM ex")
+@query("WITH " + _EXACT_SQL + "SELECT source_id, row_id, field, lower(phrase) AS phrase, CAST(off AS INT) AS \"offset\", CAST(rank AS INT) AS rank FROM ex")
 def q_exact(spark: SparkSession, d: str) -> DataFrame:
     """Phrases in titles and texts, verified against the raw values."""
     return _exact_hits(spark, d).select("source_id", "row_id", "field", F.lower("phrase").alias("phrase"), "offset", "rank")
@@ -430,7 +430,7 @@ def i_embed(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT row_id, source_id, chunk_ordinal, block_type FROM chunks), r AS (SELECT source_id AS query_id, row_id AS target_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_ordinal DESC, row_id) AS rank FROM c),
 e AS (SELECT DISTINCT source_id AS query_id, row_id AS target_id, block_type AS grp FROM c WHERE chunk_ordinal = 1),
 q AS (SELECT e.query_id, grp, min(r.rank) AS first FROM e LEFT JOIN r ON r.query_id = e.query_id AND r.target_id = e.target_id GROUP BY 1, 2)
-SELECT grp AS "group", count(*) AS queries, round(avg(CASE WHEN first <= 2 THEN 1 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 6) AS mrr, 0.0 AS zero_rate FROM q GROUP BY 1""")
+SELECT grp AS "group", count(*) AS queries, round(avg(CASE WHEN first <= 2 THEN 1 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 6) AS mrr, CAST(0 AS DOUBLE) AS zero_rate FROM q GROUP BY 1""")
 def e_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and zero results by group; ranked lists are the chunks of a source, last first."""
     from pyspark.sql import Window
