@@ -100,7 +100,7 @@ class LanguageModel:
         raw = []
         for i in allowed:
             s = sum(math.log((self.grams[i].get(n, {}).get(g, 0) + 0.2) / (self.gram_total[i].get(n, 0) + 0.2 * self.gram_kinds[n])) for n, g in parts)
-            raw.append(1.5 * s / math.sqrt(len(parts)) / 1.5 + math.log((self.words[i].get(word, 0) + 0.1) / self.word_total[i]))
+            raw.append(s / math.sqrt(len(parts)) + math.log((self.words[i].get(word, 0) + 0.1) / self.word_total[i]))
         best = max(raw)
         for i, s in zip(allowed, raw):
             out[i] = max(FLOOR, s - best)

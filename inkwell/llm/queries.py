@@ -86,7 +86,7 @@ s AS (
   SELECT row_id, field_name, term, tf, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_length)) AS weight
   FROM p JOIN t USING (field_name, term) JOIN n USING (field_name) JOIN l USING (row_id, field_name)
 )
-SELECT row_id, field_name, count(*) AS terms, max(tf) AS max_tf, round(sum(weight), 4) AS total_weight FROM s GROUP BY ALL"""
+SELECT row_id, field_name, count(*) AS terms, CAST(max(tf) AS INT) AS max_tf, round(sum(weight), 4) AS total_weight FROM s GROUP BY ALL"""
 )
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     """All weights, summed up per chunk and field."""

@@ -102,10 +102,9 @@ def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(out[: len(out) - (width - reach)], out[width - reach :]) if width > reach else out
 
 
-def _merge(starts: np.ndarray, names: np.ndarray, joins: np.ndarray, fused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """joins: symbols that are swallowed by the one before; fused: the new names, where a symbol swallows."""
-    keep = ~joins
-    return starts[keep], fused[keep]
+def _merge(starts: np.ndarray, fused: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and new names without the symbols that the one before swallows."""
+    return starts[~joins], fused[~joins]
 
 
 def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +129,7 @@ def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.
         short = (size > 1) & (size * lengths[heads] <= RUN_LENGTH)
         fused = names.copy()
         fused[heads[short]] = _mix(names[heads[short]] ^ (size[short].astype(np.uint64) * _K3))
-        starts, names = _merge(starts, names, same & np.repeat(short, size), fused)
+        starts, names = _merge(starts, fused, same & np.repeat(short, size))
     # pairs
     for number, most in enumerate(PAIR_LENGTHS):
         lengths = np.diff(starts, append=n)
@@ -141,7 +140,7 @@ def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.
         at = np.flatnonzero(pair)
         fused = names.copy()
         fused[at - 1] = _mix(names[at - 1] * _K1 + names[at] + np.uint64(number + 1))
-        starts, names = _merge(starts, names, pair, fused)
+        starts, names = _merge(starts, fused, pair)
     return starts, names
 
 
