@@ -30,23 +30,39 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one if (as in tests) it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (as in tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+        path = _OWN_DIRS[app]
     return path.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that any executor can read again."""
+    """Write df to the shared folder and read it back: a lineage cut that any executor can read again.
+
+    The files stay until drop_cuts, as results that are still lazy may read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all that this application has cut; call it when no lazy result is left to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, wherever they run; once for each application."""
     sc = spark.sparkContext
