@@ -186,22 +186,29 @@ def _confidence(scores: np.ndarray, lang: int) -> float:
     return float(1 / np.exp(np.minimum(total - total[lang], 50)).sum())
 
 
-def languages_in(model: LanguageModel, text: str | None) -> list[tuple[str, int, float]]:
-    """(language, characters, confidence) of the whole sentences of a text, most characters first."""
+def _read(model: LanguageModel, text: str | None) -> tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray] | None:
+    """The text without markup, its tokens, their ids, and the scores and labels of those that are words; None without words."""
     if not text or not model.langs:
-        return []
-    plain = prose(canonical(text))
-    tokens = words_of(plain.lower())
-    if not tokens:
-        return []
+        return None
+    plain = prose(canonical(text)).lower()
+    tokens = words_of(plain)
     ids = model.ids(tokens)
+    if not (ids >= 0).any():
+        return None
+    scores = model.rows(ids[ids >= 0])
+    return plain, tokens, ids, scores, viterbi(scores)
+
+
+def languages_in(model: LanguageModel, text: str | None) -> list[tuple[str, int, float]]:
+    """(language, characters, confidence) of the whole sentences of a text, most characters first."""
+    read = _read(model, text)
+    return _languages(model, *read) if read else []
+
+
+def _languages(model: LanguageModel, plain: str, tokens: list[str], ids: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> list[tuple[str, int, float]]:
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     word = ids >= 0
-    if not word.any():
-        return []
     sentence = np.cumsum(ids == -1)[word]
-    scores = model.rows(ids[word])
-    labels = viterbi(scores)
     size = sizes[word]
     starts = np.flatnonzero(np.diff(sentence, prepend=-1))
     sentence = np.cumsum(np.diff(sentence, prepend=sentence[0]) > 0)
@@ -230,18 +237,14 @@ def _unparted(ch: str) -> bool:
 
 def segments_in(model: LanguageModel, text: str | None) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the spans of one language, positions in the text without markup."""
-    if not text or not model.langs:
-        return []
-    plain = prose(canonical(text)).lower()
-    found = [m for m in _TOKEN.finditer(plain)]
-    ids = model.ids([m[0] for m in found])
-    kept = [m for m, i in zip(found, ids.tolist()) if i >= 0]
-    if not kept:
-        return []
-    scores = model.rows(ids[ids >= 0])
-    labels = viterbi(scores)
+    read = _read(model, text)
+    return _segments(model, *read) if read else []
+
+
+def _segments(model: LanguageModel, plain: str, tokens: list[str], ids: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, str, float]]:
+    kept = [m.span() for m, i in zip(_TOKEN.finditer(plain), ids.tolist()) if i >= 0]
     cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
-    return [(kept[a].start(), kept[b - 1].end(), model.langs[labels[a]], _confidence(scores[a:b], int(labels[a]))) for a, b in zip(cuts, cuts[1:])]
+    return [(kept[a][0], kept[b - 1][1], model.langs[labels[a]], _confidence(scores[a:b], int(labels[a]))) for a, b in zip(cuts, cuts[1:])]
 
 
 def fit(samples: DataFrame) -> LanguageModel:
@@ -261,9 +264,13 @@ def label_languages(df: DataFrame, model: LanguageModel, key: str, text: str, se
         for pdf in batches:
             if not len(pdf):
                 continue
-            out = {"k": pdf["_k"], "langs": [[{"lang": a, "chars": b, "confidence": c} for a, b, c in languages_in(own, t)] for t in pdf["_t"]]}
-            if segments:
-                out["segments"] = [[{"start": a, "end": b, "lang": c, "confidence": p} for a, b, c, p in segments_in(own, t)] for t in pdf["_t"]]
+            langs, spans = [], []
+            for t in pdf["_t"]:
+                read = _read(own, t)
+                langs.append([{"lang": a, "chars": b, "confidence": c} for a, b, c in _languages(own, *read)] if read else [])
+                if segments:
+                    spans.append([{"start": a, "end": b, "lang": c, "confidence": p} for a, b, c, p in _segments(own, *read)] if read else [])
+            out = {"k": pdf["_k"], "langs": langs} | ({"segments": spans} if segments else {})
             yield pd.DataFrame(out)
 
     return df.selectExpr(f"`{key}` as _k", f"`{text}` as _t").mapInPandas(run, schema).withColumnRenamed("k", key)
@@ -283,6 +290,20 @@ def label_codes(labels: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def text_segments(chunks: DataFrame, documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """(ref_table, ref_key, text_lang, text_confidence, start, end, lang, confidence): the language of most of each text and its spans.
+
+    Every chunk and document comes out: one row for each span, one with null spans where there are no words. text_lang is null
+    in texts without a whole sentence.
+    """
+    texts = chunks.where("row_id is not null").select(F.struct(F.lit("chunks").alias("ref_table"), F.col("row_id").alias("ref_key")).alias("id"), F.col("text_raw").alias("text"))
+    texts = texts.unionByName(documents.where("doc_id is not null").select(F.struct(F.lit("documents").alias("ref_table"), F.col("doc_id").cast("string").alias("ref_key")).alias("id"), "text"))
+    done = label_languages(texts, model, "id", "text", segments=True)
+    once = done.select("id.ref_table", "id.ref_key", F.get("langs", F.lit(0)).alias("main"), "segments").dropDuplicates(["ref_table", "ref_key"])
+    each = once.select("ref_table", "ref_key", F.col("main.lang").alias("text_lang"), F.col("main.confidence").alias("text_confidence"), F.explode_outer("segments").alias("s"))
+    return each.select("ref_table", "ref_key", "text_lang", "text_confidence", "s.start", "s.end", "s.lang", "s.confidence")
+
+
 def wrong_labels(chunks: DataFrame, sources: DataFrame, documents: DataFrame, model: LanguageModel) -> DataFrame:
     """(ref_table, ref_key, lang_code): records with missing or wrong labels and the languages they really have."""
     once = chunks.where("row_id is not null").select("row_id", F.struct("source_id", "language_codes").alias("own"), "text_raw")

@@ -111,10 +111,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    """The spans of one language in each document, with confidence."""
+    """The language of each chunk and document and of its spans of one language, with confidence."""
     model = language.fit(table(spark, d, "lang_samples"))
-    done = language.label_languages(table(spark, d, "documents", "doc_id", "text"), model, "doc_id", "text", segments=True)
-    return done.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.start", "s.end", "s.lang", "s.confidence")
+    return language.text_segments(table(spark, d, "chunks", "row_id", "text_raw"), table(spark, d, "documents", "doc_id", "text"), model)
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:

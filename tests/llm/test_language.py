@@ -57,3 +57,22 @@ def test_wrong_labels(spark, samples):
     got = {tuple(r) for r in lg.wrong_labels(chunks, sources, docs, model).collect()}
     assert got == {("chunks", "r2", "de"), ("sources", "s1", "en"), ("sources", "s1", "de"), ("documents", "2", "de")}
     assert lg.wrong_labels(chunks.limit(0), sources.limit(0), docs.limit(0), model).count() == 0
+
+
+def test_text_segments(spark, samples):
+    model = lg.LanguageModel(samples)
+    en, de = "We slowly keep the quiet index behind the garden.", "Das Heft schützt die Probe und das Gefäß."
+    chunks = spark.createDataFrame([("r1", en), ("r1", en), ("r2", f"{en} {en} {de}"), ("r3", None)], "row_id string, text_raw string")
+    docs = spark.createDataFrame([(1, de), (None, en)], "doc_id long, text string")
+    rows = lg.text_segments(chunks, docs, model).collect()
+    got = {(r["ref_table"], r["ref_key"], r["text_lang"], r["lang"]) for r in rows}
+    assert got == {("chunks", "r1", "en", "en"), ("chunks", "r2", "en", "en"), ("chunks", "r2", "en", "de"), ("chunks", "r3", None, None), ("documents", "1", "de", "de")}
+    assert len(rows) == len(got) and all(0 < r[c] <= 1 for r in rows if r["lang"] for c in ("confidence", "text_confidence"))
+
+
+def test_segments_of_every_chunk_and_document(spark):
+    import __spark_entry__ as e
+
+    keys = {tuple(r) for r in e.queries()["p6_segments"](spark, D).select("ref_table", "ref_key").distinct().collect()}
+    chunks, docs = spark.read.parquet(f"{D}/chunks.parquet"), spark.read.parquet(f"{D}/documents.parquet")
+    assert keys == {("chunks", r[0]) for r in chunks.select("row_id").collect()} | {("documents", str(r[0])) for r in docs.select("doc_id").collect()}
