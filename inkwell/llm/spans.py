@@ -18,6 +18,10 @@ texts are looked up and they are split by the names of all stretches of min_char
 anchor, one for each STEP characters of left context, one of which two texts have in common if they share
 min_chars there. What remains together then shares nearly the whole span.
 
+Of equal neighbouring high-level symbols, which only repetitions have, the outermost are kept. The rest is derived from
+the texts: a repetition is taken with its first and last character and its period, and two of them are compared at
+the shifts that between them cover all that any shift would (of repetitions, spans are given at those alone).
+
 Defined cases: null texts and ids are left out, empty and short texts share nothing. Repeated rows count once.
 Texts are read whole, whatever their length. Positions and lengths are in code points. Other columns are ignored.
 """
@@ -221,24 +225,64 @@ def _pick(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return chosen.withColumn("_n", F.row_number().over(ids)).where("_n = 1").select("h1", "h2", "text")
 
 
+def _period(stretch: str) -> int:
+    """The period of a stretch that repeats itself at least about twice, else 0."""
+    d = stretch.find(stretch[: len(stretch) // 2], 1)
+    return d if d > 0 and stretch[d:] == stretch[:-d] else 0
+
+
+def _repetition(text: str, at: int, d: int) -> tuple[int, int]:
+    """First and last + 1 of the whole repetition of period d around a position inside it."""
+    return at - _common_suffix(text, at, text, at + d), at + d + _common_prefix(text, at, text, at + d)
+
+
+def _places(text: str, at: int, seed: int, length: int, back: int) -> set[int]:
+    """Where to name the stretch `back` characters before an anchor: of a repetition, where its seed stands first, last, and first inside."""
+    d = _period(text[at : at + seed])
+    if not d:
+        return {at}
+    lo, hi = _repetition(text, at, d)
+    first, last = at - (at - lo) // d * d, at + (hi - seed - at) // d * d
+    inside = first + max(0, -(-(back - (first - lo)) // d)) * d
+    return {first, last, inside} if inside - back + length <= hi else {first, last}
+
+
+def _shifts(x: str, p: int, y: str, q: int, seed: int) -> list[tuple[int, int]]:
+    """(position in x, in y) at which to compare the repetitions around p and q; none if there is no repetition.
+
+    At shifts between those that align both starts and both ends the shorter one lies in the longer one; steps of its length
+    cover what any of them would. Beyond, what is shared shrinks with each period, so the next shift is enough.
+    """
+    d = _period(x[p : p + seed])
+    if not d:
+        return []
+    (la, ha), (lb, hb) = _repetition(x, p, d), _repetition(y, q, d)
+    low, high = sorted((lb - la, hb - ha))
+    first, last = q - p - (q - p - low) // d * d, q - p + (high - q + p) // d * d
+    step = min(ha - la, hb - lb) // d * d
+    starts = ((max(la, lb - s), s, min(ha, hb - s)) for s in sorted({first - d, *range(first, last, step), last, last + d}))
+    return [(at, at + s) for at, s, end in starts if at < end]
+
+
 def _refine(hot: DataFrame, keyed: DataFrame, min_chars: int) -> DataFrame:
     """Hot symbols, split by the names of the long stretches around the anchor."""
-    length = min_chars - STEP
+    length, seed = min_chars - STEP, min_chars - MARGIN - WINDOW
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows = set()
             for h1, h2, at, text in zip(pdf["h1"], pdf["h2"], pdf["at"], pdf["text"]):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 with np.errstate(over="ignore"):
                     sums = _prefixes(codes)
-                    for sym, pos in zip(at["sym"], at["pos"]) if isinstance(at, dict) else ((x["sym"], x["pos"]) for x in at):
+                    for sym, anchor in zip(at["sym"], at["pos"]) if isinstance(at, dict) else ((x["sym"], x["pos"]) for x in at):
                         for back in range(0, MARGIN + WINDOW + 1, STEP):
-                            if pos >= back and pos - back + length <= len(codes):
-                                s = np.array([pos - back])
-                                name = _names(sums, s, s + length) + np.uint64(back)
-                                rows.append((int(_mix(name ^ np.uint64(sym & (2**64 - 1))).view(np.int64)[0]), h1, h2, pos))
-            yield pd.DataFrame(rows, columns=["sym", "h1", "h2", "pos"])
+                            for pos in _places(text, anchor, seed, length, back):
+                                if pos >= back and pos - back + length <= len(codes):
+                                    s = np.array([pos - back])
+                                    name = _names(sums, s, s + length) + np.uint64(back)
+                                    rows.add((int(_mix(name ^ np.uint64(sym & (2**64 - 1))).view(np.int64)[0]), h1, h2, pos))
+            yield pd.DataFrame(list(rows), columns=["sym", "h1", "h2", "pos"])
 
     at = hot.groupBy("h1", "h2").agg(F.collect_list(F.struct("sym", "pos")).alias("at"))  # bounded by the text's length
     return at.join(_pick(keyed, hot.select("h1", "h2").distinct()), ["h1", "h2"]).mapInPandas(run, _SCHEMA)
@@ -266,6 +310,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     candidates = cut(lines, "candidates")
     keys = candidates.selectExpr("a1 as h1", "a2 as h2").unionByName(candidates.selectExpr("b1 as h1", "b2 as h2")).distinct()
     texts = _pick(keyed, keys)
+    seed = min_chars - MARGIN - WINDOW
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,10 +325,14 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
                     done = p + max(1, right)
                     if left + right >= min_chars:
                         rows.append((a1, a2, b1, b2, p - left, q - left, left + right))
+                    for v, w in _shifts(x, p, y, q, seed):
+                        left, right = _common_suffix(x, v, y, w), _common_prefix(x, v, y, w)
+                        if left + right >= min_chars:
+                            rows.append((a1, a2, b1, b2, v - left, w - left, left + right))
             yield pd.DataFrame(rows, columns=["a1", "a2", "b1", "b2", "start_a", "start_b", "length"])
 
     with_texts = candidates.join(texts.toDF("a1", "a2", "x"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "y"), ["b1", "b2"])
-    spans = with_texts.select("a1", "a2", "b1", "b2", "shift", "at", "x", "y").mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, start_a int, start_b int, length int")
+    spans = with_texts.select("a1", "a2", "b1", "b2", "shift", "at", "x", "y").mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, start_a int, start_b int, length int").distinct()  # repetitions are found from several anchors
     members = keyed.select("id", "h1", "h2", F.length("text").alias("chars")).distinct()
     return cut(spans, "spans"), members
 

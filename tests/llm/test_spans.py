@@ -57,6 +57,36 @@ def test_shares_and_spans(spark):
     assert sorted(r["length"] for r in spans.collect()) == sorted([len(a), len(b), len(c)])
 
 
+def _covered(texts, n=200):
+    out = {}
+    for i, t in enumerate(texts):
+        others = {u[k : k + n] for j, u in enumerate(texts) if j != i for k in range(len(u) - n + 1)}
+        out[i] = len({c for k in range(len(t) - n + 1) if t[k : k + n] in others for c in range(k, k + n)})
+    return out
+
+
+def test_repetitions_are_covered_whole(spark):
+    df = spark.createDataFrame([(0, "a" + "-" * 1000), (1, "b" + "-" * 300)], "doc_id long, text string")
+    got = {r["id"]: r["shared_chars"] for r in sp.shared_shares(*sp.shared_spans(df)).collect()}
+    assert got == {0: 1000, 1: 300}
+
+
+def test_repetitions_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    for hot in (64, 8):
+        monkeypatch.setattr(sp, "HOT", hot)
+        texts = set()
+        for unit in ("-", "ab", "= - ", "one two three, ", "".join(rng.choice("abcdefgh ") for _ in range(41))):
+            left, right = ("".join(rng.choice("klmnopqr ") for _ in range(60)) for _ in range(2))
+            for n in (150, 199, 200, 205, 230, 260, 700, 1500):
+                at = rng.randrange(len(unit))
+                texts.add(rng.choice([left, left[30:], left[:20] + "%", ""]) + (unit * 1600)[at : at + n] + rng.choice([right, right[:30], "%" + right[9:], ""]))
+        texts = sorted(texts)
+        spans, members = sp.shared_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {tuple(r) for r in sp.document_pairs(spans, members).collect()} == _brute(texts)
+        assert {r["id"]: r["shared_chars"] for r in sp.shared_shares(spans, members).collect()} == _covered(texts)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None), (None, "x" * 300), (2, "")], "doc_id long, text string")
     spans, members = sp.shared_spans(df)
