@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,19 @@ def _holds(want: Column) -> Callable[[Column], Column]:
 def hits(sources: DataFrame, chunks: DataFrame, needles: list[Needle], case_sensitive: bool = False, row_filter: RowFilter | None = None) -> DataFrame:
     """(source_id, row_id, field, phrase, offset, line, match_length), one for each (record, field, phrase).
 
-    The needles of a query are a handful of literals; each scan checks them all at once, so a table is read once.
+    The needles of a query are a handful of literals; each scan checks up to MAX_NEEDLES at once, so a table is read once
+    for so many.
     Offsets count for texts; for other fields they are 0. row_id is null for hits in sources.
     """
-    needles = [n for n in needles if n.phrase][:MAX_NEEDLES]
+    needles = [n for n in needles if n.phrase]
     spark = sources.sparkSession
     if not needles:
         return spark.createDataFrame([], "source_id string, row_id string, field string, phrase string, offset int, line int, match_length int")
+    blocks = [_hits_of_block(sources, chunks, needles[i : i + MAX_NEEDLES], case_sensitive, row_filter) for i in range(0, len(needles), MAX_NEEDLES)]
+    return reduce(DataFrame.unionByName, blocks).dropDuplicates(["source_id", "row_id", "field", "phrase"])
+
+
+def _hits_of_block(sources: DataFrame, chunks: DataFrame, needles: list[Needle], case_sensitive: bool, row_filter: RowFilter | None) -> DataFrame:
     src = sources.where(predicate(row_filter)).where("source_id is not null").select("source_id", "title_raw", "aliases", "filename_raw", "path_raw", "tags").dropDuplicates(["source_id"])
     values = {"title": F.array("title_raw"), "alias": F.col("aliases"), "filename": F.array("filename_raw"), "path": F.array("path_raw"), "tag": F.transform("tags", lambda t: F.concat(F.lit("#"), t))}
     checks = []
@@ -62,7 +69,7 @@ def hits(sources: DataFrame, chunks: DataFrame, needles: list[Needle], case_sens
         each = kept.select("*", F.explode(F.array(*[F.struct(F.lit(n.phrase).alias("phrase"), text.find_verified("text_raw", F.lit(n.phrase), case_sensitive).cast("int").alias("offset")) for n in own])).alias("h")).where("h.offset is not null")
         in_text = each.select("source_id", "row_id", F.lit("text").alias("field"), "h.phrase", "h.offset", (F.col("line_start") + text.count_lines("text_raw", F.col("h.offset"))).cast("int").alias("line"), F.length("h.phrase").alias("match_length"))
         out = in_text if out is None else out.unionByName(in_text)
-    return out.dropDuplicates(["source_id", "row_id", "field", "phrase"])
+    return out
 
 
 def search(sources: DataFrame, chunks: DataFrame, needles: list[Needle], limit: int = 50, case_sensitive: bool = False, row_filter: RowFilter | None = None) -> DataFrame:

@@ -30,18 +30,28 @@ def search(chunks: DataFrame, vector: list[float], limit: int = 80, metric: str
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, limit: int, embedding: str = "embedding") -> DataFrame:
-    """(query_id, row_id, source_id, similarity): cosine top-k for a bounded set of queries (query_id, vector, exclude_source_id).
+    """(query_id, row_id, source_id, similarity, rank): cosine top-k for queries (query_id, vector, exclude_source_id).
 
-    The queries are collected (MAX_QUERIES at most) and multiplied with batches of rows; each batch keeps its own
-    best rows, so the exchange carries only those.
+    The queries are taken to the driver in blocks of MAX_QUERIES and multiplied with batches of rows; each batch keeps
+    its own best rows, so the exchange carries only those. Each further block is one more scan of the rows.
     """
-    rows = queries.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
+    out, block = None, []
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == MAX_QUERIES:
+            found = _search_block(chunks, block, limit, embedding)
+            out, block = found if out is None else out.unionByName(found), []
+    if block or out is None:
+        found = _search_block(chunks, block, limit, embedding)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search_block(chunks: DataFrame, rows: list, limit: int, embedding: str) -> DataFrame:
     schema = "query_id string, row_id string, source_id string, similarity double"
     spark = chunks.sparkSession
     if not rows:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", rank int")
     ids = [r["query_id"] for r in rows]
     skip = np.array([r["exclude_source_id"] or "" for r in rows], dtype=object)
     q = np.array([r["vector"] for r in rows], dtype=np.float64)

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import connections, evaluation, fusion, indexing, lexical, mutations, semantic
+from inkwell.operators import connections, evaluation, exact, fusion, indexing, lexical, mutations, semantic
 from inkwell.operators.filters import RowFilter, predicate
 from inkwell.plans.search import SearchService
 
@@ -74,6 +74,19 @@ def test_vector_search(spark, vault):
     assert many["q1", 1] == "r3" and many["q2", 1] == "r4"
 
 
+def test_many_queries_and_phrases_are_worked_off_in_blocks(spark, vault, monkeypatch):
+    sources, chunks = vault
+    q = spark.createDataFrame([(f"q{i}", [1.0, float(i), 0.0], None) for i in range(5)], "query_id string, vector array<double>, exclude_source_id string")
+    needles = [exact.Needle(p) for p in ("vector", "storage", "cooking", "misc", "second")]
+    many, found = (sorted(map(str, x.collect())) for x in (semantic.search_many(chunks, q, 2), exact.hits(sources, chunks, needles)))
+    monkeypatch.setattr(semantic, "MAX_QUERIES", 2)
+    monkeypatch.setattr(exact, "MAX_NEEDLES", 2)
+    assert len(many) == 10 and sorted(map(str, semantic.search_many(chunks, q, 2).collect())) == many
+    assert {p for p in ("cooking", "second") if any(p in x for x in found)} == {"cooking", "second"}
+    assert sorted(map(str, exact.hits(sources, chunks, needles).collect())) == found
+    assert semantic.search_many(chunks, q.limit(0), 2).count() == 0
+
+
 def test_fusion(spark):
     exact = spark.createDataFrame([("r1", "s1", 1, "text", "p", 0, 0, 1)], "row_id string, source_id string, rank int, field string, phrase string, offset int, line int, match_length int")
     ranks = lambda *ids: spark.createDataFrame([(r, "s1", i + 1, ["body"], ["t"]) for i, r in enumerate(ids)], "row_id string, source_id string, rank int, matched_fields array<string>, matched_terms array<string>")
