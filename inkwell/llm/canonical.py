@@ -1,14 +1,17 @@
 """Visually identical text with different characters, brought to one consistent form.
 
-Steps: width and presentation forms to normal ones, invisible characters out, every space to U+0020, accents
-composed; then scripts are resolved token by token. Each letter stands for the set of scripts in which a letter
-looks like it. Intersected over a token the sets tell how it can be spelled: in one script (that spelling is
-taken, which repairs mixed-script tokens), in several (a whole-script confusable: the script of most of the
-value's other tokens is taken, Latin if they tell nothing) or in none (each letter is then put in its Latin
-look-alike). As the choice depends on looks alone, values that look the same get the same form.
-
-Letter case, accents, other letters, word order and the number of spaces are visible and stay. Joiners stay where
-they change what is seen (Arabic and Indic scripts, emoji).
+Steps: width and presentation forms to normal ones, invisible characters out, every space to U+0020, accents taken
+apart; then scripts are resolved token by token, and accents put together again. Which letters look alike is read from
+the public confusables data that come with Spark (ICU's spoof checker): letters of different scripts and the same case
+with one skeleton are one shape. Each letter stands for the set of scripts in which its shape can be written.
+Intersected over a token the sets tell how it can be spelled: in one script (that spelling is taken, which repairs
+mixed-script tokens), in several (a whole-script confusable: the script that most of the value's tokens speak for is
+taken, a token for all it can be in alike, in the order of PREFERENCE if they tell nothing) or in none (each letter is then put in its Latin look-alike). In
+Japanese, where scripts mix within words, a letter whose shape is in several scripts takes that of the nearest letter
+that is not, the one before it first. As the choice depends on looks alone, values that look the same get the same form.
+
+Letter case, accents, other letters of the same script, word order and the number of spaces are visible and stay;
+blanks at the end aren't. Joiners stay where they change what is seen (Arabic and Indic scripts, emoji).
 
 Defined cases: null stays null and equals nothing; an empty value is a value. Repeated rows count once. Texts of
 any length are read whole.
@@ -20,34 +23,34 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.session import cut
 
-# Letters of other scripts that look like a Latin letter (shape: Cyrillic, Greek), in alphabetical order.
-LOOKALIKES = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уγ",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ",
-    "ë": "ё", "Ë": "Ё", "ï": "ї", "Ï": "Ї", "ó": "ό", "Ó": "Ό",
-}
 #: Decomposition tags of forms that look like what they decompose to.
 _FORMS = frozenset(("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>"))
+PREFERENCE = ("latin", "cyrillic", "greek")
+CACHE = 200_000
+_EAST = frozenset(("hiragana", "katakana", "cjk"))
+_JOINED = re.compile("(?:[\u0600-\u08ff\u0900-\u0dff\u1780-\u17ff\u2600-\u27bf\ufe0f\U0001f000-\U0001faff])[\u200c\u200d]$")
+_WORD = re.compile(r"(?:(?![\u1100-\u11ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff])[^\W\d_]|[\u0300-\u036f])+")
+_EAST_RUN = re.compile(r"[\u3041-\u3096\u3099\u309a\u30a1-\u30fc\u3400-\u4dbf\u4e00-\u9fff]+")
 
 
-def _script(ch: str) -> str:
-    return "greek" if "\u0370" <= ch <= "\u03ff" else "cyrillic" if "\u0400" <= ch <= "\u052f" else "latin"
+def _preferred(script: str) -> tuple[int, str]:
+    return PREFERENCE.index(script) if script in PREFERENCE else len(PREFERENCE), script
 
 
-_SHAPE = {x: latin for latin, others in LOOKALIKES.items() for x in others} | {latin: latin for latin in LOOKALIKES}
-_SPELL = {shape: {_script(x): x for x in others + shape} for shape, others in LOOKALIKES.items()}
-_TOKEN = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f\u1e00-\u1fff]+")
-_OTHER = re.compile(r"[\u0370-\u03ff\u0400-\u052f]")
-_JOINED = re.compile("(?:[\u0600-\u08ff\u0900-\u0dff\u1780-\u17ff\u2600-\u27bf\ufe0f\U0001f000-\U0001faff])[\u200c\u200d]$")
+def _script(ch: str) -> str:
+    """The script of a letter, which its name in the character database begins with."""
+    return unicodedata.name(ch, "?").split()[0].lower()
 
 
 @lru_cache(1)
@@ -80,47 +83,133 @@ def _joiners(text: str) -> str:
     return "".join(out)
 
 
-@lru_cache(100_000)
-def _scripts(token: str) -> frozenset[str]:
-    """The scripts a token can be spelled in."""
-    left = {"latin", "cyrillic", "greek"}
-    for ch in token:
-        if not "\u0300" <= ch <= "\u036f":
-            left &= _SPELL[_SHAPE[ch]].keys() if ch in _SHAPE else {_script(ch)}
-    return frozenset(left)
+class Canonical:
+    """The form of a text; small (a few hundred shapes), so it goes to the workers with the task.
 
+    shapes: for each look (skeleton and case) the letter of each script that is written so.
+    """
 
-def _spell(token: str, script: str) -> str:
-    return "".join(_SPELL[_SHAPE[ch]].get(script, _SHAPE[ch]) if ch in _SHAPE else ch for ch in token)
+    def __init__(self, shapes: list[dict[str, str]], looks: dict[str, int]):
+        self.shapes, self.looks = shapes, looks
+        self.east = {ch for ch, i in looks.items() if shapes[i].keys() <= _EAST}
+        self.foreign = re.compile("[" + "".join(sorted(ch for ch in looks.keys() - self.east if not ch.isascii())) + r"\u0370-\u03ff\u0400-\u058f]")
+        self.any_east = re.compile("[" + "".join(sorted(self.east)) + "]" if self.east else r"(?!)")
+        self.cache: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"cache": {}}
+
+    def scripts(self, token: str) -> tuple[str, ...]:
+        """The scripts a token can be spelled in, most preferred first."""
+        if (known := self.cache.get(token)) is not None:
+            return known
+        left: set[str] | None = None
+        for ch in token:
+            if not "\u0300" <= ch <= "\u036f":
+                at = self.looks.get(ch)
+                own = {_script(ch)} if at is None else self.shapes[at].keys()
+                left = set(own) if left is None else left & own
+        out = tuple(sorted(left or (), key=_preferred))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        self.cache[token] = out
+        return out
+
+    def spelled(self, token: str, script: str | None) -> str:
+        """A token in one script; without one each letter in the most preferred script of its shape."""
+        out = []
+        for ch in token:
+            at = self.looks.get(ch)
+            if at is not None and (script is None or _script(ch) != script):
+                shape = self.shapes[at]
+                ch = shape[script or min(shape, key=_preferred)]
+            out.append(ch)
+        return "".join(out)
+
+    def eastern(self, m: re.Match) -> str:
+        run = m[0]
+        if not self.any_east.search(run):
+            return run
+        sure = [None if ch in self.east or ch in "\u3099\u309aー" else _script(ch) for ch in run]
+        before: list[str | None] = []
+        last = None
+        for s in sure:
+            last = s or last
+            before.append(last)
+        out, after = [], None
+        for ch, s, left in zip(reversed(run), reversed(sure), reversed(before)):
+            after = s or after
+            if ch in self.east:
+                shape = self.shapes[self.looks[ch]]
+                ch = next((shape[x] for x in (left, after, "cjk", "katakana", "hiragana") if x in shape), ch)
+            out.append(ch)
+        return "".join(reversed(out))
+
+    def __call__(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        if text.isascii():
+            return text.rstrip(" ")
+        text = text.translate(_single())
+        if "\u200c" in text or "\u200d" in text:
+            text = _joiners(text)
+        text = unicodedata.normalize("NFD", text).rstrip(" ")
+        if self.foreign.search(text):
+            known: Counter[str] = Counter()
+            for token in _WORD.findall(text):
+                scripts = self.scripts(token)
+                for script in scripts:
+                    known[script] += 1 / len(scripts)
+
+            def respell(m: re.Match) -> str:
+                scripts = self.scripts(m[0])
+                return self.spelled(m[0], max(scripts, key=known.__getitem__) if scripts else None)
+
+            text = _WORD.sub(respell, text)
+        if self.any_east.search(text):
+            text = _EAST_RUN.sub(self.eastern, text)
+        return unicodedata.normalize("NFC", text)
+
+
+_KNOWN: dict[str, Canonical] = {}
+
+
+def canonicalizer() -> Canonical:
+    """The form of texts by the confusables data of the running Spark; read once, in one call."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("a Spark session has to run: the confusables data come with it")
+    if not _KNOWN:
+        letters = [ch for ch in map(chr, (*range(0x41, 0xD800), *range(0x10000, 0x1F000))) if unicodedata.category(ch) in ("Lu", "Ll") or _script(ch) in _EAST]
+        letters = [ch for ch in letters if unicodedata.normalize("NFD", ch) == ch and ord(ch) not in _single()]
+        skeletons = context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+        groups: dict[tuple, list[str]] = defaultdict(list)
+        for ch, skeleton in zip(letters, skeletons, strict=True):
+            groups[skeleton, "east" if _script(ch) in _EAST else unicodedata.category(ch)].append(ch)
+        shapes, looks = [], {}
+        for _, own in sorted(groups.items(), key=lambda x: x[1][0]):
+            by_script: dict[str, str] = {}
+            for ch in own:  # by code point: a script's first letter of a shape is its plain one
+                script = _script(ch)
+                if script != "latin" or ch.isascii():
+                    by_script.setdefault(script, ch)
+            if len(by_script) > 1:
+                looks |= {ch: len(shapes) for ch in own if _script(ch) != "latin" or ch.isascii()}
+                shapes.append(by_script)
+        _KNOWN["icu"] = Canonical(shapes, looks)
+    return _KNOWN["icu"]
 
 
 def canonical(text: str | None) -> str | None:
-    if text is None:
-        return None
-    if text.isascii():
-        return text.rstrip(" ")
-    text = text.translate(_single())
-    if "\u200c" in text or "\u200d" in text:
-        text = _joiners(text)
-    text = unicodedata.normalize("NFC", text).rstrip(" ")
-    if not _OTHER.search(text):
-        return text
-    known = {"latin": 0, "cyrillic": 0, "greek": 0}
-    for token in _TOKEN.findall(text):
-        if len(scripts := _scripts(token)) == 1:
-            known[next(iter(scripts))] += 1
-
-    def respell(m: re.Match) -> str:
-        scripts = _scripts(m[0])
-        best = max(scripts, key=lambda s: (known[s], s == "latin", s), default="latin")
-        return _spell(m[0], best)
-
-    return _TOKEN.sub(respell, text)
+    """The form of one text, on the driver."""
+    return canonicalizer()(text)
 
 
 def canonical_column(df: DataFrame, column: str, to: str = "canonical") -> DataFrame:
     """df with the canonical form of a column; no shuffle."""
 
+    canonical = canonicalizer()
+
     @F.pandas_udf("string")
     def form(s: pd.Series) -> pd.Series:
         return pd.Series([canonical(x) for x in s], dtype=object)
@@ -134,6 +223,8 @@ def canonical_keys(df: DataFrame) -> DataFrame:
     Only names leave the workers, so the exchange that follows doesn't carry texts.
     """
 
+    canonical = canonicalizer()
+
     def name(text: str) -> bytes:
         return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.canonical import canonical
+from inkwell.llm.canonical import canonicalizer
 from inkwell.llm.markup import prose
 from inkwell.session import cut
 
@@ -63,13 +63,14 @@ class LanguageModel:
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({code for code, _ in samples})
+        self.canonical = canonicalizer()
         self.scripts: dict[str, list[int]] = {}
         grams = [defaultdict(Counter) for _ in self.langs]
         words = [Counter() for _ in self.langs]
         used = [Counter() for _ in self.langs]
         for code, text in samples:
             i = self.langs.index(code)
-            for w in words_of(canonical(text).lower()):
+            for w in words_of(self.canonical(text).lower()):
                 if w[0] in _END:
                     continue
                 words[i][w] += 1
@@ -190,7 +191,7 @@ def _read(model: LanguageModel, text: str | None) -> tuple[str, list[str], np.nd
     """The text without markup, its tokens, their ids, and the scores and labels of those that are words; None without words."""
     if not text or not model.langs:
         return None
-    plain = prose(canonical(text)).lower()
+    plain = prose(model.canonical(text)).lower()
     tokens = words_of(plain)
     ids = model.ids(tokens)
     if not (ids >= 0).any():

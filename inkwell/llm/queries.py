@@ -100,6 +100,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alikes(canonical.vault_values(table(spark, d, "sources", "source_id", "title_raw", "path_raw"), table(spark, d, "chunks", "row_id", "text_raw")))
 
 
+@query()
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one consistent form of every title, path and text."""
+    own = canonical.vault_values(table(spark, d, "sources", "source_id", "title_raw", "path_raw"), table(spark, d, "chunks", "row_id", "text_raw"))
+    return canonical.canonical_column(own.where("key is not null").dropDuplicates(["field_name", "key"]), "value", "form").select("field_name", "key", "form")
+
+
 @query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Records with missing or wrong language labels and the languages they have."""
