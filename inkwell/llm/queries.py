@@ -159,17 +159,13 @@ def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"), total=0)[1]
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
-
-
 @query()
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share a verbatim span of at least 200 characters."""
-    return spans.document_pairs(*_spans(spark, d))
+    return spans.document_pairs(spans.shared_spans(table(spark, d, "documents", "doc_id", "text")))
 
 
 @query()
 def p10_share(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each document stands in other documents too."""
-    return spans.shared_shares(*_spans(spark, d)).withColumnRenamed("id", "doc_id")
+    """How much of each document stands in other documents too; by class, without pairs."""
+    return spans.shared_shares(spans.shared_spans(table(spark, d, "documents", "doc_id", "text"), hot=0)).withColumnRenamed("id", "doc_id")

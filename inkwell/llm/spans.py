@@ -5,18 +5,22 @@ Rounds name equal things alike everywhere: a run of one symbol becomes a new sym
 is in the left and the second in the right half of the alphabet as that round's bit of their names tells. A name
 is a 64-bit fingerprint of what it stands for, so names agree over all records without an exchange in each round.
 Only symbols up to the round's length take part. Whether two symbols merge depends on them alone; so inside a
-string that stands in two records all symbols agree, but for MARGIN characters at either end.
-
-Of every stretch of WINDOW characters the symbol with the least name is an anchor; its high-level symbol is the
-name of the SEED characters that start there. As MARGIN + WINDOW + SEED = min_chars, two records that share a span
-of min_chars share a high-level symbol inside it: none is missed. Records that share one are candidates; comparing
-their texts left and right from there gives the span exactly.
-
-Equal texts are one record until the end (each task emits a text once; then by text name). High-level symbols in
-more than HOT different texts, usually from boilerplate shorter than min_chars, aren't paired as they are: their
-texts are looked up and they are split by the names of all stretches of min_chars - STEP characters around the
-anchor, one for each STEP characters of left context, one of which two texts have in common if they share
-min_chars there. What remains together then shares nearly the whole span.
+string that stands in two records all symbols agree, but for `margin` characters at either end. There are as many
+rounds of pairs as min_chars leaves room for; at 200 all four, with symbols of up to 28 characters.
+
+The high-level symbols that the last round leaves reveal what records share. Of every stretch of WINDOW characters the
+symbol with the least name is taken, and named together with `context` characters to either side, which a shared span
+of min_chars that holds the symbol there holds as well: as 2 * context + WINDOW - 1 + the longest symbol is no more
+than min_chars and context no less than margin, two records that share a span of min_chars have such a symbol in
+common, inside the span: none is missed.
+
+Symbols are counted with partial aggregation and only those of two different texts are joined back. Equal texts are one
+record until the end (each task emits a text once; then by text name). Symbols in at most HOT places are verified
+pair by pair: their texts are compared left and right from there, which gives the span exactly. All others, from
+boilerplate or large groups of near copies, are verified by class: the stretches of min_chars around them are named,
+those in two different texts are the classes, and what a class covers is shared. So no pairs are made within a hot
+symbol; pairs of records, where they are asked for, are expanded from the classes at the end, in blocks, and once for
+neighbouring classes of the same texts. Coverage needs no pairs at all: with hot=0 everything goes by class.
 
 Of equal neighbouring high-level symbols, which only repetitions have, the outermost are kept. The rest is derived from
 the texts: a repetition is taken with its first and last character and its period, and two of them are compared at
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,15 +45,25 @@ from pyspark.sql import functions as F
 from inkwell.session import cut
 
 MIN_CHARS = 200
-MAX_WORD, RUN_LENGTH, PAIR_LENGTHS = 16, 6, (8, 10)
-MARGIN = MAX_WORD + 1 + RUN_LENGTH + sum(PAIR_LENGTHS)
-WINDOW, STEP, HOT = 44, 10, 64
+MAX_WORD, RUN_LENGTH, PAIR_LENGTHS = 12, 6, (8, 10, 12, 14)
+WINDOW, HOT, BLOCK = 44, 64, 256
 BATCH_CHARS = 1_000_000
-#: Up to so many text names (16 bytes each) are broadcast to pick texts by; beyond, they are joined by shuffle.
+#: Up to so many symbols or text names (8 or 16 bytes each) are broadcast to pick rows by; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 500_000
 _BASE, _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
+def rounds_for(min_chars: int) -> tuple[tuple[int, ...], int]:
+    """The lengths of the rounds of pairs, and the context a symbol is named with."""
+    for k in range(len(PAIR_LENGTHS), -1, -1):
+        margin = MAX_WORD + 1 + RUN_LENGTH + sum(PAIR_LENGTHS[:k])
+        longest = max(MAX_WORD + 1, 2 * PAIR_LENGTHS[k - 1] if k else 0)
+        context = (min_chars - longest - WINDOW + 1) // 2
+        if context >= max(margin, 16):
+            return PAIR_LENGTHS[:k], context
+    raise ValueError("min_chars is too small")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * _K1
@@ -111,7 +126,7 @@ def _merge(starts: np.ndarray, fused: np.ndarray, joins: np.ndarray) -> tuple[np
     return starts[~joins], fused[~joins]
 
 
-def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray, pair_lengths: tuple[int, ...] = PAIR_LENGTHS) -> tuple[np.ndarray, np.ndarray]:
     """Starts and names of the symbols after all rounds; first marks the first character of each text."""
     n = len(codes)
     letter = _letters()[codes]
@@ -135,7 +150,7 @@ def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.
         fused[heads[short]] = _mix(names[heads[short]] ^ (size[short].astype(np.uint64) * _K3))
         starts, names = _merge(starts, fused, same & np.repeat(short, size))
     # pairs
-    for number, most in enumerate(PAIR_LENGTHS):
+    for number, most in enumerate(pair_lengths):
         lengths = np.diff(starts, append=n)
         left = ((names >> np.uint64(7 + number)) & np.uint64(1)).astype(bool)
         fits = lengths <= most
@@ -148,12 +163,13 @@ def symbols(codes: np.ndarray, first: np.ndarray, sums: np.ndarray) -> tuple[np.
     return starts, names
 
 
-def anchors(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: the index of the text, the position and the high-level symbol of every anchor."""
+def high_symbols(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: the index of the text, where the context begins, and the name of every high-level symbol that is taken."""
+    pair_lengths, context = rounds_for(min_chars)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     n = int(sizes.sum())
     empty = np.zeros(0, np.int64)
-    if n < seed:
+    if n < min_chars:
         return empty, empty, empty
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
@@ -161,20 +177,21 @@ def anchors(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
     first[bounds[:-1][sizes > 0]] = True
     with np.errstate(over="ignore"):
         sums = _prefixes(codes)
-        starts, names = symbols(codes, first, sums)
+        starts, names = symbols(codes, first, sums, pair_lengths)
         grid = np.full(n + 2 * (WINDOW - 1), np.iinfo(np.uint32).max, dtype=np.uint32)
         grid[starts + WINDOW - 1] = (names >> np.uint64(32)).astype(np.uint32)
         least = _slide(_slide(grid, WINDOW, np.minimum), WINDOW, np.maximum)
-        at = starts[least[starts] == grid[starts + WINDOW - 1]]
-        owner = np.searchsorted(bounds, at, side="right") - 1
-        whole = at + seed <= bounds[owner + 1]
-        at, owner = at[whole], owner[whole]
-        high = _names(sums, at, at + seed).view(np.int64)
-    inner = np.zeros(len(at), dtype=bool)  # in the middle of a long repetition
-    if len(at) > 2:
+        taken = np.flatnonzero(least[starts] == grid[starts + WINDOW - 1])
+        lo, hi = starts[taken] - context, np.append(starts[1:], n)[taken] + context
+        owner = np.searchsorted(bounds, starts[taken], side="right") - 1
+        whole = (lo >= bounds[owner]) & (hi <= bounds[owner + 1])
+        taken, lo, hi, owner = taken[whole], lo[whole], hi[whole], owner[whole]
+        high = _mix(names[taken] * _K2 ^ _names(sums, lo, hi)).view(np.int64)
+    inner = np.zeros(len(lo), dtype=bool)  # in the middle of a long repetition
+    if len(lo) > 2:
         equal = (high[1:] == high[:-1]) & (owner[1:] == owner[:-1])
         inner[1:-1] = equal[1:] & equal[:-1]
-    return owner[~inner], (at - bounds[owner])[~inner], high[~inner]
+    return owner[~inner], (lo - bounds[owner])[~inner], high[~inner]
 
 
 _SCHEMA = "sym long, h1 long, h2 long, pos int"
@@ -187,8 +204,7 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def high_level_symbols(keyed: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(sym, h1, h2, pos) of every anchor of every text; one pass, no shuffle."""
-    seed = min_chars - MARGIN - WINDOW
+    """(sym, h1, h2, pos) of every high-level symbol taken, pos where its context begins; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -210,7 +226,7 @@ def high_level_symbols(keyed: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
                 yield one(keys, texts, todo)
 
     def one(keys: list, texts: list, todo: list[int]) -> pa.RecordBatch:
-        owner, at, sym = anchors([texts[i] for i in todo], seed)
+        owner, at, sym = high_symbols([texts[i] for i in todo], min_chars)
         names = np.array([keys[i] for i in todo], dtype=np.int64).reshape(-1, 2)[owner]
         return pa.RecordBatch.from_arrays([pa.array(sym), pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(at.astype(np.int32))], names=["sym", "h1", "h2", "pos"])
 
@@ -236,17 +252,6 @@ def _repetition(text: str, at: int, d: int) -> tuple[int, int]:
     return at - _common_suffix(text, at, text, at + d), at + d + _common_prefix(text, at, text, at + d)
 
 
-def _places(text: str, at: int, seed: int, length: int, back: int) -> set[int]:
-    """Where to name the stretch `back` characters before an anchor: of a repetition, where its seed stands first, last, and first inside."""
-    d = _period(text[at : at + seed])
-    if not d:
-        return {at}
-    lo, hi = _repetition(text, at, d)
-    first, last = at - (at - lo) // d * d, at + (hi - seed - at) // d * d
-    inside = first + max(0, -(-(back - (first - lo)) // d)) * d
-    return {first, last, inside} if inside - back + length <= hi else {first, last}
-
-
 def _shifts(x: str, p: int, y: str, q: int, seed: int) -> list[tuple[int, int]]:
     """(position in x, in y) at which to compare the repetitions around p and q; none if there is no repetition.
 
@@ -264,53 +269,73 @@ def _shifts(x: str, p: int, y: str, q: int, seed: int) -> list[tuple[int, int]]:
     return [(at, at + s) for at, s, end in starts if at < end]
 
 
-def _refine(hot: DataFrame, keyed: DataFrame, min_chars: int) -> DataFrame:
-    """Hot symbols, split by the names of the long stretches around the anchor."""
-    length, seed = min_chars - STEP, min_chars - MARGIN - WINDOW
+class Shared(NamedTuple):
+    """What records share.
+
+    spans: (a1, a2, b1, b2, start_a, start_b, length) between different texts, maximal, (a1, a2) < (b1, b2) their names.
+    windows: (w1, w2, h1, h2, start): stretches of min_chars, alike named alike, each in two different texts at least.
+    members: (id, h1, h2, chars): which records have which text.
+    """
+
+    spans: DataFrame
+    windows: DataFrame
+    members: DataFrame
+
+
+def _windows(hot: DataFrame, keyed: DataFrame, min_chars: int) -> DataFrame:
+    """Every stretch of min_chars around the hot symbols that stands in two different texts."""
+    _, context = rounds_for(min_chars)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = set()
             for h1, h2, at, text in zip(pdf["h1"], pdf["h2"], pdf["at"], pdf["text"]):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                last = len(codes) - min_chars
+                here = np.zeros(max(0, last + 1), dtype=bool)
+                done = -1  # the end of the repetition last looked at
+                for pos in sorted(at):
+                    lo, hi = pos, pos + 1
+                    if pos >= done and (d := _period(text[pos : pos + 2 * context])):
+                        lo, hi = _repetition(text, pos, d)
+                        done = hi
+                    here[max(0, lo - min_chars + 2 * context) : hi] = True
+                start = np.flatnonzero(here)
+                if not len(start):
+                    continue
                 with np.errstate(over="ignore"):
-                    sums = _prefixes(codes)
-                    for sym, anchor in zip(at["sym"], at["pos"]) if isinstance(at, dict) else ((x["sym"], x["pos"]) for x in at):
-                        for back in range(0, MARGIN + WINDOW + 1, STEP):
-                            for pos in _places(text, anchor, seed, length, back):
-                                if pos >= back and pos - back + length <= len(codes):
-                                    s = np.array([pos - back])
-                                    name = _names(sums, s, s + length) + np.uint64(back)
-                                    rows.add((int(_mix(name ^ np.uint64(sym & (2**64 - 1))).view(np.int64)[0]), h1, h2, pos))
-            yield pd.DataFrame(list(rows), columns=["sym", "h1", "h2", "pos"])
+                    sums, other = _prefixes(codes), _prefixes(codes ^ np.uint32(0x5A5A5))
+                    w1, w2 = (_names(x, start, start + min_chars).view(np.int64) for x in (sums, other))
+                yield pd.DataFrame({"w1": w1, "w2": w2, "h1": h1, "h2": h2, "start": start.astype(np.int32)})
 
-    at = hot.groupBy("h1", "h2").agg(F.collect_list(F.struct("sym", "pos")).alias("at"))  # bounded by the text's length
-    return at.join(_pick(keyed, hot.select("h1", "h2").distinct()), ["h1", "h2"]).mapInPandas(run, _SCHEMA)
+    at = hot.groupBy("h1", "h2").agg(F.collect_set("pos").alias("at"))  # bounded by the text's length
+    named = at.join(_pick(keyed, hot.select("h1", "h2").distinct()), ["h1", "h2"]).mapInPandas(run, "w1 long, w2 long, h1 long, h2 long, start int")
+    named = cut(named, "windows")
+    classes = named.groupBy("w1", "w2").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("w1", "w2")
+    return cut(named.join(classes, ["w1", "w2"], "left_semi"), "classes")
 
 
-def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Spans (a1, a2, b1, b2, start_a, start_b, length) between different texts, and members (id, h1, h2, chars, copies).
-
-    (a1, a2) < (b1, b2) are text names; spans are maximal. Members tell which records have which text.
-    """
-    if min_chars < MARGIN + WINDOW + 32:
-        raise ValueError(f"min_chars has to be at least {MARGIN + WINDOW + 32}")
+def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, hot: int | None = None) -> Shared:
+    """What the records of df share; hot: symbols in more places than that are verified by class (HOT by default)."""
+    most = HOT if hot is None else hot
+    _, context = rounds_for(min_chars)
     keyed = _keyed(df, key, text)
-    found = high_level_symbols(keyed, min_chars).repartition("sym").dropDuplicates(["sym", "h1", "h2", "pos"])
-    same = Window.partitionBy("sym")
-    marked = found.withColumns({"_lo": F.min(F.struct("h1", "h2")).over(same), "_hi": F.max(F.struct("h1", "h2")).over(same), "_n": F.count("*").over(same)})
-    shared = cut(marked.where("_lo <> _hi").select("sym", "h1", "h2", "pos", (F.col("_n") > HOT).alias("hot")), "symbols")
-    cold = shared.where("not hot").drop("hot")
-    if shared.where("hot").limit(1).count():
-        cold = cold.unionByName(_refine(shared.where("hot").drop("hot"), keyed, min_chars))
+    found = high_level_symbols(keyed, min_chars)  # read twice: naming anew costs less than keeping all names on disk
+    counts = cut(found.groupBy("sym").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sym", (F.col("n") > most).alias("hot")), "shared")
+    kept = F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts
+    shared = cut(found.join(kept, "sym").dropDuplicates(["sym", "h1", "h2", "pos"]), "symbols")
+    members = keyed.select("id", "h1", "h2", F.length("text").alias("chars")).distinct()
+    windows = _windows(shared.where("hot"), keyed, min_chars)
+    spans_schema = "a1 long, a2 long, b1 long, b2 long, start_a int, start_b int, length int"
+    if most == 0:
+        return Shared(df.sparkSession.createDataFrame([], spans_schema), windows, members)
+    cold = shared.where("not hot")
     a = cold.select("sym", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("pos").alias("pa"))
     b = cold.select("sym", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("pos").alias("pb"))
-    pairs = a.join(b, "sym").where("a1 < b1 or (a1 = b1 and a2 < b2)")
+    pairs = a.join(b, "sym").where("a1 < b1 or (a1 = b1 and a2 < b2)")  # at most HOT for each row
     lines = pairs.groupBy("a1", "a2", "b1", "b2", (F.col("pb") - F.col("pa")).alias("shift")).agg(F.collect_set("pa").alias("at"))
     candidates = cut(lines, "candidates")
     keys = candidates.selectExpr("a1 as h1", "a2 as h2").unionByName(candidates.selectExpr("b1 as h1", "b2 as h2")).distinct()
     texts = _pick(keyed, keys)
-    seed = min_chars - MARGIN - WINDOW
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,16 +350,15 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
                     done = p + max(1, right)
                     if left + right >= min_chars:
                         rows.append((a1, a2, b1, b2, p - left, q - left, left + right))
-                    for v, w in _shifts(x, p, y, q, seed):
+                    for v, w in _shifts(x, p, y, q, 2 * context):
                         left, right = _common_suffix(x, v, y, w), _common_prefix(x, v, y, w)
                         if left + right >= min_chars:
                             rows.append((a1, a2, b1, b2, v - left, w - left, left + right))
             yield pd.DataFrame(rows, columns=["a1", "a2", "b1", "b2", "start_a", "start_b", "length"])
 
     with_texts = candidates.join(texts.toDF("a1", "a2", "x"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "y"), ["b1", "b2"])
-    spans = with_texts.select("a1", "a2", "b1", "b2", "shift", "at", "x", "y").mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, start_a int, start_b int, length int").distinct()  # repetitions are found from several anchors
-    members = keyed.select("id", "h1", "h2", F.length("text").alias("chars")).distinct()
-    return cut(spans, "spans"), members
+    spans = with_texts.select("a1", "a2", "b1", "b2", "shift", "at", "x", "y").mapInPandas(verify, spans_schema).distinct()  # repetitions are found from several places
+    return Shared(cut(spans, "spans"), windows, members)
 
 
 def _common_prefix(x: str, p: int, y: str, q: int) -> int:
@@ -369,9 +393,32 @@ def _common_suffix(x: str, p: int, y: str, q: int) -> int:
     return have
 
 
-def document_pairs(spans: DataFrame, members: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def class_pairs(windows: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of texts that share a window, each class of texts expanded once, in blocks of BLOCK.
+
+    Neighbouring windows mostly have the same texts. Of the windows of one set of texts those are expanded that, in the
+    set's least text, don't follow a window of the same set: one at least, the first.
+    """
+    texts = windows.groupBy("w1", "w2", "h1", "h2").agg(F.min("start").alias("start"))
+    sets = texts.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "start")).alias("least"), F.bit_xor(F.xxhash64("h1", "h2")).alias("x"), F.sum(F.xxhash64("h2", "h1") % 1_000_003).alias("s"))
+    order = Window.partitionBy("least.h1", "least.h2").orderBy("least.start")
+    mark = F.struct("n", "x", "s")
+    follows = (F.lag("least.start").over(order) == F.col("least.start") - 1) & (F.lag(mark).over(order) == mark)
+    once = sets.withColumn("_f", F.coalesce(follows, F.lit(False))).where("not _f").select("w1", "w2", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = texts.select("w1", "w2", "h1", "h2").join(once, ["w1", "w2"]).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    cells = own.select("w1", "w2", "h1", "h2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    a = cells.where("own <= other").select("w1", "w2", F.col("own").alias("i"), F.col("other").alias("j"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    b = cells.where("other <= own").select("w1", "w2", F.col("other").alias("i"), F.col("own").alias("j"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    both = a.join(b, ["w1", "w2", "i", "j"]).where("i < j or a1 < b1 or (a1 = b1 and a2 < b2)")
+    return both.select("a1", "a2", "b1", "b2").distinct()
+
+
+def document_pairs(shared: Shared, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id_a, doc_id_b), doc_id_a < doc_id_b: pairs of records that share a span, equal texts included."""
-    texts = spans.select("a1", "a2", "b1", "b2").distinct()
+    members = shared.members
+    texts = shared.spans.select("a1", "a2", "b1", "b2").distinct()
+    if shared.windows.limit(1).count():
+        texts = texts.unionByName(class_pairs(shared.windows))
     x = members.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("id").alias("x"))
     y = members.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("id").alias("y"))
     between = texts.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("x", "y")
@@ -381,12 +428,14 @@ def document_pairs(spans: DataFrame, members: DataFrame, min_chars: int = MIN_CH
     return between.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
-def shared_shares(spans: DataFrame, members: DataFrame) -> DataFrame:
+def shared_shares(shared: Shared, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, chars, shared_chars, share) of every record: how much of it stands in other records too."""
-    own = spans.selectExpr("a1 as h1", "a2 as h2", "start_a as lo", "start_a + length as hi").unionByName(spans.selectExpr("b1 as h1", "b2 as h2", "start_b as lo", "start_b + length as hi")).distinct()
+    spans, members = shared.spans, shared.members
+    own = spans.selectExpr("a1 as h1", "a2 as h2", "start_a as lo", "start_a + length as hi").unionByName(spans.selectExpr("b1 as h1", "b2 as h2", "start_b as lo", "start_b + length as hi"))
+    own = own.unionByName(shared.windows.select("h1", "h2", F.col("start").alias("lo"), (F.col("start") + min_chars).alias("hi"))).distinct()
     order = Window.partitionBy("h1", "h2").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     covered = own.withColumn("_reach", F.coalesce(F.max("hi").over(order), F.lit(0))).groupBy("h1", "h2").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "_reach"))).alias("shared"))
     copies = members.groupBy("h1", "h2").agg(F.count("*").alias("copies"))
     joined = members.join(copies, ["h1", "h2"]).join(covered, ["h1", "h2"], "left")
-    shared = F.when((F.col("copies") > 1) & (F.col("chars") >= MIN_CHARS), F.col("chars")).otherwise(F.coalesce("shared", F.lit(0)))
-    return joined.select("id", "chars", shared.cast("long").alias("shared_chars"), F.when(F.col("chars") > 0, F.round(shared / F.col("chars"), 6)).otherwise(0.0).alias("share"))
+    part = F.when((F.col("copies") > 1) & (F.col("chars") >= min_chars), F.col("chars")).otherwise(F.coalesce("shared", F.lit(0)))
+    return joined.select("id", "chars", part.cast("long").alias("shared_chars"), F.when(F.col("chars") > 0, F.round(part / F.col("chars"), 6)).otherwise(0.0).alias("share"))
