@@ -1,14 +1,16 @@
 """The k most similar vectors for every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample (SAMPLE_ROWS expected, twice that at most, chosen by hash) with a size penalty that keeps lists even.
-Every vector is posted to its nearest list and, near a boundary, to up to POSTINGS lists whose distance is within
-POST_RATIO of the nearest; as a query it visits up to PROBES lists within PROBE_RATIO. The nearest centroids come
-from a graph over the centroids that is held in memory and walked best-first from a few hubs, many queries at once.
+Centroids are fitted on a bounded share of the vectors, drawn by hash: up to TOP lists on the driver; more in two
+levels, the driver fitting cells and the cluster the lists of each cell. Lists that take more than twice their share are
+split until all are even. Every vector is posted to its nearest list and, near a boundary, to up to POSTINGS lists whose
+distance is within POST_RATIO of the nearest; as a query it visits up to PROBES lists within PROBE_RATIO. The nearest
+centroids come from a graph over the centroids that is held in memory, built once and walked best-first from a few hubs
+with a beam of bounded width, many queries at once; a walk looks at a few hundred centroids however many there are.
 Each list is one block product; lists that outgrow BLOCK vectors are cut into blocks of members and of queries.
 The results of the lists of a vector are merged. Candidate search only is approximate: every vector is indexed,
 similarities are exact cosines of float32 vectors.
 
-The list of centroids that is broadcast is bounded: MAX_LISTS lists. Copies of one vector: of more than 2k rows
+What is broadcast is bounded: MAX_LISTS centroids with DEGREE links each. Copies of one vector: of more than 2k rows
 with equal vectors only those that can be among the k smallest by (similarity, id) for some row are posted, which
 loses nothing; all stay queries.
 
@@ -28,14 +30,24 @@ from pyspark.sql import functions as F
 
 from inkwell.session import cut
 
-SAMPLE_ROWS, LIST_SIZE, MAX_LISTS, BLOCK = 32_768, 2_000, 16_384, 16_384
+SAMPLE_ROWS, LIST_SIZE, BLOCK = 32_768, 2_000, 16_384
+TOP, MAX_LISTS, ROWS_PER_LIST = 1_024, 65_536, 24
 POSTINGS, POST_RATIO, PROBES, PROBE_RATIO = 2, 0.1, 8, 0.2
-HUBS, DEGREE, BEAM = 64, 24, 12
+HUBS, DEGREE, BEAM, AHEAD = 64, 24, 24, 4
+MAX_ARTIFACTS = 1_000
+
+
+def _active(artifacts: DataFrame) -> DataFrame:
+    """Ids and dimensions of the active artifacts, a control table; refuses more than can be broadcast."""
+    active = artifacts.where(F.coalesce("is_active", F.lit(False))).select("artifact_id", "dimension").distinct()
+    if active.limit(MAX_ARTIFACTS + 1).count() > MAX_ARTIFACTS:
+        raise ValueError(f"more than {MAX_ARTIFACTS} active artifacts")
+    return active
 
 
 def decode(chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(row_id, source_id, vec) of the active artifacts: unit vectors as little-endian float32."""
-    active = artifacts.where(F.coalesce("is_active", F.lit(False))).select("artifact_id", "dimension").distinct().limit(1000)
+    active = _active(artifacts)
     raw = (
         chunks.select("row_id", "source_id", "artifact_id", F.try_to_binary("embedding_base64", F.lit("base64")).alias("raw"))
         .join(F.broadcast(active), "artifact_id")
@@ -58,73 +70,113 @@ def decode(chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
     return raw.mapInPandas(run, "row_id string, source_id string, vec binary")
 
 
-def fit_centroids(x: np.ndarray, lists: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Spherical k-means on the sample; a growing list's similarity is lowered, so that lists stay even."""
-    rng = np.random.default_rng(seed)
-    lists = max(1, min(lists, len(x)))
+def _owners(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+
+
+def _kmeans(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    """Spherical k-means."""
     c = x[rng.choice(len(x), lists, replace=False)].astype(np.float32)
-    handicap = np.zeros(lists, dtype=np.float32)
     for _ in range(rounds):
-        owner = np.concatenate([(x[i : i + 4096] @ c.T - handicap).argmax(1) for i in range(0, len(x), 4096)])
+        owner = _owners(x, c)
         size = np.bincount(owner, minlength=lists)
+        order = np.argsort(owner, kind="stable")
         sums = np.zeros_like(c)
-        np.add.at(sums, owner, x)
+        filled = np.flatnonzero(size)
+        sums[filled] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(size[filled])[:-1]]), axis=0)
         for j in np.flatnonzero(size == 0):
             sums[j] = x[rng.integers(len(x))]
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        handicap = np.clip(handicap + 0.02 * (size / max(1, len(x) / lists) - 1), 0, 0.1).astype(np.float32)
-    return c.astype(np.float32)
+        c = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return c
+
+
+def fit_centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Centroids whose lists are even on x: those with more than twice their share are split, empty ones go."""
+    rng = np.random.default_rng(seed)
+    lists = max(1, min(lists, len(x)))
+    share = max(4.0, len(x) / lists)
+    c = _kmeans(x, lists, rng, rounds)
+    fixed: set[bytes] = set()  # lists that can't be split, as all their vectors are equal
+    for _ in range(16):
+        owner = _owners(x, c)
+        size = np.bincount(owner, minlength=len(c))
+        large = [j for j in np.flatnonzero(size > 2 * share) if c[j].tobytes() not in fixed]
+        if not large:
+            break
+        new = [c[np.setdiff1d(np.flatnonzero(size), large)]]
+        for j in large:
+            own = x[owner == j]
+            parts = _kmeans(own, min(len(own), max(2, round(len(own) / share))), rng, 4)
+            if len(np.unique(_owners(own, parts))) < 2:
+                parts = c[j : j + 1]
+                fixed.add(parts[0].tobytes())
+            new.append(parts)
+        c = np.concatenate(new)
+    return c
 
 
 class CentroidGraph:
-    """A graph over centroids: each knows its nearest ones; queries walk it best-first from hubs."""
+    """A graph over centroids: each knows its nearest ones; queries walk it best-first from hubs. Built once, then broadcast."""
 
     def __init__(self, centroids: np.ndarray):
-        self.c = centroids
-        n = len(centroids)
-        degree = min(DEGREE, max(1, n - 1))
-        self.links = np.zeros((n, degree), dtype=np.int64)
-        for i in range(0, n, 1024):
-            sims = centroids[i : i + 1024] @ centroids.T
+        self.c = np.ascontiguousarray(centroids, dtype=np.float32)
+        n = len(self.c)
+        degree = min(DEGREE, n - 1)
+        self.links = np.full((n, max(1, degree)), -1, dtype=np.int32)
+        for i in range(0, n if degree else 0, 1024):
+            sims = self.c[i : i + 1024] @ self.c.T
             sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -2
-            self.links[i : i + 1024] = np.argpartition(-sims, degree - 1, axis=1)[:, :degree] if n > 1 else 0
-        self.hubs = np.unique(np.linspace(0, n - 1, min(n, max(HUBS, int(2 * n**0.5)))).astype(np.int64))
+            self.links[i : i + 1024] = np.argpartition(-sims, degree - 1, axis=1)[:, :degree]
+        hubs = max(HUBS, int(2 * n**0.5))  # spread as the centroids are, so that every group of them has one
+        spread = self.c if n <= hubs else _kmeans(self.c, hubs, np.random.default_rng(7), 4)
+        self.hubs = np.unique((np.concatenate([(spread[i : i + 256] @ self.c.T).argmax(1) for i in range(0, len(spread), 256)])).astype(np.int32))
+        self.looked = 0  # similarities computed so far
 
     def nearest(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the `most` nearest centroids of each row of q, nearest first."""
         most = min(most, len(self.c))
         ids, dist = np.empty((len(q), most), np.int64), np.empty((len(q), most), np.float32)
-        width = max(64, min(2048, 4_000_000 // max(1, len(self.c))))
-        for i in range(0, len(q), width):
-            sims = self._walk(q[i : i + width])
-            best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            own = np.take_along_axis(sims, best, 1)
-            order = np.argsort(-own, axis=1, kind="stable")
-            ids[i : i + width] = np.take_along_axis(best, order, 1)
-            dist[i : i + width] = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(own, order, 1)))
+        for i in range(0, len(q), 1024):
+            found, sims = self._walk(q[i : i + 1024], most)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+            ids[i : i + 1024] = np.take_along_axis(found, order, 1)
+            dist[i : i + 1024] = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, order, 1)))
         return ids, dist
 
-    def _walk(self, q: np.ndarray) -> np.ndarray:
-        sims = np.full((len(q), len(self.c)), -2, dtype=np.float32)
-        sims[:, self.hubs] = q @ self.c[self.hubs].T
-        expanded = np.zeros(sims.shape, dtype=bool)
-        rows = np.arange(len(q))[:, None]
-        beam = min(BEAM, len(self.c))
-        while True:
-            front = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
-            fresh = ~expanded[rows, front] & (sims[rows, front] > -2)
-            live = np.flatnonzero(fresh.any(1))
+    def _walk(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The beam of each query, ids and similarities, once all in it have been looked around from."""
+        n, width = len(self.c), max(BEAM, 2 * most)
+        start = q @ self.c[self.hubs].T
+        self.looked += start.size
+        if len(self.hubs) == n:
+            return np.broadcast_to(self.hubs, start.shape), start
+        width = min(width, len(self.hubs))
+        best = np.argpartition(-start, width - 1, axis=1)[:, :width]
+        ids, sims = self.hubs[best], np.take_along_axis(start, best, 1)
+        open_ = np.ones(ids.shape, dtype=bool)
+        live = np.arange(len(q))
+        while len(live):
+            ahead = np.where(open_[live], sims[live], -3)
+            pick = np.argpartition(-ahead, AHEAD - 1, axis=1)[:, :AHEAD]
+            going = (np.take_along_axis(ahead, pick, 1) > -3).any(1)
+            live, pick, ahead = live[going], pick[going], ahead[going]
             if not len(live):
-                return sims
-            r = live[:, None]
-            expanded[r, front[live]] = True
-            near = self.links[front[live]].reshape(len(live), -1)
-            unseen = sims[r, near] == -2
-            at, col = np.nonzero(unseen)
-            who, target = live[at], near[at, col]
-            for j in range(0, len(who), 200_000):
-                w, t = who[j : j + 200_000], target[j : j + 200_000]
-                sims[w, t] = np.einsum("ij,ij->i", q[w], self.c[t])
+                break
+            fresh = np.take_along_axis(ahead, pick, 1) > -3
+            open_[live[:, None], pick] = False
+            near = np.where(fresh[:, :, None], self.links[np.take_along_axis(ids[live], pick, 1)], -1).reshape(len(live), -1)
+            near = np.sort(near, axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            near[(near[:, :, None] == ids[live][:, None, :]).any(2)] = -1
+            got = np.full(near.shape, -2, dtype=np.float32)
+            r, k = np.nonzero(near >= 0)
+            got[r, k] = np.einsum("ij,ij->i", q[live[r]], self.c[near[r, k]])
+            self.looked += len(r)
+            all_ids, all_sims = np.concatenate([ids[live], near], 1), np.concatenate([sims[live], got], 1)
+            all_open = np.concatenate([open_[live], near >= 0], 1)
+            keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
+            ids[live], sims[live], open_[live] = (np.take_along_axis(x, keep, 1) for x in (all_ids, all_sims, all_open))
+        return ids, sims
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -154,6 +206,33 @@ def _top(q: np.ndarray, qs: np.ndarray, qid: np.ndarray, m: np.ndarray, ms: np.n
         yield qid[i + rows[r]], mid[c], sims[r, c]
 
 
+def _sample(vectors: DataFrame, share: float) -> DataFrame:
+    """A share of the vectors, by hash of their row_id."""
+    return vectors.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 31)) <= int((1 << 31) * min(1.0, share))).select("vec")
+
+
+def _centroids(vectors: DataFrame, n: int, lists: int, sample_rows: int) -> np.ndarray:
+    """The centroids of n vectors; the driver sees sample_rows vectors (expected; twice that at most) and the centroids."""
+    few = min(lists, TOP) if lists <= TOP else int(np.ceil(lists**0.5))
+    top = fit_centroids(_vectors(_sample(vectors, sample_rows / n).limit(2 * sample_rows).toPandas()["vec"]), few)
+    if lists <= TOP:
+        return top
+    cells = vectors.sparkSession.sparkContext.broadcast(top)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"cell": _owners(_vectors(pdf["vec"]), cells.value), "vec": pdf["vec"]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = fit_centroids(_vectors(pdf["vec"]), -(-len(pdf) // ROWS_PER_LIST))
+        return pd.DataFrame({"vec": [x.tobytes() for x in found]})
+
+    # a cell has ROWS_PER_LIST * sqrt(lists) rows of the sample or about twice that, as cells are even
+    placed = _sample(vectors, ROWS_PER_LIST * lists / n).mapInPandas(place, "cell long, vec binary")
+    return _vectors(placed.groupBy("cell").applyInPandas(fit, "vec binary").toPandas()["vec"])
+
+
 def nearest_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | None = None, postings: int = POSTINGS, probes: int = PROBES, list_size: int = LIST_SIZE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(row_id, neighbour_id, similarity, rank) of (row_id, source_id, vec); rank 1 is the most similar.
 
@@ -161,17 +240,16 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
     after merging, it is applied within lists already.
     """
     spark = vectors.sparkSession
+    vectors = cut(vectors, "vectors")  # decoded once; read by the sample and by the assignment
     n = vectors.count()
     out = "row_id string, neighbour_id string, similarity double, rank int"
     if n == 0:
         return spark.createDataFrame([], out)
-    part = int((1 << 31) * min(1.0, sample_rows / n))  # sample_rows are expected; each task sends only its share
-    picked = vectors.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 31)) <= part).select("vec").limit(2 * sample_rows).toPandas()
-    centroids = fit_centroids(_vectors(picked["vec"]), min(MAX_LISTS, -(-n // list_size)))
-    shared = spark.sparkContext.broadcast(centroids)
+    graph = CentroidGraph(_centroids(vectors, n, min(MAX_LISTS, -(-n // list_size)), sample_rows))
+    shared = spark.sparkContext.broadcast(graph)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = CentroidGraph(shared.value)
+        graph = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -201,7 +279,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, min_similarity: float | Non
 
     each = flagged.select("row_id", "src", "vec", "asks", "posts", F.posexplode("lists").alias("at", "list")).select("row_id", "src", "vec", "list", (F.col("at") < F.col("asks")).alias("asks"), (F.col("at") < F.col("posts")).alias("posts"))
     sizes = each.groupBy("list").agg(F.count_if("posts").alias("m"), F.count_if("asks").alias("q")).select("list", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.col("q") / BLOCK)).cast("int").alias("qb"))
-    placed = each.join(F.broadcast(sizes), "list")  # one row per list, MAX_LISTS at most
+    placed = each.join(F.broadcast(sizes), "list")  # one row for each list
     block = F.pmod(F.xxhash64("row_id"), F.lit(1 << 20))
     spread = placed.select(
         "row_id", "src", "vec", "list", "asks", "posts", F.when(F.col("asks"), F.pmod(block, F.col("qb"))).alias("own_q"), F.when(F.col("posts"), F.pmod(block, F.col("mb"))).alias("own_m"), "mb", "qb"

@@ -10,7 +10,7 @@ task holds all pieces of a frequent length.
 
 Defined cases: null ids are left out; null or negative lengths count as 0; items of length 0 go together to one
 container. Repeated ids are repeated items only if their rows differ; exact duplicates count once. A limit below 1
-or null packs nothing. No items: no containers. Other columns are ignored.
+or null packs nothing; more than MAX_LIMITS limits are refused. No items: no containers. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import bisect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_ROWS, MAX_SALTS = 100_000, 4096
+SALT_ROWS, MAX_SALTS, MAX_LIMITS = 100_000, 4096, 1_000
 
 
 def plan(histogram: dict[int, int], limit: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -66,10 +66,18 @@ def plan(histogram: dict[int, int], limit: int) -> tuple[list[tuple[int, int, in
     return slots, containers
 
 
+def _limits(limits: DataFrame) -> DataFrame:
+    """(limit_id, limit) of a control table; refuses more than can be broadcast."""
+    own = limits.where("token_limit >= 1").select("limit_id", F.col("token_limit").cast("long").alias("limit")).distinct()
+    if own.limit(MAX_LIMITS + 1).count() > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
+    return own
+
+
 def pieces(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "tokens") -> DataFrame:
     """(limit_id, limit, key, piece, length) of every item under every limit."""
     own = items.where(F.col(key).isNotNull()).select(key, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("_size")).distinct()
-    caps = F.broadcast(limits.where("token_limit >= 1").select("limit_id", F.col("token_limit").cast("long").alias("limit")).distinct().limit(1000))
+    caps = F.broadcast(_limits(limits))
     every = own.join(caps)  # a fixed handful of limits for each item
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("_size") / F.col("limit")) - 1).cast("long"))
     return every.withColumn("piece", F.explode(cuts)).select("limit_id", "limit", key, "piece", F.least(F.col("limit"), F.col("_size") - F.col("piece") * F.col("limit")).alias("length"))
@@ -107,5 +115,5 @@ def pack(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """Containers, tokens and the share of space used, by limit."""
     by_container = packed.groupBy("limit_id", "container_id").agg(F.sum("length").alias("used"))
-    caps = F.broadcast(limits.select("limit_id", F.col("token_limit").cast("long").alias("token_limit")).distinct().limit(1000))
+    caps = F.broadcast(_limits(limits).withColumnRenamed("limit", "token_limit"))
     return by_container.join(caps, "limit_id").groupBy("limit_id", "token_limit").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("token_limit")), 6))

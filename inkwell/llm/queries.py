@@ -143,20 +143,34 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The chosen documents, so that each source reaches its target share, and how often each is used."""
+    """The chosen documents and how often each is used, for a total of all tokens: small sources are clamped, the others take over."""
     return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 @query()
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares reached."""
+    """The shares reached, and which sources were clamped."""
     return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"))[1]
 
 
 @query()
-def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """The shares reached if the total is to be as large as all documents: small sources are clamped."""
-    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"), total=0)[1]
+def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached with the largest total at which no source is clamped: the targets themselves."""
+    return mixing.mix(_counted(spark, d), table(spark, d, "mix_targets"), total=mixing.EXACT)[1]
+
+
+@query("""WITH a AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) AS available FROM documents GROUP BY 1), g AS (SELECT CAST(sum(n_chars) AS DOUBLE) AS goal FROM documents WHERE source IS NOT NULL),
+t AS (SELECT source, target_share / sum(target_share) OVER () AS share, max_repeats, coalesce(available, 0) AS available, max_repeats * coalesce(available, 0) AS room FROM mix_targets LEFT JOIN a USING (source)),
+o AS (SELECT *, row_number() OVER (ORDER BY room / share, source) AS n FROM t),
+c AS (SELECT *, coalesce(sum(room) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, sum(share) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
+f AS (SELECT *, (goal - taken) * share / open >= room AS is_full FROM c, g), k AS (SELECT coalesce(sum(room) FILTER (is_full), 0) AS taken, coalesce(sum(share) FILTER (NOT is_full), 0) AS open FROM f),
+p AS (SELECT source, share, max_repeats, available, CASE WHEN is_full THEN room ELSE (goal - k.taken) * share / k.open END AS planned, goal FROM f, k)
+SELECT source, round(share, 9) AS target_share, max_repeats, CAST(available AS BIGINT) AS available, CAST(round(planned) AS BIGINT) AS planned, round(planned / sum(planned) OVER (), 9) AS planned_share, planned < goal * share * (1 - 1e-9) AS clamped FROM p""")
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What water-filling asks of each source, by characters instead of tokens, so that SQL can check it."""
+    own = table(spark, d, "documents", "doc_id", "source", "n_chars")
+    plan = mixing.plan_shares(own, table(spark, d, "mix_targets"), size="n_chars")
+    return plan.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", "available", F.round("planned").cast("long").alias("planned"), F.round("planned_share", 9).alias("planned_share"), "clamped")
 
 
 @query()

@@ -75,3 +75,46 @@ def test_graph_finds_nearest_centroids():
     true = np.argsort(-(q @ c.T), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids, true)]) > 0.9
     assert (np.diff(dist, axis=1) >= -1e-6).all()
+
+
+def test_graph_looks_at_few_centroids():
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 1, (200, 16))
+    c = (centers[rng.integers(0, 200, 20_000)] + rng.normal(0, 0.4, (20_000, 16))).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    q = (centers[rng.integers(0, 200, 500)] + rng.normal(0, 0.4, (500, 16))).astype(np.float32)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    graph = nb.CentroidGraph(c)
+    ids, _ = graph.nearest(q, 8)
+    true = np.argsort(-(q @ c.T), axis=1)[:, :8]
+    assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids, true)]) > 0.9
+    assert graph.looked / len(q) < 0.1 * len(c)
+
+
+def test_lists_are_even():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.05, (3000, 8)) + 1, rng.normal(0, 1, (1000, 8))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = np.bincount(nb._owners(x, nb.fit_centroids(x, 40)))
+    assert sizes.max() <= 200 and (sizes > 0).all()
+    assert len(nb.fit_centroids(np.ones((500, 4), np.float32), 10)) <= 10  # equal vectors can't be split
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    monkeypatch.setattr(nb, "TOP", 8)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 1, (40, 16))
+    v = centers[rng.integers(0, 40, 4000)] + rng.normal(0, 0.5, (4000, 16))
+    source = [f"s{i}" for i in range(4000)]
+    got = nb.nearest_vectors(_frame(spark, v, source), 10, list_size=100).toPandas()
+    true, _ = _brute(v, source, 10)
+    found = got.groupby("row_id")["neighbour_id"].apply(set)
+    assert np.mean([len(found[f"r{i:05d}"] & {f"r{j:05d}" for j in true[i]}) / 10 for i in range(4000)]) >= 0.9
+
+
+def test_too_many_artifacts_are_refused(spark):
+    import pytest
+
+    arts = spark.range(nb.MAX_ARTIFACTS + 1).selectExpr("cast(id as string) as artifact_id", "4 as dimension", "true as is_active")
+    with pytest.raises(ValueError, match="active artifacts"):
+        nb._active(arts)

@@ -78,14 +78,18 @@ def test_mix(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     df = df.unionAll(df.limit(100))
     targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.6, 3), ("absent", 0.0, 1)], "source string, target_share double, max_repeats int")
-    chosen, report = mixing.mix(df, targets)
+    chosen, report = mixing.mix(df, targets, total=mixing.EXACT)
     r = {x["source"]: x for x in report.collect()}
     assert abs(r["big"]["actual_share"] - 0.4) < 0.01 and abs(r["small"]["actual_share"] - 0.6) < 0.01 and r["absent"]["chosen"] == 0
     got = chosen.collect()
     assert len({x["doc_id"] for x in got}) == len(got) and all(1 <= x["copies"] <= (1 if x["source"] == "big" else 3) for x in got)
-    assert {tuple(x) for x in got} == {tuple(x) for x in mixing.mix(df.repartition(3), targets)[0].collect()}
-    all_of_it = {x["source"]: x for x in mixing.mix(df, targets, total=0)[1].collect()}
-    assert sum(x["chosen"] for x in all_of_it.values()) > 0
+    assert {tuple(x) for x in got} == {tuple(x) for x in mixing.mix(df.repartition(3), targets, total=mixing.EXACT)[0].collect()}
+    targets = spark.createDataFrame([("big", 0.2, 1), ("small", 0.8, 3), ("absent", 0.0, 1)], "source string, target_share double, max_repeats int")
+    everything = {x["source"]: x for x in mixing.mix(df, targets)[1].collect()}
+    assert everything["small"]["clamped"] and everything["small"]["chosen"] == 3 * everything["small"]["available"] and not everything["big"]["clamped"]
+    assert abs(sum(x["chosen"] for x in everything.values()) - sum(t or 0 for i, s, t in rows if i is not None and s)) <= 50  # what small lacks big takes over
+    plan = {x["source"]: x for x in mixing.plan_shares(df, targets).collect()}
+    assert all(abs(plan[s]["planned"] - everything[s]["chosen"]) <= 50 and plan[s]["clamped"] == everything[s]["clamped"] for s in plan)
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 
@@ -93,3 +97,17 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "x" * 5000)], "doc_id long, text string")
     got = {r["doc_id"]: r["tokens"] for r in tokens.count_tokens(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 100
+
+
+def test_limits_and_targets_beyond_the_bounds_are_refused(spark):
+    import pytest
+
+    items = spark.createDataFrame([(1, "a", 5)], "doc_id long, source string, tokens long")
+    many = spark.range(packing.MAX_LIMITS + 1).selectExpr("cast(id as string) as limit_id", "cast(id + 1 as int) as token_limit")
+    with pytest.raises(ValueError, match="limits"):
+        packing.pack(items, many)
+    targets = spark.range(mixing.MAX_SOURCES + 1).selectExpr("cast(id as string) as source", "1.0D as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError, match="targets"):
+        mixing.mix(items, targets)
+    with pytest.raises(ValueError, match="targets"):
+        mixing.mix(items, spark.createDataFrame([("a", 0.5, 1), ("a", 0.4, 1)], "source string, target_share double, max_repeats int"))
