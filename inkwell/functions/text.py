@@ -261,6 +261,12 @@ def path_parts(path: Column | str) -> Column:
     return F.struct(name.alias("filename"), file_stem(p).alias("stem"), F.when(p.contains("/"), F.regexp_replace(p, "(?s)/[^/]*$", "")).otherwise("").alias("folder"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"))
 
 
+def join_terms(analysis: Column | str) -> Column:
+    """All terms of an analysis in one line, for people to read."""
+    a = _column(analysis)
+    return F.array_join(F.concat(a["terms"], a["secondary_terms"], a["ngrams"], a["identifier_terms"]), " ")
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
@@ -269,6 +275,11 @@ def utf8_length(text: Column | str) -> Column:
     return F.octet_length(_column(text))
 
 
+def render_words(template: str, content: str) -> str:
+    """A query template filled with a query's words; other variables become empty."""
+    return re.sub(r"\{\{\s*([A-Za-z_][\w.]*)\s*\}\}", lambda m: content if m[1] in ("content", "query") else "", template)
+
+
 def render_template(template: str, variables: dict[str, Column]) -> tuple[Column, list[str], list[str]]:
     """The filled template, the variables used and those that are unknown (they become empty). One pass: values are never expanded."""
     parts, used, missing, at = [], [], [], 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
-from inkwell.operators import semantic
+from inkwell.operators import lexical, semantic
+from inkwell.operators.filters import RowFilter
 
 # Bonuses of link signals, blocks taken and neighbours asked per block.
 WIKILINK, BACKLINK, SHARED_TAG, TAG_CAP = 0.2, 0.15, 0.05, 2
@@ -66,13 +70,25 @@ def lexical_signals(hits: DataFrame) -> DataFrame:
     return scaled.groupBy("source_id").agg(F.max("s").alias("score"), F.max_by("row_id", F.struct("s", "row_id")).alias("detail")).select("source_id", F.lit("lexical").alias("kind"), "score", "detail")
 
 
+def lexical_neighbours(chunks: DataFrame, words: str, exclude: str | None = None, postings: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame | None:
+    """Signals of the blocks that words find; None if there is nothing in them to look for. Without an index one is built of these words alone."""
+    terms, ngrams, identifiers = text.analyze_words(words)
+    if not terms and not ngrams:
+        return None
+    every = list(dict.fromkeys([*terms, *ngrams, *identifiers]))
+    own = lexical.build_postings(chunks, every) if postings is None else lexical.only_terms(postings, every)
+    known = lexical.field_statistics(chunks) if statistics is None else statistics
+    rows = None if exclude is None else RowFilter(exclude_source_ids=(exclude,))
+    return lexical_signals(lexical.search(chunks, own, known, lexical.query_terms(chunks.sparkSession, terms, ngrams, identifiers), 2 * NEIGHBOURS, row_filter=rows))
+
+
 def connect(signals: DataFrame, sources: DataFrame, chunks: DataFrame, limit: int = 20, feedback: DataFrame | None = None, exclude: str | None = None) -> DataFrame:
     """(source_id, path, title, score, pinned, edges, evidence_row_id, snippet, rank): signals added up, hidden notes out, pinned first."""
-    total = signals.groupBy("source_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("kind", "score", "detail"))).alias("edges"), F.max(F.when(F.col("kind").isin("semantic", "lexical"), F.col("detail"))).alias("evidence_row_id"))
+    total = signals.groupBy("source_id").agg(F.round(F.sum("score"), 9).alias("score"), F.array_sort(F.collect_list(F.struct("kind", "score", "detail"))).alias("edges"), F.max(F.when(F.col("kind").isin("semantic", "lexical"), F.col("detail"))).alias("evidence_row_id"))
     if exclude is not None:
         total = total.where(F.col("source_id") != exclude)
     if feedback is not None:
-        total = total.join(F.broadcast(feedback.where("hidden").select("source_id")), "source_id", "left_anti").join(F.broadcast(feedback.where("pinned").select("source_id", F.lit(True).alias("pinned")).distinct()), "source_id", "left")
+        total = total.join(feedback.where("hidden").select("source_id"), "source_id", "left_anti").join(feedback.where("pinned").select("source_id", F.lit(True).alias("pinned")).distinct(), "source_id", "left")
     else:
         total = total.withColumn("pinned", F.lit(False))
     known = total.withColumn("pinned", F.coalesce("pinned", F.lit(False))).join(sources.select("source_id", F.col("path_raw").alias("path"), F.col("title_raw").alias("title")).dropDuplicates(["source_id"]), "source_id")
@@ -83,8 +99,48 @@ def connect(signals: DataFrame, sources: DataFrame, chunks: DataFrame, limit: in
     return page.join(evidence, "evidence_row_id", "left").select("source_id", "path", "title", "score", "pinned", "edges", "evidence_row_id", "snippet", "rank")
 
 
-def for_source(sources: DataFrame, chunks: DataFrame, source_id: str, limit: int = 20, feedback: DataFrame | None = None) -> DataFrame:
-    return connect(semantic_signals(chunks, source_id).unionByName(link_signals(sources, source_id)), sources, chunks, limit, feedback, source_id)
+@dataclass(frozen=True)
+class Related:
+    """Related notes, how they were found (semantic, lexical_fallback or links_only), and whether the selection was cut."""
+
+    items: DataFrame
+    mode: str
+    truncated: bool = False
+
+
+def for_source(sources: DataFrame, chunks: DataFrame, source_id: str, limit: int = 20, feedback: DataFrame | None = None, postings: DataFrame | None = None, statistics: DataFrame | None = None) -> Related:
+    """Notes related to a note: by its blocks' vectors; if it has none, by its title and headings; links and tags always count.
+
+    A note that isn't there has no related notes.
+    """
+    own = sources.where(F.col("source_id") == source_id).select("title_raw", *[c for c in ("headings",) if c in sources.columns]).first()
+    signals, mode = link_signals(sources, source_id), "links_only"
+    if own is not None and chunks.where((F.col("source_id") == source_id) & (F.size("embedding") > 0)).limit(1).count():
+        signals, mode = semantic_signals(chunks, source_id).unionByName(signals), "semantic"
+    elif own is not None:
+        words = " ".join(filter(None, [own["title_raw"], *((own["headings"] or []) if "headings" in sources.columns else [])]))
+        found = lexical_neighbours(chunks, words, source_id, postings, statistics)
+        if found is not None:
+            signals, mode = found.unionByName(signals), "lexical_fallback"
+    return Related(connect(signals, sources, chunks, limit, feedback, source_id), mode)
+
+
+def for_selection(
+    sources: DataFrame, chunks: DataFrame, selection: str, active_id: str | None = None, limit: int = 20, embed: Callable[[str], list[float] | None] | None = None, feedback: DataFrame | None = None,
+    template: str = "{{content}}", postings: DataFrame | None = None, statistics: DataFrame | None = None, metric: str = "cosine",
+) -> Related:
+    """Notes related to a selected text, which is never indexed: by its vector, without one by its words. Links don't count."""
+    words, was_cut = truncate_selection(selection)
+    vector = embed(text.render_words(template, words)) if embed is not None else None
+    if vector is not None:
+        rows = None if active_id is None else RowFilter(exclude_source_ids=(active_id,))
+        near = semantic.search(chunks, vector, 2 * NEIGHBOURS, metric, rows).withColumn("s", text.clamp01(F.col("rank_score"))).where("s > 0")
+        signals, mode = near.groupBy("source_id").agg(F.max("s").alias("score"), F.max_by("row_id", F.struct("s", "row_id")).alias("detail")).select("source_id", F.lit("semantic").alias("kind"), "score", "detail"), "semantic"
+    else:
+        signals, mode = lexical_neighbours(chunks, words, active_id, postings, statistics), "lexical_fallback"
+        if signals is None:
+            signals = chunks.sparkSession.createDataFrame([], "source_id string, kind string, score double, detail string")
+    return Related(connect(signals, sources, chunks, limit, feedback, active_id), mode, was_cut)
 
 
 def truncate_selection(selection: str, budget: int = SELECTION_TOKENS) -> tuple[str, bool]:

@@ -5,11 +5,16 @@ results (query_id, rank, target_id); expected (query_id, target_id, group). A qu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import cut
+
 
 def per_query(results: DataFrame, expected: DataFrame, recall_at: int = 10, mrr_at: int = 10) -> DataFrame:
     """(query_id, group, hit, rr, zero) of every query that has expectations."""
@@ -38,6 +43,49 @@ def percentile(value: Column, p: float) -> Column:
     return F.element_at(values, (F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(p)).cast("int")) + 1).cast("int"))
 
 
+def percentiles(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """(group, value): the same over any number of rows: values are counted, put in order by range, and ranks come from running counts.
+
+    No task holds a group: a group's values are spread over its ranges, of which only the counts are put together.
+    """
+    from pyspark.sql import Window
+
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    parted = counted.repartitionByRange(F.col(group), F.col(value)).withColumn("_part", F.spark_partition_id())
+    parted = cut(parted, "ranges")
+    ahead = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = parted.groupBy(group, "_part").agg(F.sum("n").alias("m"))
+    sums = sums.select(group, "_part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("_before"), F.sum("m").over(Window.partitionBy(group)).alias("_all"))
+    inside = Window.partitionBy(group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = parted.join(sums, [group, "_part"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+    place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p)))
+    return placed.where((F.col("_upto") - F.col("n") <= place) & (place < F.col("_upto"))).select(group, value)
+
+
+def unit_vectors(spark: SparkSession, n: int, dimension: int, seed: int = 20260715) -> DataFrame:
+    """(id, vector): reproducible unit vectors for benches; vector i comes from a xorshift generator of 32 bits that begins with seed ^ i."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = (pdf["id"].to_numpy().astype(np.uint64) ^ np.uint64(seed)).astype(np.uint32)
+            x = np.where(x == 0, np.uint32(1), x)
+            v = np.empty((len(x), dimension))
+            for k in range(dimension):
+                x = x ^ (x << np.uint32(13))
+                x = x ^ (x >> np.uint32(17))
+                x = x ^ (x << np.uint32(5))
+                v[:, k] = x / 2**31 - 1
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield pd.DataFrame({"id": pdf["id"], "vector": list(v.astype(np.float32))})
+
+    return spark.range(n).mapInPandas(run, "id long, vector array<float>")
+
+
+def full_width(text: str) -> str:
+    """A fixture's words in full-width letters, as some input methods write them."""
+    return "".join("\u3000" if c == " " else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
+
+
 @dataclass(frozen=True)
 class Gate:
     """What an approximate index has to reach to replace the flat scan."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.filters import RowFilter, predicate
+from inkwell.session import small
 
 K1, B = 1.2, 0.75
 # Default weights by field.
@@ -26,9 +27,9 @@ def field_terms(chunks: DataFrame) -> DataFrame:
     return once.select("row_id", F.explode(F.array(*fields)).alias("f")).select("row_id", "f.field", F.filter("f.terms", lambda t: t.isNotNull()).alias("terms")).where("size(terms) > 0")
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(field, term, row_id, tf, len): tf counts repeated terms, len is the field's length."""
-    each = field_terms(chunks).select("row_id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+def build_postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(field, term, row_id, tf, len): tf counts repeated terms, len is the field's length. only: postings of these terms alone, picked before they are counted."""
+    each = field_terms(chunks).select("row_id", "field", F.size("terms").alias("len"), F.explode("terms" if only is None else F.filter("terms", lambda t: t.isin(*only) if only else F.lit(False))).alias("term"))
     return each.groupBy("row_id", "field", "term", "len").agg(F.count("*").cast("int").alias("tf")).select("field", "term", "row_id", "tf", "len")
 
 
@@ -46,7 +47,7 @@ def query_terms(spark, terms: list[str], ngrams: list[str] = (), identifiers: li
         rows += [(name, t, float(weights.get(name, 0))) for t in dict.fromkeys(own) if weights.get(name, 0) > 0]
     if len(rows) > MAX_QUERY_TERMS * len(FIELD_WEIGHTS):
         raise ValueError("too many query terms")
-    return spark.createDataFrame(rows, "field string, term string, weight double")
+    return small(spark, rows, "field string, term string, weight double")
 
 
 def bm25(postings: DataFrame, statistics: DataFrame, query: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -76,7 +77,8 @@ def search(chunks: DataFrame, postings: DataFrame, statistics: DataFrame, query:
     """(row_id, source_id, score, matched_fields, matched_terms, rank): the best records, ties by row_id."""
     hits = exclude_terms(bm25(postings, statistics, query), postings, list(excluded))
     own = chunks.where(predicate(row_filter)).select("row_id", "source_id").dropDuplicates(["row_id"])
-    return ranked(hits.join(own, "row_id"), limit, F.desc("score"), F.asc("row_id"))
+    rounded = F.round("score", 9)  # sums of the same parts in another order are a tie
+    return ranked(hits.join(own, "row_id").withColumn("_s", rounded), limit, F.desc("_s"), F.asc("row_id")).drop("_s")
 
 
 def ranked(df: DataFrame, limit: int, *order) -> DataFrame:

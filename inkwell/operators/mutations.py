@@ -116,3 +116,19 @@ def store_statistics(sources: DataFrame, chunks: DataFrame, manifest: DataFrame,
     c = chunks.select("row_id", F.col(embedding).isNotNull().alias("e")).distinct().agg(F.count("*").alias("chunks"), F.count_if("e").alias("with_embedding"))
     m = manifest_state(manifest).agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("pending", "failed", "stale")])
     return s.join(F.broadcast(c)).join(F.broadcast(m))
+
+
+def optimize(store, **compact: str) -> int:
+    """Rewrite the tables of an artifact as its next version, each in few sorted files (table -> column to sort by); the pointer tells when."""
+    state, tables = store.load()
+    if state != "ready":
+        raise LookupError(f"the artifact is {state}")
+    own = {name: df.repartitionByRange(compact[name]).sortWithinPartitions(compact[name]) if name in compact else df for name, df in tables.items()}
+    return store.save(optimized=True, **own)
+
+
+def rebuild_all(store, build, files: DataFrame) -> int:
+    """Start anew: what the artifact holds is destroyed, everything in files is built again. build: files -> tables by name."""
+    tables = build(files)
+    store.destroy()
+    return store.save(**tables)

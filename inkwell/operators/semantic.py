@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,13 +25,13 @@ def search(chunks: DataFrame, vector: list[float], limit: int = 80, metric: str
     if not vector:
         return chunks.sparkSession.createDataFrame([], "row_id string, source_id string, raw_value double, rank_score double, rank int")
     own = chunks.where(predicate(row_filter)).where(F.size(embedding) == len(vector))
-    raw, rank = vectors.score(F.array(*[F.lit(float(x)) for x in vector]), F.col(embedding), metric)
+    raw, rank = vectors.score(F.lit(list(map(float, vector))), F.col(embedding), metric)
     scored = own.select("row_id", "source_id", raw.alias("raw_value"), rank.alias("rank_score")).dropDuplicates(["row_id"])
     return ranked(scored, limit, F.desc("rank_score"), F.asc("row_id"))
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, limit: int, embedding: str = "embedding") -> DataFrame:
-    """(query_id, row_id, source_id, similarity, rank): cosine top-k for queries (query_id, vector, exclude_source_id).
+def search_many(chunks: DataFrame, queries: DataFrame, limit: int, embedding: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """(query_id, row_id, source_id, similarity, rank): top-k by a metric (of l2 the negative distance) for queries (query_id, vector, exclude_source_id).
 
     The queries are taken to the driver in blocks of MAX_QUERIES and multiplied with batches of rows; each batch keeps
     its own best rows, so the exchange carries only those. Each further block is one more scan of the rows.
@@ -39,15 +40,15 @@ def search_many(chunks: DataFrame, queries: DataFrame, limit: int, embedding: st
     for row in queries.toLocalIterator():
         block.append(row)
         if len(block) == MAX_QUERIES:
-            found = _search_block(chunks, block, limit, embedding)
+            found = _search_block(chunks, block, limit, embedding, metric)
             out, block = found if out is None else out.unionByName(found), []
     if block or out is None:
-        found = _search_block(chunks, block, limit, embedding)
+        found = _search_block(chunks, block, limit, embedding, metric)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_block(chunks: DataFrame, rows: list, limit: int, embedding: str) -> DataFrame:
+def _search_block(chunks: DataFrame, rows: list, limit: int, embedding: str, metric: str) -> DataFrame:
     schema = "query_id string, row_id string, source_id string, similarity double"
     spark = chunks.sparkSession
     if not rows:
@@ -55,7 +56,10 @@ def _search_block(chunks: DataFrame, rows: list, limit: int, embedding: str) ->
     ids = [r["query_id"] for r in rows]
     skip = np.array([r["exclude_source_id"] or "" for r in rows], dtype=object)
     q = np.array([r["vector"] for r in rows], dtype=np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    if metric == "cosine":
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    elif metric not in ("dot", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     shared = spark.sparkContext.broadcast((ids, skip, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +68,13 @@ def _search_block(chunks: DataFrame, rows: list, limit: int, embedding: str) ->
             if not len(pdf):
                 continue
             v = np.array(pdf["_v"].tolist(), dtype=np.float64)
-            length = np.linalg.norm(v, axis=1)
-            sims = own_q @ (v / np.where(length > 0, length, 1)[:, None]).T
+            if metric == "cosine":
+                length = np.linalg.norm(v, axis=1)
+                sims = own_q @ (v / np.where(length > 0, length, 1)[:, None]).T
+            elif metric == "dot":
+                sims = own_q @ v.T
+            else:
+                sims = -np.sqrt(np.maximum(0, (own_q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * own_q @ v.T))
             sims[own_skip[:, None] == pdf["source_id"].to_numpy()[None, :]] = -np.inf
             kth = -np.partition(-sims, limit - 1, axis=1)[:, limit - 1 : limit] if sims.shape[1] > limit else np.full((len(sims), 1), -np.inf)
             r, c = np.nonzero((sims >= kth) & np.isfinite(sims))
@@ -156,7 +165,7 @@ def backoff(attempt: int, limits: Batching, jitter: float, retry_after: float |
     return min(limits.max_delay, max(retry_after or 0.0, limits.base_delay * 2**attempt * (0.5 + jitter / 2)))
 
 
-def embed_batch(embed: Embedder, texts: list[str], limits: Batching, sleep: Callable[[float], None] = time.sleep) -> list[tuple[list[float] | None, str | None]]:
+def embed_batch(embed: Embedder, texts: list[str], limits: Batching, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> list[tuple[list[float] | None, str | None]]:
     """(vector, error) of each text: retryable failures are tried again, refused batches are halved down to the single text."""
     for attempt in range(limits.attempts):
         try:
@@ -167,15 +176,19 @@ def embed_batch(embed: Embedder, texts: list[str], limits: Batching, sleep: Call
         except EmbedError as e:
             if e.category == "input" and len(texts) > 1:
                 half = len(texts) // 2
-                return embed_batch(embed, texts[:half], limits, sleep) + embed_batch(embed, texts[half:], limits, sleep)
+                return embed_batch(embed, texts[:half], limits, sleep, jitter) + embed_batch(embed, texts[half:], limits, sleep, jitter)
             if not e.retryable or attempt + 1 == limits.attempts:
                 return [(None, e.category)] * len(texts)
-            sleep(backoff(attempt, limits, 1.0, e.retry_after))
+            sleep(backoff(attempt, limits, jitter(), e.retry_after))
     return [(None, "provider")] * len(texts)
 
 
-def embed_column(df: DataFrame, make: Callable[[], Embedder], text: str = "embedding_input", limits: Batching = Batching()) -> DataFrame:
-    """df (row_id, embedding_input_hash, text) to (row_id, embedding_input_hash, embedding, error); make builds the embedder in each task."""
+def embed_column(df: DataFrame, make: Callable[[], Embedder], text: str = "embedding_input", limits: Batching = Batching(), order: str | None = None, cancelled: Callable[[], bool] | None = None) -> DataFrame:
+    """df (row_id, embedding_input_hash, text) to (row_id, embedding_input_hash, embedding, error); make builds the embedder in each task.
+
+    Of several inputs of a row the last by `order` counts (then the greatest hash). Once `cancelled` says so, batches not
+    yet begun are left out: they are neither embedded nor failed (`remainder` tells them).
+    """
     from inkwell.functions.markdown import estimate_tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,11 +199,17 @@ def embed_column(df: DataFrame, make: Callable[[], Embedder], text: str = "embed
             texts = [t or "" for t in pdf["_t"]]
             done: list = [None] * len(texts)
             for batch in plan_batches(texts, [estimate_tokens(t) for t in texts], limits):
+                if cancelled is not None and cancelled():
+                    break
                 for i, r in zip(batch, embed_batch(embed, [texts[i] for i in batch], limits)):
                     done[i] = r
-            yield pd.DataFrame({"row_id": pdf["row_id"], "embedding_input_hash": pdf["embedding_input_hash"], "embedding": [v for v, _ in done], "error": [e for _, e in done]})
+            made = np.array([r is not None for r in done])
+            if not made.any():
+                continue
+            yield pd.DataFrame({"row_id": pdf["row_id"][made], "embedding_input_hash": pdf["embedding_input_hash"][made], "embedding": [r[0] for r in done if r], "error": [r[1] for r in done if r]})
 
-    once = df.select("row_id", "embedding_input_hash", F.col(text).alias("_t")).dropDuplicates(["row_id"])
+    last = F.struct(*([F.col(order)] if order else []), "embedding_input_hash", F.col(text))
+    once = df.groupBy("row_id").agg(F.max_by(F.struct("embedding_input_hash", F.col(text).alias("_t")), last).alias("r")).select("row_id", "r.*")
     return once.mapInPandas(run, "row_id string, embedding_input_hash string, embedding array<float>, error string")
 
 
@@ -205,5 +224,21 @@ def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
     return attach(new, old.where("embedding is not null").select("row_id", "embedding_input_hash", "embedding", F.lit(None).cast("string").alias("error")))
 
 
+def remainder(items: DataFrame, embedded: DataFrame) -> DataFrame:
+    """The (row_id, embedding_input_hash) that a run, cut short, has neither embedded nor failed."""
+    return items.select("row_id", "embedding_input_hash").distinct().join(embedded.select("row_id", "embedding_input_hash"), ["row_id", "embedding_input_hash"], "left_anti")
+
+
+class Reranker(Protocol):
+    """Where a reranker would go; none comes with the engine."""
+
+    def __call__(self, query: str, page: DataFrame) -> DataFrame: ...
+
+
+def no_rerank(query: str, page: DataFrame) -> DataFrame:
+    """The reranker in force: the order stays."""
+    return page
+
+
 def dead_letters(embedded: DataFrame) -> DataFrame:
     return embedded.where("error is not null").select("row_id", "embedding_input_hash", "error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
@@ -37,7 +38,8 @@ class Query:
 
     @property
     def content_text(self) -> str:
-        return " ".join([*self.terms, *self.phrases, *(v for _, v in self.fields)])
+        """What is analysed and embedded: phrases, then terms, then field values."""
+        return " ".join([*self.phrases, *self.terms, *(v for _, v in self.fields)])
 
 
 def day_bound(value: str, before: bool) -> int | None:
@@ -62,52 +64,43 @@ _SCAN = re.compile(
 )
 
 
-def parse(raw: str) -> Query:
-    """A query string to its parts. Unknown keys, bad dates and negated keys stay ordinary terms."""
-    text, mode = raw.strip(), None
-    if m := re.match(rf"(?i)({'|'.join(MODES)}):\s*", text):
-        mode, text = m[1].lower(), text[m.end() :]
-    terms, phrases, excluded, fields, filters = [], [], [], [], []
+#: What a key's value means: the part of the query it goes to, and its reading; None if it has none, then the word is a term.
+_READINGS: dict[str, tuple[str, Callable[[str], str | int | None]]] = {
+    "folder": ("filters", str), "path": ("filters", str), "ext": ("filters", lambda v: v.removeprefix(".").lower()), "tag": ("filters", lambda v: v.removeprefix("#")),
+    "before": ("filters", lambda v: day_bound(v, True)), "after": ("filters", lambda v: day_bound(v, False)), "file": ("fields", str), "title": ("fields", str), "id": ("fields", str),
+}
+
+
+def _pieces(text: str) -> Iterator[tuple[str, object]]:
+    """The parts of a query text in order: (part, value)."""
     at = 0
-    while m := _SCAN.match(text, at):
-        if m.end() == at:
-            break
+    while (m := _SCAN.match(text, at)) and m.end() > at:
         at = m.end()
-        negated = m["neg"] is not None
+        sign = "excluded" if m["neg"] else None
         if m["phrase"] is not None:
-            if p := m["phrase"].strip():
-                (excluded if negated else phrases).append(p)
+            yield sign or "phrases", m["phrase"].strip()
             continue
-        key, value, word = (m["key"], m["quoted"], m[0].strip()) if m["key"] is not None else (None, None, m["word"] or m["rest"] or "")
-        if key is None and ":" in word:
-            key, value = word.split(":", 1)
-        elif negated and m["key"] is not None:
-            word = word.removeprefix("-")
-        key = key.lower() if key else None
-        if key in KEYS and not negated and value is not None and _keyed(key, value.strip(), fields, filters):
-            continue
-        if word:
-            (excluded if negated else terms).append(word)
-    return Query(raw, tuple(terms), tuple(phrases), tuple(excluded), tuple(fields), tuple(filters), mode)
-
-
-def _keyed(key: str, value: str, fields: list, filters: list) -> bool:
-    if not value:
-        return True
-    if key in ("before", "after"):
-        bound = day_bound(value, key == "before")
-        if bound is None:
-            return False
-        filters.append((key, bound))
-    elif key == "ext":
-        filters.append((key, value.removeprefix(".").lower()))
-    elif key == "tag":
-        filters.append((key, value.removeprefix("#")))
-    elif key in ("folder", "path"):
-        filters.append((key, value))
-    else:
-        fields.append((key, value))
-    return True
+        whole = m[0].strip()
+        key, colon, value = (m["key"], ":", m["quoted"]) if m["key"] is not None else (m["word"] or "").partition(":")
+        reading = _READINGS.get(key.lower()) if colon and not sign else None
+        if reading is None:
+            yield sign or "terms", whole.removeprefix("-") if sign else whole
+        elif value.strip():
+            part, read = reading
+            meant = read(value.strip())
+            yield ("terms", whole) if meant is None else (part, (key.lower(), meant))
+
+
+def parse(raw: str) -> Query:
+    """A query string to its parts. Unknown keys, bad dates and negated keys stay ordinary terms; a key without value says nothing."""
+    text, mode = raw.strip(), None
+    if m := re.match(rf"(?i)({'|'.join(MODES)}):\s*", text):
+        mode, text = m[1].lower(), text[m.end() :]
+    parts: dict[str, list] = {}
+    for part, value in _pieces(text):
+        if value:
+            parts.setdefault(part, []).append(value)
+    return Query(raw, **{part: tuple(values) for part, values in parts.items()}, mode=mode)
 
 
 def row_filter(query: Query, base: RowFilter | None = None) -> RowFilter:
@@ -161,42 +154,33 @@ class Plan:
         return "+".join(n for n in ("exact", "lexical", "semantic") if getattr(self, n)) or "none"
 
 
+#: What runs for a mode, and for the shapes of a query in auto mode; with the weight of semantic ranks.
+_STAGES = {"exact": {"exact"}, "lexical": {"lexical"}, "semantic": {"semantic"}, "hybrid": {"exact", "lexical", "semantic"}}
+_SHAPES = {"precise": ({"exact", "lexical"}, 1.0), "short_words": (_STAGES["hybrid"], 0.5), "question": (_STAGES["hybrid"], 1.0)}
+#: What stands in if a stage can't run and none else was asked for.
+_STAND_IN = {"semantic": {"exact", "lexical"}, "lexical": {"exact", "semantic"}}
+
+
 def shape(query: Query) -> str:
     """precise, short_words or question."""
-    if query.phrases or query.fields or any(map(is_precise, query.terms)):
-        return "precise"
-    dense = sum(len(t) for t in query.terms if _NO_SPACE.search(t))
-    if "?" in query.raw or "？" in query.raw or dense >= 6:
-        return "question"
-    return "short_words" if len(query.terms) <= 3 else "question"
+    looked_up = query.phrases or query.fields or any(is_precise(t) for t in query.terms)
+    asks = set("?？") & set(query.raw) or len(query.terms) > 3 or sum(len(t) for t in query.terms if _NO_SPACE.search(t)) >= 6
+    return "precise" if looked_up else "question" if asks else "short_words"
 
 
 def plan(query: Query, requested: str = "auto", embedding: bool = True, lexical: bool = True, store: bool = True) -> Plan:
     """Which retrievers run. What a missing capability takes away is told, never silent."""
     mode = query.mode or requested
-    degraded = [] if store else ["store_empty"]
-    if query.metadata_only:
-        return Plan(mode, True, False, False, 1.0, True, tuple(degraded))
+    notes = () if store else ("store_empty",)
     if not query.has_content:
-        return Plan(mode, False, False, False, 1.0, False, tuple(degraded))
-    factor = 1.0
-    if mode == "auto":
-        kind = shape(query)
-        e, x, s = True, True, kind != "precise"
-        factor = 0.5 if kind == "short_words" else 1.0
-    else:
-        e, x, s = mode in ("exact", "hybrid"), mode in ("lexical", "hybrid"), mode in ("semantic", "hybrid")
-    if s and not embedding:
-        s = False
-        degraded.append("semantic_unavailable")
-        if not (e or x):
-            e = x = True
-    if x and not lexical:
-        x = False
-        degraded.append("lexical_unavailable")
-        if not (e or s):
-            e, s = True, embedding
-    return Plan(mode, e, x, s, factor, False, tuple(degraded))
+        return Plan(mode, query.metadata_only, False, False, 1.0, query.metadata_only, notes)
+    wanted, factor = _SHAPES[shape(query)] if mode == "auto" else (_STAGES[mode], 1.0)
+    missing = [name for name, there in (("semantic", embedding), ("lexical", lexical)) if not there]
+    for name in missing:
+        if name in wanted:
+            notes += (f"{name}_unavailable",)
+            wanted = wanted - {name} or _STAND_IN[name] - ({"semantic"} & set(missing))
+    return Plan(mode, *(name in wanted for name in ("exact", "lexical", "semantic")), factor, False, notes)
 
 
 def needles(query: Query, explicit_exact: bool = False) -> list[Needle]:

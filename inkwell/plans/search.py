@@ -25,6 +25,7 @@ class Profile:
     max_per_source: int = 2
     aggregation: str = "max"
     metric: str = "cosine"
+    query_template: str = "{{content}}"
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,11 @@ class Response:
 
 
 class SearchService:
-    """Searches sources and chunks; postings and statistics are built lazily if not given."""
+    """Searches sources and chunks. Without a saved index the postings of a query's terms, and no others, are built for it."""
 
     def __init__(self, sources: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, statistics: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, profile: Profile = Profile()):
         self.sources, self.chunks, self.profile, self.embed = sources, chunks, profile, embed
-        self.postings = postings if postings is not None else lexical.build_postings(chunks)
+        self.postings = postings
         self.statistics = statistics if statistics is not None else lexical.field_statistics(chunks)
         self.spark = sources.sparkSession
 
@@ -54,16 +55,16 @@ class SearchService:
         p = self.profile
         found_exact = found_lexical = found_semantic = None
         if plan.exact:
-            explicit = plan.mode == "exact" or "semantic_unavailable" in degraded and plan.mode == "semantic"
-            found_exact = exact.search(self.sources, self.chunks, q.needles(query, explicit), p.exact_limit, case_sensitive, rows)
+            found_exact = exact.search(self.sources, self.chunks, q.needles(query, plan.mode == "exact"), p.exact_limit, case_sensitive, rows)
         if plan.lexical:
             (terms, ngrams, identifiers), *rest = map(text.analyze_words, (query.content_text, *query.excluded))
             excluded = [x for t, n, _ in rest for x in t + n]
             wanted = lexical.query_terms(self.spark, terms, ngrams, identifiers)
-            own = lexical.only_terms(self.postings, list(dict.fromkeys([*terms, *ngrams, *identifiers, *excluded])))
+            every = list(dict.fromkeys([*terms, *ngrams, *identifiers, *excluded]))
+            own = lexical.build_postings(self.chunks, every) if self.postings is None else lexical.only_terms(self.postings, every)
             found_lexical = lexical.search(self.chunks, own, self.statistics, wanted, p.lexical_limit, excluded, rows)
         if plan.semantic:
-            vector = self.embed(query.content_text)
+            vector = self.embed(text.render_words(p.query_template, query.content_text))
             if vector is None:
                 degraded.append("semantic_unavailable")
             else:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import incremental, orphans
+from inkwell.session import own_folder
 from inkwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,12 +42,33 @@ WHERE f.content IS DISTINCT FROM h.content
 """
 
 
+def _ledger(spark: SparkSession, name: str) -> incremental.Ledger:
+    return incremental.Ledger(spark, own_folder(spark, name))
+
+
 @query(_P2_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources whose latest content differs from the content the index holds."""
+    """Sources whose latest content differs from the content the index holds: one run of a ledger that begins with what the manifest holds."""
     changes = table(spark, d, "vault_changes", "seq", "source_id", "change_kind", "source_revision", "raw_content_hash")
     manifest = table(spark, d, "index_manifest", "artifact_id", "source_id", "indexed_revision")
-    return incremental.stale_sources(changes, manifest, table(spark, d, "artifacts", "artifact_id", "is_active")).select("source_id", "source_revision")
+    return incremental.stale_sources(changes, manifest, table(spark, d, "artifacts", "artifact_id", "is_active"), _ledger(spark, "stale")).select("source_id", "source_revision")
+
+
+@query("""WITH f AS (SELECT DISTINCT seq, source_id, floor(epoch_us(arrived_at) / 2592000000000) AS month FROM vault_changes WHERE seq IS NOT NULL AND arrived_at IS NOT NULL), b AS (SELECT min(month) AS lo, max(month) AS hi FROM f),
+r AS (SELECT seq, source_id, CAST(least(3, 1 + floor((month - lo) * 3 / (hi - lo + 1))) AS INT) AS run FROM f, b)
+SELECT run, count(*) AS records, count(DISTINCT source_id) AS sources, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY 1 UNION ALL SELECT 4, 0, 0, NULL, NULL""")
+def p2_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What four runs of one ledger process, each over all that had arrived by then: late numbers come in once, repeated ones never, the fourth finds nothing."""
+    feed = table(spark, d, "vault_changes", "seq", "source_id", "arrived_at").where("seq is not null and arrived_at is not null").withColumn("month", F.floor(F.unix_micros(F.col("arrived_at").cast("timestamp")) / 2_592_000_000_000))
+    lo, hi = feed.agg(F.min("month"), F.max("month")).first()
+    feed = feed.withColumn("part", F.least(F.lit(3), 1 + F.floor((F.col("month") - (lo or 0)) * 3 / ((hi or 0) - (lo or 0) + 1))))
+    ledger, out = _ledger(spark, "runs"), None
+    summed = [F.count("*").alias("records"), F.count_distinct("source_id").alias("sources"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")]
+    for run in (1, 2, 3, 4):
+        version = ledger.run(feed.where(F.col("part") <= run).drop("month", "part"), lambda rows: rows.dropDuplicates(["seq"]))["version"]
+        own = ledger.output(version).agg(F.lit(run).alias("run"), *summed)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 _P7_REFS = r"""
@@ -64,23 +86,37 @@ orphans AS (
 """
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str, *statuses: str) -> DataFrame:
     sources = table(spark, d, "sources", "source_id", "path_raw", "links", "created_ms", "mtime_ms")
     chunks = table(spark, d, "chunks", "row_id", "source_id", "mtime_ms")
-    changes = table(spark, d, "vault_changes", "source_id", "change_kind", "path_raw", "old_path_raw", "mtime_ms")
-    return orphans.orphans(sources, chunks, changes)
+    changes = table(spark, d, "vault_changes", "seq", "source_id", "source_revision", "change_kind", "path_raw", "mtime_ms")
+    return orphans.orphans(sources, chunks, changes, statuses)
 
 
 @query(_P7_REFS + "SELECT ref_table, ref_key, ref_pos FROM orphans")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """References to notes that don't exist (any more)."""
-    return _orphans(spark, d).select("ref_table", "ref_key", "ref_pos")
+    return _orphans(spark, d, "missing", "deleted").select("ref_table", "ref_key", "ref_pos")
+
+
+_P7_VALID = r""", keyed AS (SELECT ref_table, ref_key, ref_pos, mtime_ms, 'name' AS kind, name AS key FROM refs UNION ALL SELECT DISTINCT 'chunks', row_id, 0, mtime_ms, 'id', source_id FROM chunks WHERE source_id IS NOT NULL),
+feed AS (SELECT source_id, source_revision, arg_max({'k': change_kind, 'p': path_raw, 'm': mtime_ms}, seq) AS r FROM vault_changes WHERE source_id IS NOT NULL AND source_revision IS NOT NULL GROUP BY 1, 2),
+held AS (SELECT source_id, r.k AS change_kind, r.p AS path_raw, r.m AS lo, greatest(r.m, coalesce(lead(r.m) OVER (PARTITION BY source_id ORDER BY source_revision), r.m)) AS hi FROM feed),
+valid AS (
+  SELECT 'id' AS kind, source_id AS key, lo, hi FROM held WHERE change_kind <> 'delete'
+  UNION ALL SELECT 'name', lower(regexp_replace(regexp_replace(path_raw, '^.*/', '', 's'), '\.[^.]*$', '')), lo, hi FROM held WHERE change_kind <> 'delete'
+  UNION ALL SELECT 'id', source_id, created_ms, 9223372036854775807 FROM sources UNION ALL SELECT 'name', lower(regexp_replace(regexp_replace(path_raw, '^.*/', '', 's'), '\.[^.]*$', '')), created_ms, 9223372036854775807 FROM sources
+), state AS (
+  SELECT ref_table, ref_key, ref_pos, any_value(keyed.mtime_ms) AS ms, CASE WHEN count(valid.key) = 0 THEN 'missing' WHEN max(hi) < 9223372036854775807 THEN 'deleted' WHEN bool_or(lo <= keyed.mtime_ms AND keyed.mtime_ms < hi) THEN 'ok' ELSE 'late' END AS status
+  FROM keyed LEFT JOIN valid USING (kind, key) GROUP BY 1, 2, 3
+)
+"""
 
 
-@query(_P7_REFS + "SELECT ref_table, strftime(epoch_ms(mtime_ms), '%Y-%m') AS period, count(*) AS orphans FROM orphans GROUP BY 1, 2")
+@query(_P7_REFS + _P7_VALID + "SELECT ref_table, strftime(epoch_ms(ms), '%Y-%m') AS period, status, count(*) AS orphans FROM state WHERE status <> 'ok' GROUP BY 1, 2, 3")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references counted per table and month."""
-    return orphans.orphan_report(_orphans(spark, d)).groupBy("ref_table", "period").agg(F.sum("orphans").alias("orphans"))
+    """Orphan references counted per table, month and status: missing, deleted, or late (the parent came after the reference)."""
+    return orphans.orphan_report(_orphans(spark, d, "missing", "deleted", "late"))
 
 
 # ---- the retrieval engine's own operators
@@ -131,11 +167,26 @@ def x_scripts(spark: SparkSession, d: str) -> DataFrame:
     return counts.where("s.script <> 'Other'").groupBy("s.script").agg(F.count("*").alias("chunks"), F.sum("s.count").alias("letters"))
 
 
-@query()
+_SCRIPT_COUNTS = ", ".join(
+    [f"{{'s': '{s}', 'i': {i}, 'n': length(regexp_replace(t, '[^\\p{{{s}}}]', '', 'g'))}}" for i, s in enumerate(tx.SCRIPTS)]
+    + [f"{{'s': 'Other', 'i': {len(tx.SCRIPTS)}, 'n': length(regexp_replace(regexp_replace(t, '[^\\p{{L}}]', '', 'g'), '[" + "".join(f"\\p{{{s}}}" for s in tx.SCRIPTS) + "]', '', 'g'))}"]
+)
+
+
+@query(
+    rf"""WITH c AS (SELECT DISTINCT row_id, text_raw AS t FROM chunks),
+n AS (SELECT row_id, [{_SCRIPT_COUNTS}] AS a FROM c),
+p AS (SELECT row_id, list_filter(a, lambda x: x.n > 0) AS a FROM n),
+m AS (SELECT row_id, coalesce(list_sum(list_transform(a, lambda x: x.n)), 0) AS total, map_from_entries(list_transform(a, lambda x: {{'k': x.s, 'v': x.n}})) AS k, array_to_string(list_transform(list_sort(list_transform(a, lambda x: {{'o': -x.n, 'i': x.i, 's': x.s}})), lambda x: x.s), ' ') AS scripts, a FROM p),
+g AS (SELECT *, coalesce(k['Hiragana'], 0) + coalesce(k['Katakana'], 0) AS kana, coalesce(k['Han'], 0) AS han, coalesce(k['Hangul'], 0) AS ko, coalesce(k['Thai'], 0) AS th, coalesce(k['Hebrew'], 0) AS he, coalesce(k['Arabic'], 0) AS ar FROM m),
+o AS (SELECT *, list_filter([{{'n': CASE WHEN kana > 0 THEN kana + han ELSE 0 END, 'l': 'ja'}}, {{'n': ko, 'l': 'ko'}}, {{'n': CASE WHEN kana = 0 THEN han ELSE 0 END, 'l': 'zh'}}, {{'n': th, 'l': 'th'}}, {{'n': he, 'l': 'he'}}, {{'n': ar, 'l': 'ar'}}], lambda x: x.n > 0) AS f FROM g),
+b AS (SELECT *, list_max(list_transform(f, lambda x: x.n)) AS best FROM o)
+SELECT row_id, coalesce(list_filter(f, lambda x: x.n = best)[1].l, 'und') AS primary_language, array_to_string(list_transform(f, lambda x: x.l), ' ') AS languages, scripts, round(best / total, 6) AS confidence, len(list_filter(a, lambda x: x.n / total >= 0.1)) > 1 AS mixed FROM b"""
+)
 def x_language(spark: SparkSession, d: str) -> DataFrame:
     """What the scripts of each chunk tell about its language."""
     own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("s", tx.script_counts("text_raw")).withColumn("l", tx.language_of("s"))
-    return own.select("row_id", "l.primary_language", "l.languages", "l.scripts", F.round("l.confidence", 6).alias("confidence"), "l.mixed")
+    return own.select("row_id", "l.primary_language", F.array_join("l.languages", " ").alias("languages"), F.array_join("l.scripts", " ").alias("scripts"), F.round("l.confidence", 6).alias("confidence"), "l.mixed")
 
 
 @query(r"""SELECT DISTINCT source_id, regexp_extract(path_raw, '[^/]*$') AS filename, CASE WHEN contains(path_raw, '/') THEN regexp_replace(path_raw, '/[^/]*$', '') ELSE '' END AS folder,
@@ -206,9 +257,8 @@ _HITS_SQL = (
 
 def _lexical_hits(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
-    hits = lexical.exclude_terms(lexical.bm25(lexical.build_postings(chunks), lexical.field_statistics(chunks), lexical.query_terms(spark, _WORDS)), lexical.build_postings(chunks), ["harbor"])
-    own = hits.join(chunks.select("row_id", "source_id").dropDuplicates(["row_id"]), "row_id")
-    return lexical.ranked(own.withColumn("_s", F.round("score", 9)), 80, F.desc("_s"), F.asc("row_id")).drop("_s")
+    postings = lexical.build_postings(chunks, [*_WORDS, "harbor"])
+    return lexical.search(chunks, postings, lexical.field_statistics(chunks), lexical.query_terms(spark, _WORDS), 80, ["harbor"])
 
 
 @query(_HITS_SQL + "SELECT row_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM lex")
@@ -217,48 +267,77 @@ def q_lexical(spark: SparkSession, d: str) -> DataFrame:
     return _lexical_hits(spark, d).select("row_id", F.round("score", 6).alias("score"), "rank")
 
 
-_EXACT_SQL = """
+_PHRASES = "(VALUES ('the quiet index'), ('lantern')) n(phrase)"
+_EXACT_SQL = f"""
+once_s AS (SELECT DISTINCT source_id, title_raw, aliases, filename_raw, path_raw, tags FROM sources WHERE source_id IS NOT NULL),
 exact_all AS (
-  SELECT source_id, row_id, 'text' AS field, phrase, instr(lower(text_raw), phrase) - 1 AS off FROM (SELECT DISTINCT row_id, source_id, text_raw FROM chunks), (VALUES ('the quiet index'), ('lantern')) n(phrase) WHERE instr(lower(text_raw), phrase) > 0
-  UNION ALL SELECT source_id, NULL, 'title', phrase, 0 FROM (SELECT DISTINCT source_id, title_raw FROM sources), (VALUES ('the quiet index'), ('lantern')) n(phrase) WHERE contains(lower(title_raw), phrase)
+  SELECT source_id, row_id, 'text' AS field, phrase, instr(lower(text_raw), phrase) - 1 AS off FROM (SELECT DISTINCT row_id, source_id, text_raw FROM chunks), {_PHRASES} WHERE instr(lower(text_raw), phrase) > 0
+  UNION ALL SELECT source_id, NULL, 'title', phrase, 0 FROM once_s, {_PHRASES} WHERE contains(lower(title_raw), phrase)
+  UNION ALL SELECT source_id, NULL, 'alias', phrase, 0 FROM once_s, {_PHRASES} WHERE len(list_filter(aliases, lambda x: contains(lower(x), phrase))) > 0
+  UNION ALL SELECT source_id, NULL, 'filename', phrase, 0 FROM once_s, {_PHRASES} WHERE contains(lower(filename_raw), phrase)
+  UNION ALL SELECT source_id, NULL, 'path', phrase, 0 FROM once_s, {_PHRASES} WHERE contains(lower(path_raw), phrase)
+  UNION ALL SELECT source_id, NULL, 'tag', phrase, 0 FROM once_s, {_PHRASES} WHERE len(list_filter(tags, lambda x: contains(lower('#' || x), phrase))) > 0
 ), ex AS (
-  SELECT *, row_number() OVER (ORDER BY CASE field WHEN 'title' THEN 0 ELSE 4 END, off, source_id, row_id NULLS FIRST, phrase) AS rank FROM exact_all QUALIFY rank <= 200
+  SELECT *, row_number() OVER (ORDER BY CASE field WHEN 'title' THEN 0 WHEN 'alias' THEN 1 WHEN 'filename' THEN 2 WHEN 'path' THEN 3 WHEN 'text' THEN 4 ELSE 5 END, off, source_id, row_id NULLS FIRST, phrase) AS rank FROM exact_all QUALIFY rank <= 200
 )
 """
 
 
 def _exact_hits(spark: SparkSession, d: str) -> DataFrame:
-    wanted = [exact.Needle("the quiet index", ("text", "title")), exact.Needle("Lantern", ("text", "title"))]
-    return exact.search(table(spark, d, "sources"), table(spark, d, "chunks"), wanted, 200)
+    return exact.search(table(spark, d, "sources"), table(spark, d, "chunks"), [exact.Needle("the quiet index"), exact.Needle("Lantern")], 200)
 
 
 @query("WITH " + _EXACT_SQL + "SELECT source_id, row_id, field, lower(phrase) AS phrase, CAST(off AS INT) AS \"offset\", CAST(rank AS INT) AS rank FROM ex")
 def q_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases in titles and texts, verified against the raw values."""
+    """Phrases in titles, aliases, file names, paths, tags and texts, verified against the raw values."""
     return _exact_hits(spark, d).select("source_id", "row_id", "field", F.lower("phrase").alias("phrase"), "offset", "rank")
 
 
+# vectors of the active artifact; the stand-in embedder's vector of the query words, as a literal
+_EMBED = semantic.hash_embedder(64)
+_VECTORS_SQL = """act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),
+enc AS (SELECT DISTINCT row_id, source_id, dimension, embedding_base64 AS x FROM chunks JOIN act USING (artifact_id) WHERE row_id IS NOT NULL AND length(embedding_base64) % 4 = 0 AND regexp_full_match(embedding_base64, '[A-Za-z0-9+/]+=*')),
+hexed AS (SELECT *, hex(from_base64(x)) AS h FROM enc), bits AS (SELECT row_id, source_id, list_transform(range(len(h) // 8), lambda i: CAST('0x' || h[i*8+7:i*8+8] || h[i*8+5:i*8+6] || h[i*8+3:i*8+4] || h[i*8+1:i*8+2] AS BIGINT)) AS u FROM hexed WHERE len(h) = dimension * 8),
+vecs AS (SELECT row_id, source_id, CAST(list_transform(u, lambda x: CASE WHEN x & 2147483647 = 0 THEN 0.0 ELSE (CASE WHEN x >= 2147483648 THEN -1 ELSE 1 END) * (1 + (x & 8388607) / 8388608.0) * pow(2, ((x >> 23) & 255) - 127) END) AS DOUBLE[]) AS v FROM bits)
+"""
+
+
+def _literal(vector: list[float]) -> str:
+    return "CAST([" + ", ".join(map(repr, vector)) + "] AS DOUBLE[])"
+
+
+def _cosine_sql(a: str, b: str) -> str:
+    return f"CASE WHEN list_inner_product({a}, {a}) = 0 OR list_inner_product({b}, {b}) = 0 THEN 0 ELSE list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))) END"
+
+
+_SEMANTIC_SQL = f"{_VECTORS_SQL}, sem AS (SELECT row_id, source_id, row_number() OVER (ORDER BY {_cosine_sql(_literal(_EMBED([' '.join(_WORDS)])[0]), 'v')} DESC, row_id) AS rank FROM vecs QUALIFY rank <= 80)"
+
+
 _FUSED_SQL = (
     _HITS_SQL
     + ", "
     + _EXACT_SQL
+    + ", "
+    + _SEMANTIC_SQL
     + """, owner AS (SELECT DISTINCT row_id, source_id FROM chunks),
 e1 AS (SELECT coalesce(row_id, 'source:' || source_id) AS key, any_value(source_id) AS source_id, min(rank) AS rank FROM ex GROUP BY 1),
+l1 AS (SELECT row_id AS key, owner.source_id, rank FROM lex JOIN owner USING (row_id)),
 fused AS (
-  SELECT coalesce(e1.key, lex.row_id) AS key, coalesce(e1.source_id, o.source_id) AS source_id, coalesce(1.4 / (60.0 + e1.rank), 0) + coalesce(1.0 / (60.0 + lex.rank), 0) AS score
-  FROM e1 FULL JOIN lex ON e1.key = lex.row_id LEFT JOIN owner o ON o.row_id = lex.row_id
+  SELECT key, coalesce(e1.source_id, l1.source_id, sem.source_id) AS source_id, 0 + coalesce(1.4 / (60.0 + e1.rank), 0) + coalesce(1.0 / (60.0 + l1.rank), 0) + coalesce(1.0 / (60.0 + sem.rank), 0) AS score
+  FROM (SELECT key FROM e1 UNION SELECT key FROM l1 UNION SELECT row_id FROM sem) LEFT JOIN e1 USING (key) LEFT JOIN l1 USING (key) LEFT JOIN sem ON sem.row_id = key
 )
 """
 )
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fuse(_exact_hits(spark, d), _lexical_hits(spark, d), None)
+    near = semantic.search(_with_vectors(spark, d), _EMBED([" ".join(_WORDS)])[0], 80)
+    return fusion.fuse(_exact_hits(spark, d), _lexical_hits(spark, d), near)
 
 
 @query(_FUSED_SQL + "SELECT key, source_id, round(score, 9) AS score FROM fused")
 def q_fuse(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal rank fusion of exact and lexical hits."""
+    """Reciprocal rank fusion of exact, lexical and semantic hits."""
     return _fused(spark, d).select("key", "source_id", F.round("score", 9).alias("score"))
 
 
@@ -287,32 +366,73 @@ def _vector_rows(spark: SparkSession, d: str) -> DataFrame:
 def _vector_query(metric: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _vector_rows(spark, d)
-        first = rows.orderBy(F.col("row_id").cast("long")).limit(1).select("embedding").first()["embedding"]
-        return semantic.search(rows, list(first), 50, metric).select("row_id", F.round("rank_score", 5).alias("score"))
+        asked = rows.where(F.col("row_id").cast("long") % 100 == 0).select(F.col("row_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("exclude_source_id"))
+        return semantic.search_many(rows, asked, 50, metric=metric).select("query_id", "row_id", F.round("similarity", 5).alias("score"))
 
-    run.__doc__ = f"The 50 nearest vectors of the first one by {metric}."
+    run.__doc__ = f"The 50 nearest vectors by {metric} of every vector whose id is divisible by 100."
     return run
 
 
 for _metric, _expr in (("cosine", "list_cosine_similarity(a, b)"), ("dot", "list_inner_product(a, b)"), ("l2", "-list_distance(a, b)")):
     query(
-        f"WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS a FROM embeddings ORDER BY vec_id LIMIT 1) SELECT CAST(vec_id AS VARCHAR) AS row_id, round({_expr}, 5) AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings), q ORDER BY {_expr} DESC, CAST(vec_id AS VARCHAR) LIMIT 50",
+        f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings), q AS (SELECT vec_id AS q, b AS a FROM e WHERE vec_id % 100 = 0) SELECT CAST(q AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS row_id, round({_expr}, 5) AS score FROM q, e QUALIFY row_number() OVER (PARTITION BY q ORDER BY round({_expr}, 11) DESC, CAST(vec_id AS VARCHAR)) <= 50",
         name=f"q_vector_{_metric}",
     )(_vector_query(_metric))
 
 
-@query()
+_PAGE_SQL = """
+WITH once AS (SELECT DISTINCT ON (row_id) c.* FROM chunks c JOIN artifacts a USING (artifact_id) WHERE row_id IS NOT NULL AND a.is_active),
+""" + _POSTINGS_SQL.split("WHERE row_id IS NOT NULL),", 1)[1] + f", {_WEIGHTS_SQL}, g(field, weight) AS (SELECT * FROM w UNION ALL VALUES ('ngram', 1.0))"
+_SOURCES_ONCE = ", src AS (SELECT DISTINCT ON (source_id) * FROM sources WHERE source_id IS NOT NULL)"
+
+
+def _bm25_sql(words: list[str], grams: list[str], excluded: str, where: str) -> str:
+    """Hits of words (grams in the n-gram field), best 80."""
+    listed = lambda terms: ", ".join(f"'{t}'" for t in terms) or "NULL"
+    return f""", hit AS (
+  SELECT row_id, round(sum(CAST(weight AS DOUBLE) * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+  FROM p JOIN dfs USING (field, term) JOIN stats USING (field) JOIN g USING (field) WHERE (field <> 'ngram' AND term IN ({listed(words)}) OR field = 'ngram' AND term IN ({listed(grams)}))
+  AND row_id NOT IN (SELECT row_id FROM p WHERE field IN ('body', 'ngram') AND term = '{excluded}') GROUP BY 1
+), lex AS (SELECT row_id, source_id, row_number() OVER (ORDER BY score DESC, row_id) AS rank FROM hit JOIN once USING (row_id) WHERE {where} QUALIFY rank <= 80)"""
+
+
+_BLOCKS_QUERY = 'hybrid: lantern "the quiet index" -harbor ext:md'
+
+
+@query(
+    _PAGE_SQL + _SOURCES_ONCE + _bm25_sql(["the", "quiet", "index", "lantern"], [], "harbor", "extension = 'md'")
+    + f""", {_VECTORS_SQL.replace("act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),", "act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),", 1)},
+sem AS (SELECT row_id, vecs.source_id, row_number() OVER (ORDER BY {_cosine_sql(_literal(_EMBED(["the quiet index lantern"])[0]), "v")} DESC, row_id) AS rank FROM vecs JOIN once USING (row_id) WHERE extension = 'md' QUALIFY rank <= 80),
+found AS (
+  SELECT source_id, row_id, 4 AS prio, instr(lower(text_raw), 'the quiet index') - 1 AS off, 'exact_phrase' AS kind FROM once WHERE extension = 'md' AND contains(lower(text_raw), 'the quiet index')
+  UNION ALL SELECT source_id, NULL, prio, 0, kind FROM (SELECT source_id, unnest([{{'prio': 0, 'kind': 'matched_title', 'ok': contains(lower(title_raw), 'the quiet index')}}, {{'prio': 1, 'kind': 'matched_alias', 'ok': len(list_filter(aliases, lambda x: contains(lower(x), 'the quiet index'))) > 0}},
+    {{'prio': 2, 'kind': 'matched_filename', 'ok': contains(lower(filename_raw), 'the quiet index')}}, {{'prio': 3, 'kind': 'matched_path', 'ok': contains(lower(path_raw), 'the quiet index')}}, {{'prio': 5, 'kind': 'matched_tag', 'ok': len(list_filter(tags, lambda x: contains(lower('#' || x), 'the quiet index'))) > 0}}], recursive := true) FROM src WHERE extension = 'md') WHERE ok
+), ex AS (SELECT *, row_number() OVER (ORDER BY prio, off, source_id, row_id NULLS FIRST) AS rank FROM found QUALIFY rank <= 50),
+e1 AS (SELECT coalesce(row_id, 'source:' || source_id) AS key, any_value(source_id) AS source_id, min(rank) AS rank, arg_min(kind, rank) AS kind FROM ex GROUP BY 1),
+fused AS (
+  SELECT key, coalesce(e1.source_id, lex.source_id, sem.source_id) AS source_id, 0 + coalesce(1.4 / (60.0 + e1.rank), 0) + coalesce(1.0 / (60.0 + lex.rank), 0) + coalesce(1.0 / (60.0 + sem.rank), 0) AS score,
+    concat_ws(' ', e1.kind, CASE WHEN lex.rank IS NOT NULL THEN 'lexical' END, CASE WHEN sem.rank IS NOT NULL THEN 'semantic' END, CASE WHEN CAST(e1.rank IS NOT NULL AS INT) + CAST(lex.rank IS NOT NULL AS INT) + CAST(sem.rank IS NOT NULL AS INT) >= 2 THEN 'hybrid' END) AS kinds
+  FROM (SELECT key FROM e1 UNION SELECT row_id FROM lex UNION SELECT row_id FROM sem) LEFT JOIN e1 USING (key) LEFT JOIN lex ON lex.row_id = key LEFT JOIN sem ON sem.row_id = key
+), seen AS (SELECT fused.* FROM fused LEFT JOIN once ON once.row_id = key WHERE text_raw IS NULL OR NOT contains(lower(text_raw), 'harbor')),
+few AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, key) <= 2), page AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM few QUALIFY rank <= 20)
+SELECT key AS id, source_id, path_raw AS path, title_raw AS title, round(score, 9) AS score, kinds, CAST(rank AS INT) AS rank FROM page JOIN src USING (source_id)"""
+)
 def q_search_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """A whole search for blocks: parsing, exact and lexical retrieval, fusion, exclusion, diversity, snippets, reasons."""
-    service = SearchService(table(spark, d, "sources"), table(spark, d, "chunks"))
-    return service.search('lantern "the quiet index" -harbor ext:md').results
+    """A whole search for blocks: parsing, exact, lexical and semantic retrieval, fusion, exclusion, diversity, reasons."""
+    service = SearchService(table(spark, d, "sources"), _with_vectors(spark, d), embed=lambda t: _EMBED([t])[0])
+    found = service.search(_BLOCKS_QUERY).results
+    return found.select("id", "source_id", "path", "title", F.round("score", 9).alias("score"), F.array_join(F.transform("reasons", lambda x: x["kind"]), " ").alias("kinds"), "rank")
 
 
-@query()
+@query(
+    _PAGE_SQL + _SOURCES_ONCE + _bm25_sql(["garden", "lantern", "索引"], ["索引"], "", "true")
+    + """, best AS (SELECT source_id, 0 + 1.0 / (60.0 + min(rank)) AS score, count(*) AS block_count, arg_min(row_id, rank) AS id FROM lex GROUP BY 1)
+SELECT id, source_id, path_raw AS path, title_raw AS title, round(score, 9) AS score, block_count, CAST(row_number() OVER (ORDER BY score DESC, source_id) AS INT) AS rank FROM best JOIN src USING (source_id) QUALIFY rank <= 20"""
+)
 def q_search_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The same for sources."""
-    service = SearchService(table(spark, d, "sources"), table(spark, d, "chunks"))
-    return service.search("lexical: garden lantern 索引", result_type="sources").results
+    """A search for sources, in two scripts, by their best blocks."""
+    service = SearchService(table(spark, d, "sources"), _with_vectors(spark, d))
+    return service.search("lexical: garden lantern 索引", result_type="sources").results.select("id", "source_id", "path", "title", F.round("score", 9).alias("score"), "block_count", "rank")
 
 
 _LINKS_SQL = r"""
@@ -349,12 +469,53 @@ def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
     return chunks.withColumn("embedding", F.when(F.size("embedding") == F.col("dimension"), F.col("embedding")))
 
 
-@query()
+_SIGNALS_SQL = """SELECT dst AS source_id, 'wikilink' AS kind, CAST(0.2 AS DOUBLE) AS score, NULL AS detail FROM g JOIN me ON src = me.source_id
+UNION ALL SELECT src, 'backlink', 0.15, NULL FROM g JOIN me ON dst = me.source_id
+UNION ALL SELECT source_id, 'shared_tag', CAST(0.05 AS DOUBLE) * least(count(*), 2), NULL FROM (SELECT source_id, unnest(tags) AS t FROM s WHERE source_id <> (SELECT source_id FROM me)) WHERE lower(t) IN (SELECT lower(unnest(tags)) FROM me) GROUP BY 1"""
+_RELATED_SQL = """, total AS (SELECT source_id, round(sum(score), 9) AS score, string_agg(kind, ' ' ORDER BY kind) AS kinds, max(detail) AS evidence_row_id FROM signals GROUP BY 1)
+SELECT source_id, path_raw AS path, round(score, 6) AS score, kinds, evidence_row_id, CAST(row_number() OVER (ORDER BY score DESC, source_id) AS INT) AS rank FROM total JOIN s USING (source_id) QUALIFY rank <= 20"""
+
+
+def _related(found: connections.Related) -> DataFrame:
+    return found.items.select("source_id", "path", F.round("score", 6).alias("score"), F.array_join(F.transform("edges", lambda e: e["kind"]), " ").alias("kinds"), "evidence_row_id", "rank")
+
+
+@query(
+    _LINKS_SQL
+    + f""", {_VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs), me AS (SELECT s.* FROM s, ids WHERE source_id = id),
+blocks AS (SELECT v.row_id AS q, v.v AS qv FROM vecs v JOIN me USING (source_id) JOIN (SELECT DISTINCT row_id, length(text_raw) AS n, chunk_ordinal FROM chunks) c USING (row_id) ORDER BY n DESC, chunk_ordinal, v.row_id LIMIT 4),
+near AS (SELECT source_id, row_id, {_cosine_sql("qv", "v")} AS sim FROM blocks, vecs WHERE source_id <> (SELECT id FROM ids) QUALIFY row_number() OVER (PARTITION BY q ORDER BY round({_cosine_sql("qv", "v")}, 11) DESC, row_id) <= 24),
+signals AS (SELECT source_id, 'semantic' AS kind, least(1, max(sim)) AS score, arg_max(row_id, {{'a': round(sim, 11), 'b': row_id}}) AS detail FROM near WHERE sim > 0 GROUP BY 1 UNION ALL {_SIGNALS_SQL})"""
+    + _RELATED_SQL
+)
 def c_connections(spark: SparkSession, d: str) -> DataFrame:
     """Notes related to the first one that has vectors: blocks, links and tags together."""
     sources, chunks = table(spark, d, "sources"), _with_vectors(spark, d)
-    me = sources.agg(F.min("source_id").alias("m")).first()["m"]
-    return connections.for_source(sources, chunks, me, 20)
+    me = chunks.where("size(embedding) > 0 and row_id is not null").agg(F.min("source_id").alias("m")).first()["m"]
+    return _related(connections.for_source(sources, chunks, me, 20))
+
+
+@query(
+    f"WITH s AS (SELECT DISTINCT ON (source_id) * FROM sources), {_VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs),"
+    + f"""near AS (SELECT source_id, row_id, {_cosine_sql("v", _literal(_EMBED(["how the lantern lights the garden"])[0]))} AS sim FROM vecs WHERE source_id <> (SELECT id FROM ids) QUALIFY row_number() OVER (ORDER BY round({_cosine_sql("v", _literal(_EMBED(["how the lantern lights the garden"])[0]))}, 11) DESC, row_id) <= 48),
+signals AS (SELECT source_id, 'semantic' AS kind, least(1, max(sim)) AS score, arg_max(row_id, {{'a': round(sim, 11), 'b': row_id}}) AS detail FROM near WHERE sim > 0 GROUP BY 1)"""
+    + _RELATED_SQL
+)
+def c_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Notes related to a selected text, by its vector; links don't count."""
+    chunks = _with_vectors(spark, d)
+    me = chunks.where("size(embedding) > 0 and row_id is not null").agg(F.min("source_id").alias("m")).first()["m"]
+    return _related(connections.for_selection(table(spark, d, "sources"), chunks, "how the lantern lights the garden", me, embed=lambda t: _EMBED([t])[0]))
+
+
+@query(
+    _PAGE_SQL + ", s AS (SELECT DISTINCT ON (source_id) * FROM sources WHERE source_id IS NOT NULL)" + _bm25_sql(["garden", "lantern", "kiln"], [], "", "true").replace("QUALIFY rank <= 80", "QUALIFY rank <= 48").replace("source_id, row_number()", "source_id, score, row_number()")
+    + ", signals AS (SELECT source_id, 'lexical' AS kind, 0.6 * max(score) / (SELECT max(score) FROM lex) AS score, arg_max(row_id, {'a': score, 'b': row_id}) AS detail FROM lex GROUP BY 1)"
+    + _RELATED_SQL
+)
+def c_selection_words(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an embedder: by words."""
+    return _related(connections.for_selection(table(spark, d, "sources"), _with_vectors(spark, d), "garden lantern kiln"))
 
 
 @query("""SELECT artifact_id, source_id, m.status AS status, m.seen_revision AS seen_revision, m.indexed_revision AS indexed_revision FROM (
@@ -445,7 +606,7 @@ def e_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.95)) AS INT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def e_percentile(spark: SparkSession, d: str) -> DataFrame:
     """The 95th percentile of event values by type, as latency gates take it."""
-    return table(spark, d, "events", "event_type", "value").where("value is not null").groupBy("event_type").agg(evaluation.percentile(F.col("value"), 0.95).alias("p95"))
+    return evaluation.percentiles(table(spark, d, "events", "event_type", "value"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("SELECT DISTINCT source_id, strip_accents(lower(title_raw)) AS title FROM sources")

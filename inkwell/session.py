@@ -46,13 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation: Catalyst sees its size, and no Python worker is asked for it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], schema=kinds), schema=_parse_datatype_string(schema))
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that any executor can read again.
 
     The files stay until drop_cuts, as results that are still lazy may read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

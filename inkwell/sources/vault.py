@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ class ArtifactStore:
         text = "".join(r["value"] for r in self.spark.read.text(f"{self.base}/artifact.json", wholetext=True).collect())
         return json.loads(text)
 
+    def _unreadable(self) -> bool:
+        try:
+            self._pointer()
+        except ValueError:
+            return True
+        return False
+
+    def times(self) -> tuple[int | None, int | None]:
+        """When the artifact was last written and last optimized."""
+        p = {} if self._unreadable() else (self._pointer() or {})
+        return p.get("written_ms"), p.get("optimized_ms")
+
     def load(self) -> tuple[str, dict[str, DataFrame]]:
         try:
             p = self._pointer()
@@ -55,19 +68,16 @@ class ArtifactStore:
             return "rebuilt", {}
         return "ready", {name: self.spark.read.parquet(f"{self.base}/v{p['version']}/{name}") for name in p["tables"]}
 
-    def save(self, **tables: DataFrame) -> int:
-        """Write all tables as the next version, then swap the pointer; what readers hold stays readable."""
-        try:
-            last = (self._pointer() or {}).get("version", 0)
-        except ValueError:
-            last = 0
-        version = last + 1
+    def save(self, optimized: bool = False, **tables: DataFrame) -> int:
+        """Write all tables as the next version, then swap the pointer; what readers hold stays readable. optimized: note the time as that of the last rewrite."""
+        kept = {} if self._unreadable() else (self._pointer() or {})
+        version, now = kept.get("version", 0) + 1, round(time.time() * 1000)
         for name, df in tables.items():
             if name == "postings":  # by field, sorted by term: a query reads the row groups of its terms
                 df.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{self.base}/v{version}/{name}")
             else:
                 df.write.mode("overwrite").parquet(f"{self.base}/v{version}/{name}")
-        text = json.dumps({"artifact_id": self.artifact_id, "fingerprint": self.fingerprint, "version": version, "tables": sorted(tables)})
+        text = json.dumps({"artifact_id": self.artifact_id, "fingerprint": self.fingerprint, "version": version, "tables": sorted(tables), "written_ms": now, "optimized_ms": now if optimized else kept.get("optimized_ms")})
         tmp, final = self._path(f"{self.base}/artifact.new"), self._path(f"{self.base}/artifact.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))

@@ -60,7 +60,7 @@ def chains(events: DataFrame, rounds: int = 50) -> DataFrame:
     """(path, chain): the smallest path each path of the batch is connected with by renames.
 
     Only paths that take part in a rename are walked, in both directions at once; pointers are halved each round, so
-    rounds grow with the logarithm of the longest chain.
+    rounds grow with the logarithm of the longest chain. Chains that aren't settled after `rounds` are an error.
     """
     links = events.where("kind = 'rename' and old_path is not null and old_path <> path").select(F.col("path").alias("a"), F.col("old_path").alias("b"))
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -73,6 +73,8 @@ def chains(events: DataFrame, rounds: int = 50) -> DataFrame:
         label = done.select("path", "chain")
         if not done.where("chain <> old").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"chains of renames aren't settled after {rounds} rounds")
     paths = events.select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct()
     return paths.join(label, "path", "left").select("path", F.coalesce("chain", "path").alias("chain"))
 
@@ -119,6 +121,68 @@ def latest_tasks(tasks: DataFrame) -> DataFrame:
     return best.select("path", *[F.col(f"t.{c}").alias(c) for c in columns])
 
 
+_EVENT = "seq long, kind string, path string, old_path string"
+_NESTED = "seq: long, kind: string, path: string, old_path: string"
+
+
+def debounce(events: DataFrame, quiet_ms: int = 400, vault: str | None = None) -> DataFrame:
+    """A stream of (seq, kind, path, old_path) held back until no event has come for quiet_ms, then given out together, in order.
+
+    The window is one for all paths of a vault (a column, if there are several), as a rename touches two; each event starts
+    it anew. What is held is state of the stream, so it survives restarts. Events of a vault are few: what people do while
+    they don't pause.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            rows = sorted({tuple(r) for r in held}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
+            yield pd.DataFrame(rows, columns=["seq", "kind", "path", "old_path"])
+            return
+        for pdf in batches:
+            held += [(None if pd.isna(a) else int(a), b, c, d if isinstance(d, str) else None) for a, b, c, d in zip(pdf["seq"], pdf["kind"], pdf["path"], pdf["old_path"])]
+        state.update((held,))
+        state.setTimeoutDuration(quiet_ms)
+
+    keyed = events.select("seq", "kind", "path", "old_path", (F.lit("") if vault is None else F.col(vault)).alias("_vault"))
+    return keyed.groupBy("_vault").applyInPandasWithState(hold, _EVENT, f"held array<struct<{_NESTED}>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Runner:
+    """A stream of tasks that can be paused, resumed and closed. What arrives while it rests waits; the checkpoint knows where it was."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]):
+        self._start, self._query, self.closed = start, None, False
+
+    @property
+    def running(self) -> bool:
+        return self._query is not None and self._query.isActive
+
+    def resume(self) -> None:
+        """Start, or go on where the last run stopped; nothing happens if it runs."""
+        if self.closed:
+            raise RuntimeError("the stream is closed")
+        if not self.running:
+            self._query = self._start()
+
+    def pause(self) -> None:
+        """Stop between micro-batches; a batch that was begun is run again later."""
+        if self._query is not None:
+            self._query.stop()
+            self._query = None
+
+    def progress(self) -> dict:
+        """Whether it runs, the last batch and how many rows it had; None before there was one."""
+        last = self._query.lastProgress if self._query is not None else None
+        return {"running": self.running, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else None}
+
+    def close(self) -> None:
+        self.pause()
+        self.closed = True
+
+
 def stream_tasks(spark: SparkSession, events: DataFrame, state_path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], debounce: str = "400 milliseconds") -> StreamingQuery:
     """Run coalesce_batch on every micro-batch; sink(tasks, batch_id) must be idempotent by batch_id.
 

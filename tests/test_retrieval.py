@@ -112,6 +112,12 @@ def test_search_service(spark, vault):
     assert SearchService(sources, chunks).search("semantic:vector").degraded == ("semantic_unavailable",)
     assert service.search("").results.count() == 0
     assert service.search("title:misc").results.first()["id"] == "source:s3"
+    asked = []
+    from inkwell.plans.search import Profile
+
+    SearchService(sources, chunks, embed=lambda t: asked.append(t) or [1.0, 0.0, 0.0], profile=Profile(query_template="q: {{content}} {{title}}")).search('semantic:data "vector line"')
+    assert asked == ["q: vector line data "]
+    assert SearchService(sources, chunks).search("semantic:storage").results.first()["source_id"] == "s2"  # words become terms, no needles
     empty = SearchService(sources.limit(0), chunks.limit(0), embed=semantic_stub)
     assert empty.search("vector").results.count() == 0
 
@@ -134,17 +140,46 @@ def semantic_stub(_):
 
 def test_connections(spark, vault):
     sources, chunks = vault
-    got = {r["source_id"]: r for r in connections.for_source(sources, chunks, "s1").collect()}
+    got = {r["source_id"]: r for r in connections.for_source(sources, chunks, "s1").items.collect()}
     kinds = {k: {e["kind"] for e in r["edges"]} for k, r in got.items()}
     assert kinds == {"s2": {"semantic", "backlink", "shared_tag"}, "s3": {"wikilink", "semantic"}} or kinds == {"s2": {"semantic", "backlink", "shared_tag"}, "s3": {"wikilink"}}
     assert got["s2"]["rank"] == 1 and got["s2"]["evidence_row_id"] == "r3"
     fb = spark.createDataFrame([("s3", True, False), ("s2", False, True)], "source_id string, pinned boolean, hidden boolean")
-    assert [(r["source_id"], r["pinned"]) for r in connections.for_source(sources, chunks, "s1", feedback=fb).collect()] == [("s3", True)]
+    assert [(r["source_id"], r["pinned"]) for r in connections.for_source(sources, chunks, "s1", feedback=fb).items.collect()] == [("s3", True)]
     assert {tuple(r) for r in connections.link_graph(sources).collect()} == {("s1", "s3"), ("s2", "s1")}
     cut, was = connections.truncate_selection("word " * 5000)
     assert was and cut and connections.truncate_selection("a b") == ("a b", False)
 
 
+def test_connection_modes(spark, vault):
+    sources, chunks = vault
+    assert connections.for_source(sources, chunks, "s1").mode == "semantic"
+    bare = connections.for_source(sources.withColumn("headings", F.array(F.lit("vector storage"))), chunks.withColumn("embedding", F.lit(None).cast("array<float>")), "s1")
+    got = {r["source_id"]: {e["kind"]: e["score"] for e in r["edges"]} for r in bare.items.collect()}
+    assert bare.mode == "lexical_fallback" and got["s2"]["lexical"] == 0.6 and "s1" not in got and "wikilink" in got["s3"]
+    dumb = connections.for_source(sources.withColumn("title_raw", F.lit("!!")), chunks.withColumn("embedding", F.lit(None).cast("array<float>")), "s1")
+    assert dumb.mode == "links_only" and all(e["kind"] in ("wikilink", "backlink", "shared_tag") for r in dumb.items.collect() for e in r["edges"])
+    gone = connections.for_source(sources, chunks, "nobody")
+    assert gone.mode == "links_only" and gone.items.count() == 0
+
+
+def test_connections_of_a_selection(spark, vault):
+    sources, chunks = vault
+    asked = []
+
+    def embed(t):
+        asked.append(t)
+        return [1.0, 0.0, 0.0]
+
+    found = connections.for_selection(sources, chunks, "vector things", "s1", embed=embed, template="query: {{content}}")
+    assert (found.mode, found.truncated, asked) == ("semantic", False, ["query: vector things"])
+    rows = found.items.collect()
+    assert [r["source_id"] for r in rows] == ["s2"] and {e["kind"] for r in rows for e in r["edges"]} == {"semantic"}
+    words = connections.for_selection(sources, chunks, "cooking " * 3000, embed=lambda t: None)
+    assert words.mode == "lexical_fallback" and words.truncated and [(r["source_id"], r["score"]) for r in words.items.collect()] == [("s3", 0.6)]
+    assert connections.for_selection(sources, chunks, "!!").items.count() == 0
+
+
 def test_evaluation(spark):
     results = spark.createDataFrame([("q1", 1, "z"), ("q1", 2, "x")], "query_id string, rank int, target_id string")
     expected = spark.createDataFrame([("q1", "x", "g"), ("q2", "y", "g")], "query_id string, target_id string, group string")
