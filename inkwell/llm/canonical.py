@@ -38,9 +38,12 @@ from inkwell.session import cut
 _FORMS = frozenset(("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>"))
 PREFERENCE = ("latin", "cyrillic", "greek")
 CACHE = 200_000
+# Letters that the data call confusable with one of another script though the two are told apart at sight.
+APART = frozenset("гᴦσ")
 _EAST = frozenset(("hiragana", "katakana", "cjk"))
 _JOINED = re.compile("(?:[\u0600-\u08ff\u0900-\u0dff\u1780-\u17ff\u2600-\u27bf\ufe0f\U0001f000-\U0001faff])[\u200c\u200d]$")
 _WORD = re.compile(r"(?:(?![\u1100-\u11ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff])[^\W\d_]|[\u0300-\u036f])+")
+_CLUSTER = re.compile(r"[\u1100-\u115f][\u1160-\u11ff]*|(?s:.)[\u0300-\u036f\u3099\u309a]*")
 _EAST_RUN = re.compile(r"[\u3041-\u3096\u3099\u309a\u30a1-\u30fc\u3400-\u4dbf\u4e00-\u9fff]+")
 
 
@@ -74,6 +77,18 @@ def _single() -> dict[int, str | None]:
     return table
 
 
+@lru_cache(1)
+def _any_single() -> re.Pattern:
+    """Any character that becomes another one."""
+    codes, parts = sorted(_single()), []
+    for code in codes:
+        if parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in parts) + "]")
+
+
 def _joiners(text: str) -> str:
     out = []
     for ch in text:
@@ -92,8 +107,9 @@ class Canonical:
     def __init__(self, shapes: list[dict[str, str]], looks: dict[str, int]):
         self.shapes, self.looks = shapes, looks
         self.east = {ch for ch, i in looks.items() if shapes[i].keys() <= _EAST}
-        self.foreign = re.compile("[" + "".join(sorted(ch for ch in looks.keys() - self.east if not ch.isascii())) + r"\u0370-\u03ff\u0400-\u058f]")
-        self.any_east = re.compile("[" + "".join(sorted(self.east)) + "]" if self.east else r"(?!)")
+        self.foreign = re.compile("[" + "".join(sorted(ch for ch in looks.keys() - self.east if not ch.isascii())) + r"\u0370-\u03ff\u0400-\u058f\u1f00-\u1fff]")
+        voiced = [ch for ch in map(chr, range(0x3041, 0x3100)) if unicodedata.normalize("NFD", ch)[0] in self.east]
+        self.any_east = re.compile("[" + "".join(sorted(self.east | set(voiced))) + "]" if self.east else r"(?!)")
         self.cache: dict[str, tuple[str, ...]] = {}
 
     def __getstate__(self):
@@ -150,11 +166,16 @@ class Canonical:
             return None
         if text.isascii():
             return text.rstrip(" ")
-        text = text.translate(_single())
+        if _any_single().search(text):
+            text = text.translate(_single())
         if "\u200c" in text or "\u200d" in text:
             text = _joiners(text)
-        text = unicodedata.normalize("NFD", text).rstrip(" ")
-        if self.foreign.search(text):
+        text = text.rstrip(" ")
+        foreign, eastern = self.foreign.search(text), self.any_east.search(text)
+        if not foreign and not eastern:
+            return unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFD", text)
+        if foreign:
             known: Counter[str] = Counter()
             for token in _WORD.findall(text):
                 scripts = self.scripts(token)
@@ -166,10 +187,20 @@ class Canonical:
                 return self.spelled(m[0], max(scripts, key=known.__getitem__) if scripts else None)
 
             text = _WORD.sub(respell, text)
-        if self.any_east.search(text):
+        if eastern:
             text = _EAST_RUN.sub(self.eastern, text)
         return unicodedata.normalize("NFC", text)
 
+    def origins(self, text: str) -> list[int] | None:
+        """For each character of the form the place it comes from, and at the end the length; None if they are the same places."""
+        if len(self(text)) == len(text) and unicodedata.is_normalized("NFC", text) and not _any_single().search(text):
+            return None
+        out: list[int] = []
+        for m in _CLUSTER.finditer(text):
+            kept = unicodedata.normalize("NFC", m[0].translate(_single()).replace("\u200c", "").replace("\u200d", ""))
+            out += [m.start()] * len(kept)
+        return [*out, len(text)]
+
 
 _KNOWN: dict[str, Canonical] = {}
 
@@ -181,7 +212,7 @@ def canonicalizer() -> Canonical:
         raise RuntimeError("a Spark session has to run: the confusables data come with it")
     if not _KNOWN:
         letters = [ch for ch in map(chr, (*range(0x41, 0xD800), *range(0x10000, 0x1F000))) if unicodedata.category(ch) in ("Lu", "Ll") or _script(ch) in _EAST]
-        letters = [ch for ch in letters if unicodedata.normalize("NFD", ch) == ch and ord(ch) not in _single()]
+        letters = [ch for ch in letters if unicodedata.normalize("NFD", ch) == ch and ord(ch) not in _single() and ch not in APART]
         skeletons = context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
         groups: dict[tuple, list[str]] = defaultdict(list)
         for ch, skeleton in zip(letters, skeletons, strict=True):

@@ -9,7 +9,8 @@ least MIN_WORDS words (MIN_HAN characters where words aren't parted) is labelled
 
 The model is fitted on the samples alone, MAX_SAMPLES of them at most. It is small and broadcast: its size depends
 on the samples, not on the data. Labels are read in any letter case, with region or script suffixes, as two- or
-three-letter codes.
+three-letter codes of any language in ISO 639, which the running Java knows. Segments are places in the text as it was
+given: words of the text without markup are found again, in order, among its words.
 
 Defined cases: null or empty texts, and texts without a whole sentence, have no language. Repeated rows count
 once. No samples: no language is known and nothing is reported. Texts of any length are read whole.
@@ -17,6 +18,7 @@ once. No samples: no language is known and nothing is reported. Texts of any len
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -25,19 +27,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.canonical import canonicalizer
-from inkwell.llm.markup import prose
+from inkwell.llm.markup import prose, without_opaque
 from inkwell.session import cut
 
 MAX_SAMPLES = 20_000
 SWITCH, FLOOR = 8.0, -6.0
 MIN_WORDS, MIN_HAN, AGREE = 4, 6, 0.8
-CACHE = 300_000
-# Three-letter language codes.
-CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "rus": "ru", "jpn": "ja", "kor": "ko", "zho": "zh", "chi": "zh"}
+CACHE, TOGETHER = 300_000, 500_000
+# Bibliographic three-letter codes that differ from the terminological ones, with their two-letter codes.
+BIBLIOGRAPHIC = dict(x.split(":") for x in "alb:sq arm:hy baq:eu bur:my chi:zh cze:cs dut:nl fre:fr geo:ka ger:de gre:el ice:is mac:mk mao:mi may:ms per:fa rum:ro slo:sk tib:bo wel:cy".split())
 
 _TOKEN = re.compile(r"[぀-ヿㇰ-ㇿ]+|[㐀-鿿豈-﫿]+|[.!?。！？｡\n]+|[^\W぀-ヿㇰ-ㇿ㐀-鿿豈-﫿]+")
 _KANA_HAN = re.compile(r"[぀-鿿豈-﫿]")
@@ -86,6 +89,7 @@ class LanguageModel:
         self.gram_kinds = {n: len({x for g in grams for x in g[n]}) + 1 for n in (1, 2, 3, 4)}
         self._ids: dict[str, int] = {}
         self._table = np.zeros((1024, len(self.langs)), dtype=np.float32)
+        self._sizes = np.zeros(1024, dtype=np.int32)  # characters, negative where words aren't parted
         self._fill = 0
 
     def score(self, word: str) -> np.ndarray:
@@ -127,13 +131,17 @@ class LanguageModel:
             else:
                 if self._fill == len(self._table):
                     self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+                    self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
                 self._table[self._fill] = self.score(w)
+                self._sizes[self._fill] = -len(w) if _unparted(w[0]) else len(w)
                 known[w] = self._fill
                 self._fill += 1
         return np.fromiter([known[w] for w in words], dtype=np.int64, count=len(words))
 
-    def rows(self, ids: np.ndarray) -> np.ndarray:
-        return self._table[ids]
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words: scores, characters, and whether they are of a script that doesn't part words."""
+        sizes = self._sizes[ids]
+        return self._table[ids], np.abs(sizes), sizes < 0
 
 
 def _grams(word: str) -> Iterator[tuple[int, str]]:
@@ -150,7 +158,10 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     total = scores.sum(0)
     best = int(total.argmax())
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
+    ahead = scores - scores[:, best : best + 1]
+    if (np.maximum(ahead, 0).sum(0) <= switch).all():
+        return np.full(n, best, dtype=np.int64)
+    gain = np.cumsum(ahead, axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     low[1:] = low[:-1]
     low[0] = 0
@@ -181,54 +192,84 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(states, dtype=np.int64)[path[::-1]]
 
 
-def _confidence(scores: np.ndarray, lang: int) -> float:
-    """Softmax of the summed scores, which count as the square root of their number: words aren't independent."""
-    total = scores.sum(0).astype(np.float64) / len(scores) ** 0.5
-    return float(1 / np.exp(np.minimum(total - total[lang], 50)).sum())
+def _confidence(total: np.ndarray, words: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Softmax of summed scores (a row for each group), which count as the square root of their number: words aren't independent."""
+    mean = total.astype(np.float64) / np.sqrt(words)[:, None]
+    return 1 / np.exp(np.minimum(mean - mean[np.arange(len(lang)), lang][:, None], 50)).sum(1)
 
 
-def _read(model: LanguageModel, text: str | None) -> tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray] | None:
-    """The text without markup, its tokens, their ids, and the scores and labels of those that are words; None without words."""
-    if not text or not model.langs:
-        return None
-    plain = prose(model.canonical(text)).lower()
-    tokens = words_of(plain)
-    ids = model.ids(tokens)
-    if not (ids >= 0).any():
-        return None
-    scores = model.rows(ids[ids >= 0])
-    return plain, tokens, ids, scores, viterbi(scores)
+Language, Segment = tuple[str, int, float], tuple[int, int, str, float]
 
 
-def languages_in(model: LanguageModel, text: str | None) -> list[tuple[str, int, float]]:
-    """(language, characters, confidence) of the whole sentences of a text, most characters first."""
-    read = _read(model, text)
-    return _languages(model, *read) if read else []
-
-
-def _languages(model: LanguageModel, plain: str, tokens: list[str], ids: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> list[tuple[str, int, float]]:
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    word = ids >= 0
-    sentence = np.cumsum(ids == -1)[word]
-    size = sizes[word]
-    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-    sentence = np.cumsum(np.diff(sentence, prepend=sentence[0]) > 0)
-    count, kinds = len(starts), len(model.langs)
+def label_texts(model: LanguageModel, texts: list[str | None], segments: bool = False) -> tuple[list[list[Language]], list[list[Segment]]]:
+    """Of each text the (language, characters, confidence) of its whole sentences, most characters first, and its segments.
+
+    All texts of the list are scored together; only those in which a switch may pay are walked one by one.
+    """
+    langs: list[list[Language]] = [[] for _ in texts]
+    spans: list[list[Segment]] = [[] for _ in texts]
+    plains: list[str] = [""] * len(texts)
+    tokens: list[str] = []
+    bounds = [0]
+    for i, t in enumerate(texts):
+        if t and model.langs:
+            plains[i] = _lower(prose(model.canonical(t)))
+            tokens += words_of(plains[i])
+        bounds.append(len(tokens))
+    every = model.ids(tokens)
+    word = every >= 0
+    if not word.any():
+        return langs, spans
+    ids, kinds = every[word], len(model.langs)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[word]
+    scores, size, joined = model.rows(ids)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    ends = np.append(starts[1:], len(owner))
+    best = np.add.reduceat(scores, starts, axis=0).argmax(1)
+    labels = np.repeat(best, ends - starts)
+    ahead = np.maximum(scores - scores[np.arange(len(labels)), labels][:, None], 0)
+    for k in np.flatnonzero((np.add.reduceat(ahead, starts, axis=0) > SWITCH).any(1)):
+        labels[starts[k] : ends[k]] = viterbi(scores[starts[k] : ends[k]])
+
+    # sentences
+    new = np.diff(owner, prepend=-1) != 0
+    new |= np.diff(np.cumsum(every == -1)[word], prepend=0) != 0
+    first = np.flatnonzero(new)
+    sentence = np.cumsum(new) - 1
+    count = len(first)
     votes = np.bincount(sentence * kinds + labels, weights=size, minlength=count * kinds).reshape(count, kinds)
-    chars = votes.sum(1)
-    lang = votes.argmax(1)
+    chars, lang = votes.sum(1), votes.argmax(1)
     n_words = np.bincount(sentence[size > 1], minlength=count)
-    joined = np.fromiter([_unparted(t[0]) for t, w in zip(tokens, word.tolist()) if w], dtype=bool, count=len(size)) if _KANA_HAN.search(plain) else np.zeros(len(size), dtype=bool)
     n_joined = np.bincount(sentence, weights=np.where(joined, size, 0), minlength=count)
-    fit = np.add.reduceat(scores, starts, axis=0)
+    fit = np.add.reduceat(scores, first, axis=0)
     sure = fit[np.arange(count), lang] >= fit.max(1) - 1e-4
     whole = ((n_words >= MIN_WORDS) & (n_joined == 0) | (n_joined >= MIN_HAN)) & (votes.max(1) >= AGREE * chars) & sure
-    out = []
-    for i in np.unique(lang[whole]):
-        own = whole & (lang == i)
-        mine = own[sentence]
-        out.append((model.langs[i], int(chars[own].sum()), _confidence(scores[mine], i)))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+    if whole.any():
+        group = owner[first][whole].astype(np.int64) * kinds + lang[whole]
+        names, at = np.unique(group, return_inverse=True)
+        total = np.zeros((len(names), kinds))
+        np.add.at(total, at, fit[whole])
+        words = np.bincount(at, weights=np.bincount(sentence, minlength=count)[whole])
+        sure_of = _confidence(total, words, names % kinds)
+        for name, c, p in zip(names.tolist(), np.bincount(at, weights=chars[whole]).tolist(), sure_of.tolist()):
+            langs[name // kinds].append((model.langs[name % kinds], int(c), p))
+        for own in langs:
+            own.sort(key=lambda x: (-x[1], x[0]))
+
+    if segments:
+        cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
+        sure_of = _confidence(np.add.reduceat(scores, cuts, axis=0), np.diff(np.append(cuts, len(labels))), labels[cuts])
+        places: list[tuple[int, int]] = []
+        for i in owner[starts].tolist():
+            places += _places(model, texts[i], plains[i], every[bounds[i] : bounds[i + 1]])
+        for a, b, p in zip(cuts.tolist(), np.append(cuts[1:], len(labels)).tolist(), sure_of.tolist()):
+            spans[owner[a]].append((places[a][0], places[b - 1][1], model.langs[labels[a]], p))
+    return langs, spans
+
+
+def languages_in(model: LanguageModel, text: str | None) -> list[Language]:
+    """(language, characters, confidence) of the whole sentences of a text, most characters first."""
+    return label_texts(model, [text])[0][0]
 
 
 @lru_cache(4096)
@@ -236,16 +277,47 @@ def _unparted(ch: str) -> bool:
     return "぀" <= ch <= "鿿" or "豈" <= ch <= "﫿"
 
 
-def segments_in(model: LanguageModel, text: str | None) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the spans of one language, positions in the text without markup."""
-    read = _read(model, text)
-    return _segments(model, *read) if read else []
+def segments_in(model: LanguageModel, text: str | None) -> list[Segment]:
+    """(start, end, language, confidence) of the spans of one language, positions in the given text."""
+    return label_texts(model, [text], True)[1][0]
+
 
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
 
-def _segments(model: LanguageModel, plain: str, tokens: list[str], ids: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, str, float]]:
-    kept = [m.span() for m, i in zip(_TOKEN.finditer(plain), ids.tolist()) if i >= 0]
-    cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
-    return [(kept[a][0], kept[b - 1][1], model.langs[labels[a]], _confidence(scores[a:b], int(labels[a]))) for a, b in zip(cuts, cuts[1:])]
+
+def _places(model: LanguageModel, text: str, plain: str, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Where each word of the text without markup stands in the given text.
+
+    What remains of a text without its markup is in the order of the text, so each word is the next one alike among the
+    words of the text; code, formulas and tags are blanked out first. A word that only arose (from a character
+    reference) stands where the one before it ends.
+    """
+    form = model.canonical(text)
+    back = model.canonical.origins(text)
+    at = (lambda i: i) if back is None else (lambda i: back[min(i, len(back) - 1)])
+    low = _lower(form)
+    if plain == low:
+        return [(at(m.start()), at(m.end())) for m, i in zip(_TOKEN.finditer(plain), ids.tolist()) if i >= 0]
+    known: dict[str, list[int]] = defaultdict(list)
+    spans = []
+    for m in _TOKEN.finditer(_lower(without_opaque(form))):
+        known[m[0]].append(len(spans))
+        spans.append(m.span())
+    out, k, last = [], 0, (0, 0)
+    for m, i in zip(_TOKEN.finditer(plain), ids.tolist()):
+        if i < 0:
+            continue
+        own = known.get(m[0], ())
+        if (j := bisect.bisect_left(own, k)) < len(own):
+            k = own[j] + 1
+            last = spans[own[j]]
+        else:
+            last = (last[1], last[1])
+        out.append((at(last[0]), at(last[1])))
+    return out
 
 
 def fit(samples: DataFrame) -> LanguageModel:
@@ -265,23 +337,34 @@ def label_languages(df: DataFrame, model: LanguageModel, key: str, text: str, se
         for pdf in batches:
             if not len(pdf):
                 continue
-            langs, spans = [], []
-            for t in pdf["_t"]:
-                read = _read(own, t)
-                langs.append([{"lang": a, "chars": b, "confidence": c} for a, b, c in _languages(own, *read)] if read else [])
+            texts, begin = pdf["_t"].tolist(), 0
+            while begin < len(texts):
+                end, chars = begin, 0
+                while end < len(texts) and (end == begin or chars < TOGETHER):
+                    chars += len(texts[end] or "")
+                    end += 1
+                found, spans = label_texts(own, texts[begin:end], segments)
+                out = {"k": pdf["_k"].iloc[begin:end].reset_index(drop=True), "langs": [[{"lang": a, "chars": b, "confidence": c} for a, b, c in x] for x in found]}
                 if segments:
-                    spans.append([{"start": a, "end": b, "lang": c, "confidence": p} for a, b, c, p in _segments(own, *read)] if read else [])
-            out = {"k": pdf["_k"], "langs": langs} | ({"segments": spans} if segments else {})
-            yield pd.DataFrame(out)
+                    out["segments"] = [[{"start": a, "end": b, "lang": c, "confidence": p} for a, b, c, p in x] for x in spans]
+                yield pd.DataFrame(out)
+                begin = end
 
     return df.selectExpr(f"`{key}` as _k", f"`{text}` as _t").mapInPandas(run, schema).withColumnRenamed("k", key)
 
 
+@lru_cache(1)
+def three_letter_codes() -> dict[str, str]:
+    """Three-letter codes of ISO 639 with their two-letter codes, as the running Java knows them, and the bibliographic ones."""
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    return {locale(code).getISO3Language(): code for code in locale.getISOLanguages()} | BIBLIOGRAPHIC
+
+
 def label_code(label: Column) -> Column:
     """The two-letter code a label means; null if it names none."""
     first = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    table = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
-    code = F.coalesce(F.try_element_at(table, first), first)
+    table = F.create_map(*[F.lit(x) for pair in sorted(three_letter_codes().items()) for x in pair])
+    code = F.when(F.length(first) == 3, F.coalesce(F.try_element_at(table, first), first)).otherwise(first)
     return F.when((code != "") & (code != "und"), code)
 
 
@@ -295,7 +378,7 @@ def text_segments(chunks: DataFrame, documents: DataFrame, model: LanguageModel)
     """(ref_table, ref_key, text_lang, text_confidence, start, end, lang, confidence): the language of most of each text and its spans.
 
     Every chunk and document comes out: one row for each span, one with null spans where there are no words. text_lang is null
-    in texts without a whole sentence.
+    in texts without a whole sentence. Positions are code points of text_raw and text.
     """
     texts = chunks.where("row_id is not null").select(F.struct(F.lit("chunks").alias("ref_table"), F.col("row_id").alias("ref_key")).alias("id"), F.col("text_raw").alias("text"))
     texts = texts.unionByName(documents.where("doc_id is not null").select(F.struct(F.lit("documents").alias("ref_table"), F.col("doc_id").cast("string").alias("ref_key")).alias("id"), "text"))

@@ -55,7 +55,9 @@ _OPEN = re.compile(
 )
 _FENCE_END = re.compile(r"^[ ]{0,3}(?:>[ ]?)?(?P<mark>`{3,}|~{3,})[`~]*[ \t]*$", re.M)
 _GAP = re.compile(r"\n[ \t]*\n")
-_HINT = re.compile(r"[*_`#<>\[{$\\=~&|]|''|^[ ]{0,3}-{3,}", re.M)
+_START = re.compile(r"[<`~$\\\[&]")
+_FENCE_LEAD = re.compile(r"[ ]{0,3}(?:>[ ]?)?")
+_HINT = re.compile(r"[*_`#<>\[{$\\=~&|]")
 _PH = re.compile("\ue000(\\d+)\ue001")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _BRACES = re.compile(r"(?P<cmd>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{)|\{\{|\}\}|\{|\}")
@@ -116,6 +118,7 @@ class _Opaque:
     def __init__(self, text: str, families: set[str]):
         self.text, self.families = text, families
         self.held: list[tuple] = []
+        self.places: list[tuple[int, int]] = []  # where in the text they stood
         self.gone: dict[str, int] = {}  # closers that aren't found from a position on
         self.gaps = [m.start() for m in _GAP.finditer(text)]
         self.runs: dict[int, list[int]] | None = None
@@ -141,16 +144,27 @@ class _Opaque:
         k = bisect.bisect_left(self.gaps, a)
         return k < len(self.gaps) and self.gaps[k] < b
 
+    def begin(self, at: int, floor: int) -> re.Match | None:
+        """What may begin at a character that opens something; a fence begins with its line."""
+        text = self.text
+        if text[at] in "`~":
+            line = text.rfind("\n", max(0, at - 8), at) + 1
+            if (line or at <= 8) and line >= floor and _FENCE_LEAD.fullmatch(text, line, at) and (m := _OPEN.match(text, line)) and m["fence"] is not None:
+                return m
+        return _OPEN.match(text, at)
+
     def replaced(self) -> str:
         text, out, at, seek = self.text, [], 0, 0
-        while m := _OPEN.search(text, seek):
-            end, item = self.read(m)
+        while s := _START.search(text, seek):
+            m = self.begin(s.start(), at)
+            end, item = self.read(m) if m is not None else (s.start() + 1, None)
             if item is None:
                 seek = end
                 continue
             out.append(text[at : m.start()])
             out.append(f"\ue000{len(self.held)}\ue001")
             self.held.append(item)
+            self.places.append((m.start(), end))
             at = seek = end
         out.append(text[at:])
         return "".join(out)
@@ -754,7 +768,7 @@ def _layout(pieces: list[str]) -> str:
 
 def parse(text: str) -> tuple[_Node | None, set[str]]:
     """The tree and the families of a text; no tree if it holds no construct."""
-    if not _HINT.search(text):
+    if not _HINT.search(text) and "''" not in text and "---" not in text:
         return None, set()
     builder = _Builder(text)
     return builder.root, builder.families
@@ -778,6 +792,20 @@ def prose(text: str) -> str:
     return _layout(_render(root, True))
 
 
+def without_opaque(text: str) -> str:
+    """A text of the same length with blanks where code, formulas, tags and comments stand."""
+    if not _START.search(text):
+        return text
+    opaque = _Opaque(text, set())
+    opaque.replaced()
+    out, at = [], 0
+    for (a, b), item in zip(opaque.places, opaque.held):
+        if item[0] != "text" or not item[1].strip():
+            out += (text[at:a], " " * (b - a))
+            at = b
+    return "".join([*out, text[at:]])
+
+
 def render_markup(df: DataFrame, key: str, text: str = "text_raw") -> DataFrame:
     """(key, clean_text, families) of every row of df; one pass, no shuffle."""
     kind = df.schema[key].dataType.simpleString()

@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,10 +44,28 @@ def test_mixed_text_and_markup(samples):
     lg.languages_in(model, "wort " * 200_000)
 
 
+@pytest.mark.parametrize("where", ["{en} {de}", "# Das Heft\n\n{en} **{de}**", "`das ist` {en}\n```\nwe slowly keep das Heft\n```\n{de}\n", "<p title='das'>{en}</p><b>{de}</b>", "\u200b{en}\u00a0{de}", "[[Heft|{en}]] $das$ {de}"])
+def test_segments_are_places_in_the_given_text(samples, where):
+    model = lg.LanguageModel(samples)
+    en, de = "We slowly keep the quiet index behind the garden.", "Das Heft schützt die Probe und das Gefäß."
+    for form in ("NFC", "NFD"):
+        text = unicodedata.normalize(form, where.format(en=en, de=de))
+        got = lg.segments_in(model, text)
+        assert [x[2] for x in got] == ["en", "de"]
+        first, second = (unicodedata.normalize("NFC", text[a:b]).replace("*", "") for a, b, _, _ in got)
+        assert first.startswith("We slowly") and first.endswith("garden") and second.startswith("Das Heft") and second.endswith("Gefäß")
+
+
+def test_segments_of_canonical_texts_need_no_search(samples):
+    model = lg.LanguageModel(samples)
+    assert lg.segments_in(model, "Das Heft schützt die Probe und das Gefäß.")[0][:2] == (0, 40)
+    assert lg.segments_in(model, "İndex İndex Das Heft schützt die Probe.")[-1][1] == 38
+
+
 def test_labels(spark):
-    rows = [("EN",), ("en_GB",), ("eng",), ("zh-Hant",), ("und",), ("",), (None,), ("deu",)]
+    rows = [("EN",), ("en_GB",), ("eng",), ("zh-Hant",), ("und",), ("",), (None,), ("deu",), ("nld",), ("dut",), ("wel-GB",), ("tur",), ("xyz",), ("english",)]
     got = [r[0] for r in spark.createDataFrame(rows, "l string").select(lg.label_code(F.col("l"))).collect()]
-    assert got == ["en", "en", "en", "zh", None, None, None, "de"]
+    assert got == ["en", "en", "en", "zh", None, None, None, "de", "nl", "nl", "cy", "tr", "xyz", None]
 
 
 def test_wrong_labels(spark, samples):
