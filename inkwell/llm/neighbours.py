@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.session import cut
@@ -34,7 +34,7 @@ SAMPLE_ROWS, LIST_SIZE, BLOCK = 32_768, 2_000, 16_384
 TOP, MAX_LISTS, ROWS_PER_LIST = 1_024, 65_536, 24
 POSTINGS, POST_RATIO, PROBES, PROBE_RATIO = 2, 0.1, 8, 0.2
 HUBS, DEGREE, BEAM, AHEAD = 64, 24, 24, 4
-MAX_ARTIFACTS = 1_000
+MAX_ARTIFACTS, ASKED = 1_000, 4_096
 
 
 def _active(artifacts: DataFrame) -> DataFrame:
@@ -317,3 +317,45 @@ def mutual_pairs(neighbours: DataFrame, min_similarity: float) -> DataFrame:
     close = neighbours.where(F.col("similarity") >= min_similarity)
     pair = close.select(F.least("row_id", "neighbour_id").alias("row_id_a"), F.greatest("row_id", "neighbour_id").alias("row_id_b"), (F.col("row_id") < F.col("neighbour_id")).cast("int").alias("side"))
     return pair.groupBy("row_id_a", "row_id_b").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("row_id_a", "row_id_b")
+
+
+def recall(vectors: DataFrame, k: int, asked: Column) -> DataFrame:
+    """One row (queries, recall): the share of the true k nearest of the rows asked for that nearest_vectors finds.
+
+    The truth is a block product of the asked vectors (in blocks of ASKED, on the driver only while they are sent out)
+    with all vectors; a true neighbour counts as found if it, or one as similar, is among the k.
+    """
+    spark = vectors.sparkSession
+    truth = None
+    block: list = []
+
+    def exact(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r["row_id"] for r in rows], np.array([r["source_id"] or "" for r in rows], dtype=object), _vectors(pd.Series([bytes(r["vec"]) for r in rows]))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, sources, q = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                sims = q @ _vectors(pdf["vec"]).T
+                sims[(sources[:, None] == pdf["source_id"].fillna("").to_numpy()[None, :]) & (sources[:, None] != "")] = -2
+                sims[np.array(ids, dtype=object)[:, None] == pdf["row_id"].to_numpy()[None, :]] = -2
+                best = -np.partition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, : min(k, sims.shape[1])]
+                r, c = np.nonzero(best > -2)
+                yield pd.DataFrame({"row_id": [ids[i] for i in r], "similarity": best[r, c].astype(np.float64)})
+
+        return vectors.dropDuplicates(["row_id"]).mapInPandas(run, "row_id string, similarity double")
+
+    for row in vectors.where(asked).dropDuplicates(["row_id"]).toLocalIterator():
+        block.append(row)
+        if len(block) == ASKED:
+            truth, block = exact(block) if truth is None else truth.unionByName(exact(block)), []
+    if block:
+        truth = exact(block) if truth is None else truth.unionByName(exact(block))
+    if truth is None:
+        return spark.createDataFrame([(0, None)], "queries long, recall double")
+    order = Window.partitionBy("row_id").orderBy(F.desc("similarity"))
+    kth = truth.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("row_id").agg(F.min("similarity").alias("kth"), F.count("*").alias("true"))
+    found = nearest_vectors(vectors, k).join(kth, "row_id").groupBy("row_id").agg(F.count_if(F.col("similarity") >= F.col("kth") - 1e-6).alias("hit"))
+    scored = kth.join(found, "row_id", "left")
+    return scored.agg(F.count("*").alias("queries"), F.round(F.avg(F.least(F.lit(1.0), F.coalesce("hit", F.lit(0)) / F.col("true"))), 6).alias("recall"))

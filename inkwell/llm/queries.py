@@ -55,6 +55,12 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(_vectors(spark, d), 10)
 
 
+@query()
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the 10 nearest against brute force, for every vector whose hashed row_id is divisible by 100, over all vectors."""
+    return neighbours.recall(cut(_vectors(spark, d), "vectors"), 10, F.pmod(F.xxhash64("row_id"), F.lit(100)) == 0)
+
+
 _P4_SQL = """
 WITH once AS (SELECT DISTINCT row_id, source_id, lexical_terms, lexical_ngrams, title_terms, tag_terms FROM chunks WHERE row_id IS NOT NULL),
 e AS (
@@ -94,6 +100,19 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("row_id", "field_name").agg(F.count("*").alias("terms"), F.max("tf").alias("max_tf"), F.round(F.sum("weight"), 4).alias("total_weight"))
 
 
+@query(
+    _P4_SQL
+    + """, n AS (SELECT field_name, count(*) AS n_docs, avg(len) AS avg_length FROM (SELECT row_id, field_name, sum(tf) AS len FROM p GROUP BY ALL) GROUP BY 1),
+l AS (SELECT row_id, field_name, sum(tf) AS len FROM p GROUP BY ALL),
+s AS (SELECT row_id, field_name, term, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_length)), 6) AS weight FROM p JOIN t USING (field_name, term) JOIN n USING (field_name) JOIN l USING (row_id, field_name))
+SELECT row_id, field_name, term, weight, CAST(row_number() OVER (PARTITION BY row_id, field_name ORDER BY weight DESC, term) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+)
+def p4_top(spark: SparkSession, d: str) -> DataFrame:
+    """The five most characteristic terms of each field of each chunk, with their weights."""
+    w = relevance.term_weights(_p4_chunks(spark, d)).withColumn("weight", F.round("weight", 6))
+    return relevance.top_terms(w, 5).select("row_id", "field_name", "term", "weight", "rank")
+
+
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Titles, paths and texts that look the same but differ."""

@@ -54,16 +54,13 @@ def term_weights(chunks: DataFrame, fields: tuple[str, ...] = FIELDS, keep=None,
     the statistics always cover all records.
     """
     posted = cut(postings(chunks, fields), "postings")  # read by the statistics and by the scores
-    terms = term_statistics(posted)
+    terms = cut(term_statistics(posted), "terms")  # read by the hot terms and by the rest
     wanted = posted if keep is None else posted.where(keep)
-    if keep_terms is not None:
-        scored = wanted.join(terms.where(keep_terms), ["field_name", "term"])
-    else:
-        hot = terms.where(F.col("df") > HOT_DF).orderBy(F.desc("df"), "field_name", "term").limit(HOT_TERMS)
-        marked = wanted.join(F.broadcast(hot.withColumnsRenamed({"df": "_df", "n_sources": "_n"})), ["field_name", "term"], "left")
-        easy = marked.where("_df is not null").withColumnsRenamed({"_df": "df", "_n": "n_sources"})
-        rest = marked.where("_df is null").drop("_df", "_n").join(terms, ["field_name", "term"])
-        scored = easy.unionByName(rest)
+    hot = terms.where(F.col("df") > HOT_DF).orderBy(F.desc("df"), "field_name", "term").limit(HOT_TERMS)
+    marked = wanted.join(F.broadcast(hot.withColumnsRenamed({"df": "_df", "n_sources": "_n"})), ["field_name", "term"], "left")
+    easy = marked.where("_df is not null").withColumnsRenamed({"_df": "df", "_n": "n_sources"})
+    rest = marked.where("_df is null").drop("_df", "_n").join(terms if keep_terms is None else terms.where(keep_terms), ["field_name", "term"])
+    scored = (easy if keep_terms is None else easy.where(keep_terms)).unionByName(rest)
     scored = scored.join(F.broadcast(field_statistics(chunks, fields).limit(len(fields))), "field_name")
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))

@@ -118,3 +118,15 @@ def test_too_many_artifacts_are_refused(spark):
     arts = spark.range(nb.MAX_ARTIFACTS + 1).selectExpr("cast(id as string) as artifact_id", "4 as dimension", "true as is_active")
     with pytest.raises(ValueError, match="active artifacts"):
         nb._active(arts)
+
+
+def test_measured_recall(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    centers = rng.normal(0, 1, (20, 16))
+    v = centers[rng.integers(0, 20, 1500)] + rng.normal(0, 0.5, (1500, 16))
+    source = [f"s{i // 3}" for i in range(1500)]
+    got = nb.recall(_frame(spark, v, source), 10, F.col("row_id") < "r00300").first()
+    assert got["queries"] == 300 and got["recall"] >= 0.9
+    assert nb.recall(_frame(spark, v[:4]).limit(0), 10, F.lit(True)).first()["queries"] == 0

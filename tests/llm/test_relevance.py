@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from inkwell.llm import relevance
 
 
@@ -23,3 +25,15 @@ def test_hot_terms_are_kept(spark, monkeypatch):
     out = relevance.term_weights(df)
     assert out.count() == 40 and out.where("term = 'the' and df = 20").count() == 20
     assert {r["term"] for r in relevance.top_terms(out, 1).collect()} == {f"w{i}" for i in range(20)}
+
+
+def test_hot_terms_make_no_difference(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"r{i}", f"s{i % 7}", ["the", *rng.choices("abcdefgh", k=4)], [], ["t"], None) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id string, source_id string, lexical_terms array<string>, lexical_ngrams array<string>, title_terms array<string>, tag_terms array<string>")
+    wide, narrow = F.col("n_sources") >= 3, F.col("n_sources").between(2, 6)
+    plain = [sorted(map(str, relevance.term_weights(df, keep_terms=k).collect())) for k in (None, wide, narrow)]
+    monkeypatch.setattr(relevance, "HOT_DF", 10)
+    assert [sorted(map(str, relevance.term_weights(df, keep_terms=k).collect())) for k in (None, wide, narrow)] == plain
