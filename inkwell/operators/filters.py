@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.session import small
+
 
 @dataclass(frozen=True)
 class RowFilter:
@@ -65,8 +67,19 @@ def predicate(f: RowFilter | None) -> Column:
     return out
 
 
+MAX_LITERALS = 1_000
+
+
 def apply_filter(df: DataFrame, f: RowFilter | None) -> DataFrame:
-    return df if f is None else df.where(predicate(f))
+    """Rows that a filter lets pass. Lists of sources beyond MAX_LITERALS are joined instead of spelled out in the plan."""
+    if f is None:
+        return df
+    for name, how in (("source_ids", "left_semi"), ("exclude_source_ids", "left_anti")):
+        ids = getattr(f, name)
+        if ids is not None and len(ids) > MAX_LITERALS:
+            df = df.join(small(df.sparkSession, [(i,) for i in dict.fromkeys(ids)], "source_id string"), "source_id", how).select(*df.columns)
+            f = replace(f, **{name: None if name == "source_ids" else ()})
+    return df.where(predicate(f))
 
 
 def combine(base: RowFilter | None, folders=(), path_contains=(), tags=(), extensions=(), before: int | None = None, after: int | None = None) -> RowFilter:

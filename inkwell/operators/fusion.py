@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
@@ -18,23 +20,48 @@ class Weights:
     semantic: float = 1.0
 
 
+HIT = "struct<field: string, phrase: string, offset: int, line: int, match_length: int>"
+CANDIDATE = f"key string, row_id string, source_id string, exact_rank int, lexical_rank int, semantic_rank int, exact_hit {HIT}, matched_fields array<string>, matched_terms array<string>, score double"
+
+
+def stack(exact: DataFrame | None, lexical: DataFrame | None, semantic: DataFrame | None) -> DataFrame:
+    """The lists one below the other: (key, row_id, source_id, list, rank, hit, fields, terms)."""
+    none = F.lit(None).cast("array<string>")
+    parts = []
+    for name, df in (("e", exact), ("l", lexical), ("s", semantic)):
+        if df is not None:
+            hit = F.struct("field", "phrase", "offset", "line", "match_length").cast(HIT) if name == "e" else F.lit(None).cast(HIT)
+            fields, terms = (F.col("matched_fields"), F.col("matched_terms")) if name == "l" else (none, none)
+            parts.append(df.select(F.coalesce("row_id", F.concat(F.lit("source:"), "source_id")).alias("key"), "row_id", "source_id", F.lit(name).alias("list"), "rank", hit.alias("hit"), fields.alias("fields"), terms.alias("terms")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fuse_rows(rows: Iterable[Row], weights: Weights = Weights()) -> list[dict]:
+    """As fuse, for stacked lists that have been collected: top-k lists are bounded by their limits."""
+    found: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["list"], r["rank"])):
+        own = found.setdefault(r["key"], dict.fromkeys(("exact_rank", "lexical_rank", "semantic_rank", "exact_hit", "matched_fields", "matched_terms")) | {"key": r["key"], "row_id": r["row_id"], "source_id": r["source_id"]})
+        of = {"e": "exact_rank", "l": "lexical_rank", "s": "semantic_rank"}[r["list"]]
+        if own[of] is None:
+            own[of] = r["rank"]
+            if r["list"] == "e":
+                own["exact_hit"] = r["hit"].asDict()
+            elif r["list"] == "l":
+                own["matched_fields"], own["matched_terms"] = r["fields"], r["terms"]
+    for own in found.values():
+        own["score"] = 0.0
+        for w, c in ((weights.exact, "exact_rank"), (weights.lexical, "lexical_rank"), (weights.semantic, "semantic_rank")):
+            own["score"] += w / (weights.k + own[c]) if own[c] is not None else 0.0
+    return sorted(found.values(), key=lambda c: (-c["score"], c["key"]))
+
+
 def fuse(exact: DataFrame | None, lexical: DataFrame | None, semantic: DataFrame | None, weights: Weights = Weights()) -> DataFrame:
     """(key, row_id, source_id, score, exact_rank, lexical_rank, semantic_rank, exact_hit, matched_fields, matched_terms).
 
     The lists are stacked and grouped once by key, which is the row, or source:<id> for hits in a source. The first
     rank of a key in a list counts.
     """
-    hit = "struct<field: string, phrase: string, offset: int, line: int, match_length: int>"
-    parts = []
-    if exact is not None:
-        parts.append(exact.select(F.coalesce("row_id", F.concat(F.lit("source:"), "source_id")).alias("key"), "row_id", "source_id", F.lit("e").alias("list"), "rank", F.struct("field", "phrase", "offset", "line", "match_length").cast(hit).alias("hit"), F.lit(None).cast("array<string>").alias("fields"), F.lit(None).cast("array<string>").alias("terms")))
-    if lexical is not None:
-        parts.append(lexical.select(F.col("row_id").alias("key"), "row_id", "source_id", F.lit("l").alias("list"), "rank", F.lit(None).cast(hit).alias("hit"), F.col("matched_fields").alias("fields"), F.col("matched_terms").alias("terms")))
-    if semantic is not None:
-        parts.append(semantic.select(F.col("row_id").alias("key"), "row_id", "source_id", F.lit("s").alias("list"), "rank", F.lit(None).cast(hit).alias("hit"), F.lit(None).cast("array<string>").alias("fields"), F.lit(None).cast("array<string>").alias("terms")))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
+    stacked = stack(exact, lexical, semantic)
 
     def rank(of: str) -> Column:
         return F.min(F.when(F.col("list") == of, F.col("rank")))

@@ -53,11 +53,20 @@ def query_terms(spark, terms: list[str], ngrams: list[str] = (), identifiers: li
 def bm25(postings: DataFrame, statistics: DataFrame, query: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(row_id, score, matched_fields, matched_terms) of every record that holds a term of the query."""
     hits = postings.join(F.broadcast(query), ["field", "term"])
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row for each query term and field
-    scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(statistics), "field")
+    if "df" not in postings.columns:  # a saved index has them
+        hits = hits.join(F.broadcast(hits.groupBy("field", "term").agg(F.count("*").alias("df"))), ["field", "term"])  # a row for each query term and field
+    scored = hits.join(F.broadcast(statistics), "field")
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return scored.groupBy("row_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("field")).alias("matched_fields"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    owner = [F.max("source_id").alias("source_id")] if "source_id" in postings.columns else []
+    return scored.groupBy("row_id").agg(*owner, F.sum(part).alias("score"), F.array_sort(F.collect_set("field")).alias("matched_fields"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+
+
+def with_frequencies(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Postings as they are saved: with the document frequency of their term and the source of their record."""
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    owner = chunks.select("row_id", "source_id").dropDuplicates(["row_id"])
+    return postings.join(df, ["field", "term"]).join(owner, "row_id").select("field", "term", "row_id", "source_id", "tf", "len", "df")
 
 
 def exclude_terms(hits: DataFrame, postings: DataFrame, excluded: list[str]) -> DataFrame:
@@ -76,9 +85,17 @@ def only_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
 def search(chunks: DataFrame, postings: DataFrame, statistics: DataFrame, query: DataFrame, limit: int = 80, excluded: list[str] = (), row_filter: RowFilter | None = None) -> DataFrame:
     """(row_id, source_id, score, matched_fields, matched_terms, rank): the best records, ties by row_id."""
     hits = exclude_terms(bm25(postings, statistics, query), postings, list(excluded))
+    if "source_id" in hits.columns:
+        if row_filter is None or row_filter == RowFilter():
+            return _best(hits, limit)
+        hits = hits.drop("source_id")
     own = chunks.where(predicate(row_filter)).select("row_id", "source_id").dropDuplicates(["row_id"])
+    return _best(hits.join(own, "row_id"), limit)
+
+
+def _best(hits: DataFrame, limit: int) -> DataFrame:
     rounded = F.round("score", 9)  # sums of the same parts in another order are a tie
-    return ranked(hits.join(own, "row_id").withColumn("_s", rounded), limit, F.desc("_s"), F.asc("row_id")).drop("_s")
+    return ranked(hits.withColumn("_s", rounded), limit, F.desc("_s"), F.asc("row_id")).drop("_s")
 
 
 def ranked(df: DataFrame, limit: int, *order) -> DataFrame:

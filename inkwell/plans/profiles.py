@@ -182,3 +182,13 @@ def swap(before: Configuration, after: Configuration, rebuild: Callable[[Configu
         return "rebuilt"
     apply(after)
     return "applied"
+
+
+def diagnostics(configuration: Configuration, statistics: dict[str, int], states: dict[str, int]) -> dict:
+    """What a report of trouble may hold: fingerprints, kinds, numbers. No ids of notes, paths, names, addresses, keys or contents."""
+    c = configuration
+    return {
+        "fingerprint": c.fingerprint(), "artifact_state": c.artifact.state if c.artifact else None, "mode": c.retrieval.mode, "metric": c.recipe.metric if c.recipe else None, "dimension": c.recipe.dimension if c.recipe else None,
+        "endpoint": endpoint_class(c.provider.endpoint) if c.provider and c.provider.endpoint else None, "folders": len(c.corpus.includes) + len(c.corpus.excludes) if c.corpus else 0,
+        "counts": {k: int(v) for k, v in sorted(statistics.items())}, "states": {k: int(v) for k, v in sorted(states.items()) if k in ("pending", "indexed", "failed", "stale")},
+    }

@@ -155,7 +155,7 @@ def f_metadata_scan(spark: SparkSession, d: str) -> DataFrame:
   SELECT row_id, length(regexp_replace(text_raw, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]', '', 'g')) AS dense, length(regexp_replace(text_raw, '[\s\x{0B}\x{85}\p{Z}]', '', 'g')) AS chars FROM (SELECT DISTINCT row_id, text_raw FROM chunks))""")
 def x_token_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Estimated tokens of each chunk."""
-    return table(spark, d, "chunks", "row_id", "text_raw").distinct().select("row_id", tx.estimate_tokens("text_raw").alias("tokens"))
+    return table(spark, d, "chunks", "row_id", "text_raw").select("row_id", tx.estimate_tokens("text_raw").alias("tokens")).distinct()
 
 
 @query(
@@ -163,7 +163,7 @@ def x_token_estimate(spark: SparkSession, d: str) -> DataFrame:
 )
 def x_scripts(spark: SparkSession, d: str) -> DataFrame:
     """Letters by script over all chunks."""
-    counts = table(spark, d, "chunks", "row_id", "text_raw").distinct().select(F.explode(tx.script_counts("text_raw")).alias("s"))
+    counts = table(spark, d, "chunks", "row_id", "text_raw").select("row_id", tx.script_counts("text_raw").alias("s")).distinct().select(F.explode("s").alias("s"))
     return counts.where("s.script <> 'Other'").groupBy("s.script").agg(F.count("*").alias("chunks"), F.sum("s.count").alias("letters"))
 
 
@@ -185,7 +185,7 @@ SELECT row_id, coalesce(list_filter(f, lambda x: x.n = best)[1].l, 'und') AS pri
 )
 def x_language(spark: SparkSession, d: str) -> DataFrame:
     """What the scripts of each chunk tell about its language."""
-    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("s", tx.script_counts("text_raw")).withColumn("l", tx.language_of("s"))
+    own = table(spark, d, "chunks", "row_id", "text_raw").select("row_id", tx.script_counts("text_raw").alias("s")).distinct().withColumn("l", tx.language_of("s"))
     return own.select("row_id", "l.primary_language", F.array_join("l.languages", " ").alias("languages"), F.array_join("l.scripts", " ").alias("scripts"), F.round("l.confidence", 6).alias("confidence"), "l.mixed")
 
 
@@ -205,7 +205,25 @@ def x_titles(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT row_id, sha256(text_raw) AS hash, sha256(text_raw) = raw_chunk_hash AS same FROM chunks")
 def x_chunk_hash(spark: SparkSession, d: str) -> DataFrame:
     """Content hashes of chunks against the stored ones."""
-    return table(spark, d, "chunks", "row_id", "text_raw", "raw_chunk_hash").distinct().select("row_id", F.sha2("text_raw", 256).alias("hash"), (F.sha2("text_raw", 256) == F.col("raw_chunk_hash")).alias("same"))
+    return table(spark, d, "chunks", "row_id", "text_raw", "raw_chunk_hash").select("row_id", F.sha2("text_raw", 256).alias("hash"), (F.sha2("text_raw", 256) == F.col("raw_chunk_hash")).alias("same")).distinct()
+
+
+_FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_HALF = "".join(chr(ord(x) - 0xFEE0) for x in _FULL).replace("'", "''")
+_NFKC_SQL = f"nfc_normalize(translate(text_raw, '{_FULL}', '{_HALF}'))"  # of the compatibility forms in the tables
+
+
+@query(
+    f"WITH c AS (SELECT DISTINCT row_id, text_raw FROM chunks), m AS (SELECT row_id, lower({_NFKC_SQL}) AS m FROM c),"
+    + r"""n AS (SELECT row_id, trim(regexp_replace(m, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')) AS t FROM m),
+w AS (SELECT row_id, t, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS a, regexp_extract_all(strip_accents(t), '[\p{L}\p{N}_]+') AS b, regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}]+') || regexp_extract_all(t, '\p{Hangul}+') AS runs FROM n)
+SELECT row_id, array_to_string(a || CASE WHEN len(a) = len(b) AND regexp_matches(t, '[^\x00-\x7F]') THEN list_transform(list_filter(list_zip(a, b), lambda x: x[1] <> x[2]), lambda x: x[2]) ELSE [] END, ' ') AS terms,
+array_to_string(list_sort(flatten(list_transform(runs, lambda r: CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS BIGINT), 2)) || list_transform(range(1, length(r) - 1), lambda i: substr(r, CAST(i AS BIGINT), 3)) END))), ' ') AS ngrams FROM w"""
+)
+def x_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each chunk, folded forms at the end, and its character n-grams."""
+    own = tx.with_analysis(table(spark, d, "chunks", "row_id", "text_raw").dropDuplicates(["row_id"]), "text_raw", "a", identifiers=False)
+    return own.select("row_id", F.array_join(F.concat("a.terms", "a.secondary_terms"), " ").alias("terms"), F.array_join(F.array_sort("a.ngrams"), " ").alias("ngrams"))
 
 
 @query()
@@ -556,7 +574,21 @@ def r_latest_tasks(spark: SparkSession, d: str) -> DataFrame:
     return coalescer.latest_tasks(tasks)
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT ON (seq, change_kind, path_raw) seq, change_kind AS k, path_raw AS p, old_path_raw AS o FROM vault_changes WHERE path_raw IS NOT NULL AND change_kind IN ('create', 'modify', 'delete', 'rename')),
+l AS (SELECT list({'k': k, 'p': p, 'o': o} ORDER BY seq NULLS FIRST, k, p) AS events FROM e),
+f AS (SELECT list_reduce(events, lambda s, x: {
+  'e': s.e,
+  'm': CASE WHEN x.k = 'delete' AND s.m[x.p].origin IS NOT NULL THEN map_concat(map_from_entries(list_filter(map_entries(s.m), lambda y: y.key <> x.p)), MAP {s.m[x.p].origin: {'deleted': true, 'origin': NULL::VARCHAR, 'dirty': false}})
+        WHEN x.k = 'delete' THEN map_concat(s.m, MAP {x.p: {'deleted': true, 'origin': NULL::VARCHAR, 'dirty': false}})
+        WHEN x.k = 'rename' AND x.o IS NOT NULL THEN map_concat(map_from_entries(list_filter(map_entries(s.m), lambda y: y.key <> x.o)), MAP {x.p: {'deleted': false, 'origin': coalesce(s.m[x.o].origin, x.o), 'dirty': coalesce(s.m[x.o].dirty, false)}})
+        ELSE map_concat(s.m, MAP {x.p: {'deleted': false, 'origin': s.m[x.p].origin, 'dirty': true}}) END,
+  'g': map_concat(CASE WHEN x.k = 'delete' AND s.m[x.p].origin IS NOT NULL THEN map_concat(s.g, MAP {s.m[x.p].origin: coalesce(s.g[s.m[x.p].origin], 0) + 1}) ELSE s.g END,
+       MAP {x.p: CASE WHEN x.k = 'rename' AND x.o IS NOT NULL THEN greatest(coalesce(s.g[x.o], 0), coalesce(s.g[x.p], 0)) + 1
+                      WHEN x.k = 'delete' AND s.m[x.p].origin = x.p THEN coalesce(s.g[x.p], 0) + 2 ELSE coalesce(s.g[x.p], 0) + 1 END})
+  }, {'e': 0, 'm': MAP {'': {'deleted': false, 'origin': NULL::VARCHAR, 'dirty': false}}, 'g': MAP {'': 0}}) AS s FROM l),
+t AS (SELECT s.g AS g, unnest(map_entries(s.m)) AS m FROM f)
+SELECT CASE WHEN m.value.deleted THEN 'delete' WHEN m.value.origin IS NOT NULL AND m.value.origin <> m.key THEN 'rename' ELSE 'upsert' END AS kind, m.key AS path, CASE WHEN NOT m.value.deleted AND m.value.origin <> m.key THEN m.value.origin END AS old_path, CAST(g[m.key] AS BIGINT) AS generation,
+  CASE WHEN m.value.deleted THEN false WHEN m.value.origin IS NOT NULL AND m.value.origin <> m.key THEN m.value.dirty ELSE true END AS dirty FROM t WHERE m.key <> ''""")
 def r_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """The change feed as one batch of events, coalesced to tasks."""
     events = table(spark, d, "vault_changes").select("seq", F.col("change_kind").alias("kind"), F.col("path_raw").alias("path"), F.col("old_path_raw").alias("old_path"))
@@ -650,7 +682,7 @@ o AS (SELECT row_id, CASE WHEN kana > 0 THEN kana + han ELSE 0 END AS ja, hangul
 SELECT row_id, CASE WHEN ja > 0 AND ja >= ko THEN 'ja' WHEN ko > 0 AND ko >= zh THEN 'ko' WHEN zh > 0 THEN 'zh' ELSE 'und' END AS primary_language FROM o""")
 def x_primary_language(spark: SparkSession, d: str) -> DataFrame:
     """The language that scripts alone tell, of each chunk."""
-    own = table(spark, d, "chunks", "row_id", "text_raw").distinct().withColumn("s", tx.script_counts("text_raw")).withColumn("l", tx.language_of("s"))
+    own = table(spark, d, "chunks", "row_id", "text_raw").select("row_id", tx.script_counts("text_raw").alias("s")).distinct().withColumn("l", tx.language_of("s"))
     return own.select("row_id", "l.primary_language")
 
 
@@ -686,7 +718,7 @@ def c_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT source_id, path_raw AS path, max(source_revision) OVER (PARTITION BY source_id) AS latest, source_revision AS revision, lower(raw_content_hash) AS h FROM (SELECT DISTINCT source_id, path_raw, source_revision, raw_content_hash FROM vault_changes)),
-m AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = 'idx-2025-main' GROUP BY 1), s AS (SELECT source_id, min(lower(raw_content_hash)) AS old FROM sources GROUP BY 1)
+m AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = (SELECT min(artifact_id) FROM artifacts WHERE is_active) GROUP BY 1), s AS (SELECT source_id, min(lower(raw_content_hash)) AS old FROM sources GROUP BY 1)
 SELECT CASE WHEN h IS NULL THEN 'removed' WHEN revision < latest OR revision <= coalesce(held, 0) THEN 'superseded' WHEN h = old THEN 'skipped' ELSE 'index' END AS outcome, count(*) AS tasks FROM t LEFT JOIN m USING (source_id) LEFT JOIN s USING (source_id) GROUP BY 1""")
 def m_decide(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of each delivered revision: removed, superseded, skipped or indexed."""
@@ -695,7 +727,7 @@ def m_decide(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "vault_changes", "source_id", "path_raw", "source_revision", "raw_content_hash").distinct()
     tasks = feed.select("source_id", F.col("path_raw").alias("path"), F.col("source_revision").alias("revision"), F.max("source_revision").over(Window.partitionBy("source_id")).alias("latest_revision"), "raw_content_hash")
     catalog = table(spark, d, "sources").groupBy("source_id").agg(F.min(F.lower("raw_content_hash")).alias("raw_content_hash"))
-    return mutations.decide_upsert(tasks, table(spark, d, "index_manifest"), catalog, "idx-2025-main").groupBy("outcome").agg(F.count("*").alias("tasks"))
+    return mutations.decide_upsert(tasks, table(spark, d, "index_manifest"), catalog, _active_id(spark, d)).groupBy("outcome").agg(F.count("*").alias("tasks"))
 
 
 @query("""WITH s AS (SELECT DISTINCT source_id, path_raw, filename_raw, source_revision, folder_norm, extension FROM sources)
@@ -707,16 +739,93 @@ def m_rename(spark: SparkSession, d: str) -> DataFrame:
     return mutations.rename_sources(sources, table(spark, d, "chunks"), moves)[0].select("source_id", "path_raw", "folder_norm", "source_revision")
 
 
-@query("""WITH s AS (SELECT DISTINCT source_id, source_revision FROM sources), held AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = 'idx-2025-main' GROUP BY 1),
-fresh AS (SELECT source_id FROM s LEFT JOIN held USING (source_id) WHERE held IS NULL OR source_revision > held)
-SELECT 'fresh' AS kind, count(*) AS n FROM fresh UNION ALL SELECT 'chunks', count(*) FROM (SELECT DISTINCT row_id FROM chunks WHERE source_id NOT IN (SELECT source_id FROM fresh))""")
+_STATE_SQL = """WITH act AS (SELECT min(artifact_id) AS id FROM artifacts WHERE is_active),
+st AS (SELECT artifact_id, source_id, arg_max({'status': status, 'seen': seen_revision, 'retries': retry_count}, {'a': coalesce(indexed_revision, 0), 'b': coalesce(seen_revision, 0), 'c': coalesce(updated_ms, 0), 'd': coalesce(retry_count, 0), 'e': coalesce(status, '')}) AS m FROM index_manifest GROUP BY 1, 2),
+src AS (SELECT DISTINCT source_id, extension, source_revision, mtime_ms, size_bytes FROM sources WHERE source_id IS NOT NULL)
+"""
+
+
+def _active_id(spark: SparkSession, d: str) -> str:
+    return table(spark, d, "artifacts").where("is_active").agg(F.min("artifact_id").alias("id")).first()["id"]
+
+
+def _states(manifest: DataFrame) -> DataFrame:
+    return mutations.manifest_state(manifest).groupBy("artifact_id", "status").agg(F.count("*").alias("sources"), F.sum("seen_revision").alias("seen"), F.sum("retry_count").alias("retries"))
+
+
+@query(
+    _STATE_SQL
+    + """, own AS (SELECT * FROM src WHERE extension = 'txt' OR source_revision % 2 = 0), held AS (SELECT source_id, max(indexed_revision) AS held FROM index_manifest WHERE artifact_id = (SELECT id FROM act) GROUP BY 1),
+fresh AS (SELECT source_id, source_revision + 1 AS revision FROM own LEFT JOIN held USING (source_id) WHERE held IS NULL OR source_revision + 1 > held), c AS (SELECT DISTINCT row_id, source_id, chunk_ordinal FROM chunks)
+SELECT 'sources' AS kind, count(*) AS n, CAST(sum(coalesce(revision, source_revision)) AS BIGINT) AS revisions FROM src LEFT JOIN fresh USING (source_id)
+UNION ALL SELECT 'chunks', count(*) FILTER (fresh.source_id IS NULL OR chunk_ordinal = 0), NULL FROM c LEFT JOIN fresh USING (source_id)
+UNION ALL SELECT 'indexed', count(*) FILTER (m.status = 'indexed') + (SELECT count(*) FROM fresh), NULL FROM st WHERE NOT (artifact_id = (SELECT id FROM act) AND source_id IN (SELECT source_id FROM fresh))"""
+)
 def m_commit(spark: SparkSession, d: str) -> DataFrame:
-    """A commit of all catalog rows that are newer than what is indexed: how many, and how many chunks of others stay."""
-    sources = table(spark, d, "sources").dropDuplicates(["source_id"])
-    chunks = table(spark, d, "chunks").dropDuplicates(["row_id"])
-    manifest = table(spark, d, "index_manifest")
-    after = mutations.commit_sources(sources.limit(0), chunks, manifest, sources, chunks.limit(0), "idx-2025-main")
-    return after[0].agg(F.lit("fresh").alias("kind"), F.count("*").alias("n")).unionByName(after[1].agg(F.lit("chunks").alias("kind"), F.count("*").alias("n")))
+    """A commit of new revisions of many sources, each cut down to its first chunk, into the whole catalog: stale ones change nothing."""
+    sources, chunks = table(spark, d, "sources").where("source_id is not null").dropDuplicates(["source_id"]), table(spark, d, "chunks").dropDuplicates(["row_id"])
+    new = sources.where("extension = 'txt' or source_revision % 2 = 0").withColumn("source_revision", F.col("source_revision") + 1)
+    s, c, m = mutations.commit_sources(sources, chunks, table(spark, d, "index_manifest"), new, chunks.where("chunk_ordinal = 0"), _active_id(spark, d))
+    counted = s.agg(F.lit("sources").alias("kind"), F.count("*").alias("n"), F.sum("source_revision").alias("revisions"))
+    return counted.unionByName(c.agg(F.lit("chunks").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("long").alias("revisions"))).unionByName(mutations.manifest_state(m).agg(F.lit("indexed").alias("kind"), F.count_if(F.col("status") == "indexed").alias("n"), F.lit(None).cast("long").alias("revisions")))
+
+
+@query(
+    _STATE_SQL
+    + """, now AS (SELECT (SELECT id FROM act) AS artifact_id, source_id, max(source_revision) AS rev FROM vault_changes WHERE source_id IS NOT NULL GROUP BY source_id),
+r AS (SELECT coalesce(st.artifact_id, now.artifact_id) AS artifact_id, CASE WHEN rev IS NOT NULL AND (m.seen IS NULL OR rev > m.seen) THEN {'status': 'pending', 'seen': rev, 'retries': coalesce(m.retries, 0)} ELSE {'status': m.status, 'seen': m.seen, 'retries': m.retries} END AS x FROM st FULL JOIN now ON st.artifact_id = now.artifact_id AND st.source_id = now.source_id)
+SELECT artifact_id, x.status AS status, count(*) AS sources, CAST(sum(x.seen) AS BIGINT) AS seen, CAST(sum(x.retries) AS BIGINT) AS retries FROM r GROUP BY 1, 2"""
+)
+def m_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The states after the feed's latest revisions were seen."""
+    seen = table(spark, d, "vault_changes").where("source_id is not null").select("source_id", F.col("source_revision").alias("revision"))
+    return _states(mutations.mark_seen(table(spark, d, "index_manifest"), seen, _active_id(spark, d)))
+
+
+@query(
+    _STATE_SQL
+    + """, now AS (SELECT (SELECT id FROM act) AS artifact_id, source_id, max(source_revision) AS rev FROM src WHERE extension = 'txt' GROUP BY source_id),
+r AS (SELECT coalesce(st.artifact_id, now.artifact_id) AS artifact_id, CASE WHEN rev IS NOT NULL THEN {'status': 'failed', 'seen': greatest(rev, coalesce(m.seen, 0)), 'retries': coalesce(m.retries, 0) + 1} ELSE {'status': m.status, 'seen': m.seen, 'retries': m.retries} END AS x FROM st FULL JOIN now ON st.artifact_id = now.artifact_id AND st.source_id = now.source_id)
+SELECT artifact_id, x.status AS status, count(*) AS sources, CAST(sum(x.seen) AS BIGINT) AS seen, CAST(sum(x.retries) AS BIGINT) AS retries FROM r GROUP BY 1, 2"""
+)
+def m_failed(spark: SparkSession, d: str) -> DataFrame:
+    """The states after all text files have failed."""
+    failed = table(spark, d, "sources").where("source_id is not null and extension = 'txt'").select("source_id", F.col("source_revision").alias("revision"), F.lit("READ_FAILED").alias("code"), F.lit("error.read.failed").alias("message"))
+    return _states(mutations.mark_failed(table(spark, d, "index_manifest"), failed, _active_id(spark, d)))
+
+
+@query(
+    _STATE_SQL
+    + """, gone AS (SELECT source_id FROM src WHERE extension = 'txt')
+SELECT 'sources' AS kind, count(DISTINCT source_id) AS n FROM src WHERE source_id NOT IN (SELECT source_id FROM gone) UNION ALL SELECT 'chunks', count(DISTINCT row_id) FROM chunks WHERE source_id NOT IN (SELECT source_id FROM gone)
+UNION ALL SELECT 'states', count(*) FROM st WHERE source_id NOT IN (SELECT source_id FROM gone)"""
+)
+def m_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What is left when all text files are deleted, with their chunks and states."""
+    sources = table(spark, d, "sources").where("source_id is not null")
+    s, c, m = mutations.delete_sources(sources, table(spark, d, "chunks"), mutations.manifest_state(table(spark, d, "index_manifest")), sources.where("extension = 'txt'"))
+    return s.agg(F.lit("sources").alias("kind"), F.count_distinct("source_id").alias("n")).unionByName(c.agg(F.lit("chunks").alias("kind"), F.count_distinct("row_id").alias("n"))).unionByName(m.agg(F.lit("states").alias("kind"), F.count("*").alias("n")))
+
+
+@query(_STATE_SQL + "SELECT source_id, mtime_ms + CASE WHEN extension = 'txt' THEN 1000 ELSE 0 END AS mtime_ms, CASE WHEN extension = 'txt' THEN 7 ELSE size_bytes END AS size_bytes, CAST(source_revision + CASE WHEN extension = 'txt' THEN 1 ELSE 0 END AS INT) AS source_revision FROM src")
+def m_touch(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog after all text files were touched: times and sizes only."""
+    sources = table(spark, d, "sources").where("source_id is not null").dropDuplicates(["source_id"])
+    touched = sources.where("extension = 'txt'").select("source_id", (F.col("mtime_ms") + 1000).alias("mtime_ms"), F.lit(7).cast("long").alias("size_bytes"))
+    return mutations.touch_sources(sources, touched).select("source_id", "mtime_ms", "size_bytes", "source_revision")
+
+
+@query(
+    _STATE_SQL
+    + """SELECT 'failed' AS kind, source_id AS id, CAST(m.seen AS INT) AS revision FROM st WHERE artifact_id = (SELECT id FROM act) AND m.status = 'failed'
+UNION ALL SELECT 'missing', row_id, NULL FROM (SELECT DISTINCT row_id, embedding_input_hash FROM chunks WHERE artifact_id = (SELECT id FROM act) AND embedding_base64 IS NULL AND row_id IS NOT NULL AND embedding_input_hash NOT IN (SELECT embedding_input_hash FROM chunks WHERE chunk_ordinal = 1 AND embedding_base64 IS NULL))"""
+)
+def m_retry(spark: SparkSession, d: str) -> DataFrame:
+    """What to try again: failed sources, and chunks without vector that aren't dead letters (here those of second chunks)."""
+    chunks = table(spark, d, "chunks", "row_id", "artifact_id", "embedding_input_hash", "chunk_ordinal", F.col("embedding_base64").alias("embedding")).where("row_id is not null")
+    dead = chunks.where("chunk_ordinal = 1 and embedding is null").select("embedding_input_hash").distinct()
+    failed, missing = mutations.retry_candidates(table(spark, d, "index_manifest"), chunks, chunks.join(dead, "embedding_input_hash", "left_semi"), _active_id(spark, d))
+    return failed.select(F.lit("failed").alias("kind"), F.col("source_id").alias("id"), F.col("seen_revision").cast("int").alias("revision")).unionByName(missing.select(F.lit("missing").alias("kind"), F.col("row_id").alias("id"), F.lit(None).cast("int").alias("revision")))
 
 
 @query("""SELECT source_id, count(*) AS bursts, max(n) AS largest FROM (SELECT source_id, b, count(*) AS n FROM (

@@ -150,6 +150,14 @@ def debounce(events: DataFrame, quiet_ms: int = 400, vault: str | None = None) -
     return keyed.groupBy("_vault").applyInPandasWithState(hold, _EVENT, f"held array<struct<{_NESTED}>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def read_events(spark: SparkSession, folder: str, form: str = "json") -> DataFrame:
+    """A stream of (seq, kind, path, old_path) from files of events that are put into a folder. A change of metadata counts as a modification; unknown kinds are no events."""
+    raw = spark.readStream.schema(_EVENT).format(form).option("recursiveFileLookup", "true").load(folder)
+    kind = F.lower("kind")
+    known = raw.withColumn("kind", F.when(kind.isin("metadata", "metadata_changed", "metadata-changed"), "modify").otherwise(kind))
+    return known.where("path is not null and kind in ('create', 'modify', 'delete', 'rename')")
+
+
 class Runner:
     """A stream of tasks that can be paused, resumed and closed. What arrives while it rests waits; the checkpoint knows where it was."""
 

@@ -264,3 +264,46 @@ def test_debounce_and_runner(spark, tmp_path):
     with pytest.raises(RuntimeError, match="closed"):
         runner.resume()
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_files(spark, tmp_path):
+    from inkwell.sources.files import FolderFiles, MemoryFiles
+
+    for files in (MemoryFiles(), FolderFiles(spark, f"file://{tmp_path}/artifact")):
+        assert files.read("a.json") is None and files.names() == []
+        files.write("a.json", "ü")
+        files.write("a.json", "é")
+        files.write("b", "")
+        assert files.read("a.json") == "é" and files.read("b") == "" and files.names() == ["a.json", "b"]
+        files.remove("b")
+        files.remove("b")
+        assert files.names() == ["a.json"]
+        for bad in ("../x", "a/b", "", "..", ".hidden", "/etc/passwd", "a..b"):
+            with pytest.raises(ValueError):
+                files.write(bad, "x")
+
+
+def test_long_source_lists_are_joined(spark):
+    from inkwell.operators.filters import MAX_LITERALS, RowFilter, apply_filter
+
+    df = spark.range(5000).select(F.concat(F.lit("s"), F.col("id")).alias("source_id"), F.lit("md").alias("extension"))
+    many = tuple(f"s{i}" for i in range(MAX_LITERALS + 500))
+    assert apply_filter(df, RowFilter(source_ids=many, extensions=("md",))).count() == len(many)
+    assert apply_filter(df, RowFilter(exclude_source_ids=many)).count() == 5000 - len(many) and apply_filter(df, RowFilter(source_ids=many, exclude_source_ids=("s3",))).count() == len(many) - 1
+
+
+def test_diagnostics_tell_no_names():
+    told = json.dumps(pf.diagnostics(_registry(corpora=(pf.CorpusProfile("c1"), pf.CorpusProfile("c2", includes=("secret folder",)))).configuration(), {"sources": 3}, {"failed": 1, "odd": 2}))
+    assert "secret" not in told and "localhost" not in told and json.loads(told)["endpoint"] == "local" and json.loads(told)["states"] == {"failed": 1}
+
+
+def test_event_reader(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/1.json").write_text('{"seq": 1, "kind": "metadata-changed", "path": "a"}\n{"seq": 2, "kind": "Rename", "path": "b", "old_path": "a"}\n{"seq": 3, "kind": "odd", "path": "a"}\n{"seq": 4, "kind": "delete"}\n')
+    got = []
+    q = co.read_events(spark, f"{tmp_path}/log").writeStream.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(got) == [(1, "modify", "a", None), (2, "rename", "b", "a")]

@@ -134,6 +134,15 @@ def test_saved_index(spark, vault, tmp_path):
     assert keys(open_index(store)) == keys(SearchService(*vault)) != []
 
 
+@pytest.mark.parametrize(("raw", "kind", "method"), [('"vector line" data -design', "blocks", "max"), ("hybrid: vector storage", "sources", "top_mean"), ("folder:other", "blocks", "max"), ("", "blocks", "max")])
+def test_eager_search_finds_the_same(vault, raw, kind, method):
+    from inkwell.plans.search import Profile
+
+    service = SearchService(*vault, embed=semantic_stub, profile=Profile(max_per_source=1, aggregation=method))
+    lazy, eager = service.search(raw, result_type=kind), service.search_now(raw, result_type=kind)
+    assert sorted(map(str, eager.results.collect())) == sorted(map(str, lazy.results.collect())) and eager.degraded == lazy.degraded
+
+
 def semantic_stub(_):
     return [1.0, 0.0, 0.0]
 
