@@ -313,7 +313,7 @@ def q_exact(spark: SparkSession, d: str) -> DataFrame:
 
 # vectors of the active artifact; the stand-in embedder's vector of the query words, as a literal
 _EMBED = semantic.hash_embedder(64)
-_VECTORS_SQL = """act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),
+VECTORS_SQL = """act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),
 enc AS (SELECT DISTINCT row_id, source_id, dimension, embedding_base64 AS x FROM chunks JOIN act USING (artifact_id) WHERE row_id IS NOT NULL AND length(embedding_base64) % 4 = 0 AND regexp_full_match(embedding_base64, '[A-Za-z0-9+/]+=*')),
 hexed AS (SELECT *, hex(from_base64(x)) AS h FROM enc), bits AS (SELECT row_id, source_id, list_transform(range(len(h) // 8), lambda i: CAST('0x' || h[i*8+7:i*8+8] || h[i*8+5:i*8+6] || h[i*8+3:i*8+4] || h[i*8+1:i*8+2] AS BIGINT)) AS u FROM hexed WHERE len(h) = dimension * 8),
 vecs AS (SELECT row_id, source_id, CAST(list_transform(u, lambda x: CASE WHEN x & 2147483647 = 0 THEN 0.0 ELSE (CASE WHEN x >= 2147483648 THEN -1 ELSE 1 END) * (1 + (x & 8388607) / 8388608.0) * pow(2, ((x >> 23) & 255) - 127) END) AS DOUBLE[]) AS v FROM bits)
@@ -328,7 +328,7 @@ def _cosine_sql(a: str, b: str) -> str:
     return f"CASE WHEN list_inner_product({a}, {a}) = 0 OR list_inner_product({b}, {b}) = 0 THEN 0 ELSE list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))) END"
 
 
-_SEMANTIC_SQL = f"{_VECTORS_SQL}, sem AS (SELECT row_id, source_id, row_number() OVER (ORDER BY {_cosine_sql(_literal(_EMBED([' '.join(_WORDS)])[0]), 'v')} DESC, row_id) AS rank FROM vecs QUALIFY rank <= 80)"
+_SEMANTIC_SQL = f"{VECTORS_SQL}, sem AS (SELECT row_id, source_id, row_number() OVER (ORDER BY {_cosine_sql(_literal(_EMBED([' '.join(_WORDS)])[0]), 'v')} DESC, row_id) AS rank FROM vecs QUALIFY rank <= 80)"
 
 
 _FUSED_SQL = (
@@ -419,7 +419,7 @@ _BLOCKS_QUERY = 'hybrid: lantern "the quiet index" -harbor ext:md'
 
 @query(
     _PAGE_SQL + _SOURCES_ONCE + _bm25_sql(["the", "quiet", "index", "lantern"], [], "harbor", "extension = 'md'")
-    + f""", {_VECTORS_SQL.replace("act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),", "act AS (SELECT artifact_id, dimension FROM artifacts WHERE is_active),", 1)},
+    + f""", {VECTORS_SQL},
 sem AS (SELECT row_id, vecs.source_id, row_number() OVER (ORDER BY {_cosine_sql(_literal(_EMBED(["the quiet index lantern"])[0]), "v")} DESC, row_id) AS rank FROM vecs JOIN once USING (row_id) WHERE extension = 'md' QUALIFY rank <= 80),
 found AS (
   SELECT source_id, row_id, 4 AS prio, instr(lower(text_raw), 'the quiet index') - 1 AS off, 'exact_phrase' AS kind FROM once WHERE extension = 'md' AND contains(lower(text_raw), 'the quiet index')
@@ -500,7 +500,7 @@ def _related(found: connections.Related) -> DataFrame:
 
 @query(
     _LINKS_SQL
-    + f""", {_VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs), me AS (SELECT s.* FROM s, ids WHERE source_id = id),
+    + f""", {VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs), me AS (SELECT s.* FROM s, ids WHERE source_id = id),
 blocks AS (SELECT v.row_id AS q, v.v AS qv FROM vecs v JOIN me USING (source_id) JOIN (SELECT DISTINCT row_id, length(text_raw) AS n, chunk_ordinal FROM chunks) c USING (row_id) ORDER BY n DESC, chunk_ordinal, v.row_id LIMIT 4),
 near AS (SELECT source_id, row_id, {_cosine_sql("qv", "v")} AS sim FROM blocks, vecs WHERE source_id <> (SELECT id FROM ids) QUALIFY row_number() OVER (PARTITION BY q ORDER BY round({_cosine_sql("qv", "v")}, 11) DESC, row_id) <= 24),
 signals AS (SELECT source_id, 'semantic' AS kind, least(1, max(sim)) AS score, arg_max(row_id, {{'a': round(sim, 11), 'b': row_id}}) AS detail FROM near WHERE sim > 0 GROUP BY 1 UNION ALL {_SIGNALS_SQL})"""
@@ -514,7 +514,7 @@ def c_connections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH s AS (SELECT DISTINCT ON (source_id) * FROM sources), {_VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs),"
+    f"WITH s AS (SELECT DISTINCT ON (source_id) * FROM sources), {VECTORS_SQL}, ids AS (SELECT min(source_id) AS id FROM vecs),"
     + f"""near AS (SELECT source_id, row_id, {_cosine_sql("v", _literal(_EMBED(["how the lantern lights the garden"])[0]))} AS sim FROM vecs WHERE source_id <> (SELECT id FROM ids) QUALIFY row_number() OVER (ORDER BY round({_cosine_sql("v", _literal(_EMBED(["how the lantern lights the garden"])[0]))}, 11) DESC, row_id) <= 48),
 signals AS (SELECT source_id, 'semantic' AS kind, least(1, max(sim)) AS score, arg_max(row_id, {{'a': round(sim, 11), 'b': row_id}}) AS detail FROM near WHERE sim > 0 GROUP BY 1)"""
     + _RELATED_SQL
