@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import canonical, language, markup, mixing, neighbours, packing, relevance, spans, tokens
+from inkwell.queries import VECTORS_SQL
 from inkwell.session import cut
 from inkwell.sources.tables import table
 
@@ -43,7 +44,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.decode(table(spark, d, "chunks", "row_id", "source_id", "artifact_id", "embedding_base64"), table(spark, d, "artifacts", "artifact_id", "is_active", "dimension"))
 
 
-@query()
+@query(
+    f"WITH {VECTORS_SQL}, unit AS (SELECT row_id, source_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM vecs WHERE list_inner_product(v, v) > 0),"
+    + """near AS (SELECT a.row_id AS x, b.row_id AS y, list_inner_product(a.u, b.u) AS sim FROM unit a JOIN unit b ON a.row_id <> b.row_id AND a.source_id IS DISTINCT FROM b.source_id QUALIFY row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_inner_product(a.u, b.u), 6) DESC, b.row_id) <= 10)
+SELECT n.x AS row_id_a, n.y AS row_id_b FROM near n JOIN near m ON n.x = m.y AND n.y = m.x WHERE n.x < n.y AND n.sim >= 0.95"""
+)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that are among each other's 10 most similar, with a cosine similarity of at least 0.95."""
     return neighbours.mutual_pairs(neighbours.nearest_vectors(_vectors(spark, d), 10, min_similarity=0.95), 0.95)
@@ -192,13 +197,24 @@ def p9_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", "available", F.round("planned").cast("long").alias("planned"), F.round("planned_share", 9).alias("planned_share"), "clamped")
 
 
-@query()
+_P10_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d WHERE length(text) >= 200))
+"""
+
+
+@query(_P10_SQL + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM w) a JOIN (SELECT DISTINCT doc_id, h FROM w) b ON a.h = b.h AND a.doc_id < b.doc_id")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share a verbatim span of at least 200 characters."""
     return spans.document_pairs(spans.shared_spans(table(spark, d, "documents", "doc_id", "text")))
 
 
-@query()
+@query(
+    _P10_SQL
+    + """, shared AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), c AS (SELECT doc_id, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS n FROM w JOIN shared USING (h)),
+s AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS shared_chars FROM c GROUP BY 1)
+SELECT doc_id, CAST(length(text) AS INT) AS chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) ELSE 0.0 END AS share FROM d LEFT JOIN s USING (doc_id)"""
+)
 def p10_share(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document stands in other documents too; by class, without pairs."""
     return spans.shared_shares(spans.shared_spans(table(spark, d, "documents", "doc_id", "text"), hot=0)).withColumnRenamed("id", "doc_id")
